@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import line_dedup, media
+from rasterloom.llm import decontaminate, line_dedup, media, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": media.op2_media, "op10_line_dedup": line_dedup.op10_line_dedup}
+    return {
+        "op2_media": media.op2_media,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op9_packing": packing.op9_packing,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
