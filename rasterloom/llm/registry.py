@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, line_dedup, media, packing
+from rasterloom.llm import decontaminate, line_dedup, media, ngram_join, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_media": media.op2_media,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op9_packing": packing.op9_packing,
