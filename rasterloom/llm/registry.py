@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, line_dedup, media, ngram_join, packing
+from rasterloom.llm import decontaminate, line_dedup, media, ngram_join, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_media": media.op2_media,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op8_quality": quality.op8_quality,
         "op9_packing": packing.op9_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
