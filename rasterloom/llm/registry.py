@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, html_extract, line_dedup, media, ngram_join, packing, quality, token_file, toxicity
+from rasterloom.llm import chat_format, decontaminate, html_extract, line_dedup, media, ngram_join, packing, quality, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media": media.op2_media,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_chat_format": chat_format.op5_chat_format,
         "op6_html_extract": html_extract.op6_html_extract,
         "op7_token_file": token_file.op7_token_file,
         "op8_quality": quality.op8_quality,
