@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm._stage import removed, salted_join, written
 
 MOST_ROUNDS = 60
+#: Up to this many edges (16 MB), counted before, one task finds their components; more go through the rounds.
+ONE_TASK = 1 << 20
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, ascending, and the smallest node that each one's edges reach."""
+    nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        after = root.copy()
+        for side in (x, y, root[x], root[y]):
+            np.minimum.at(after, side, least)
+        while (after[after] != after).any():
+            after = after[after]
+        if (after == root).all():
+            return nodes, nodes[root]
+        root = after
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches]
+        if parts:
+            node, root = smallest_reached(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): each node of the edges (a, b) and the smallest node of its component.
 
     The edges stay in tables of the shared folder. Every step is an aggregate with map-side sums and a salted join, so a node with
@@ -23,6 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     own, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(own)
+    if state[0] <= one_task:
+        return _in_one_task(own)
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break

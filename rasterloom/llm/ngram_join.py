@@ -35,7 +35,7 @@ from rasterloom.llm.components import components
 #: Parts of a partition, and how many of them may differ.
 PARTS, DIFFERING = 2, 1
 #: A block of a large component: sets, and features of them all.
-BLOCK, BLOCK_FEATURES = 256, 1_000_000
+BLOCK, BLOCK_FEATURES = 128, 1_000_000
 #: Ways to deal the domain before signatures of no features are made after all.
 MOST_DEALS = 200
 
