@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _PLANS: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("usage", "timeline", "grid", "pixels", "colour")
+MODULES = ("usage", "timeline", "grid", "pixels", "colour", "duplicates", "lint")
 
 
 def plan(sql: str | None = None) -> Callable[[Query], Query]:
