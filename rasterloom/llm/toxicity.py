@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
+from rasterloom.llm._stage import removed, written
 
 MOST_POSITIVE, MOST_NEGATIVE, MOST_FEATURES = 4_000, 8_000, 2_048
 FOLDS = 3
@@ -77,27 +78,46 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, l2: float = 0.1, rounds: int = 400) -> np.ndarray:
-    """Weights of sparse features, extra columns and a constant: accelerated gradient steps on the penalised loss."""
+def _logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, l2: float = 0.05, rounds: int = 80, memory: int = 8) -> np.ndarray:
+    """Weights of sparse features, extra columns and a constant, with balanced classes and a squared penalty, by L-BFGS."""
     n, k = extra.shape
+    w = np.zeros(width + k + 1)
     if y.all() or not y.any():
-        w = np.zeros(width + k + 1)
         w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
         return w
     balance = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
-    scale = np.concatenate((np.bincount(feature, value**2 * balance[row], width), (extra**2 * balance[:, None]).sum(0), [balance.sum()]))
-    per_row = np.bincount(row, minlength=n).max() + k + 1
-    step = 4 / (scale * per_row**0.5 + 4 * l2)
-    w = look = np.zeros(width + k + 1)
     penalty = np.full(width + k + 1, l2)
     penalty[-1] = 0
-    for t in range(rounds):
-        z = np.bincount(row, value * look[feature], n) + extra @ look[width:-1] + look[-1]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, value * w[feature], n) + extra @ w[width:-1] + w[-1]
         off = (_sigmoid(z) - y) * balance
-        slope = np.concatenate((np.bincount(feature, value * off[row], width), extra.T @ off, [off.sum()])) + penalty * look
-        after = look - step * slope
-        look = after + t / (t + 3) * (after - w)
-        w = after
+        slope = np.concatenate((np.bincount(feature, value * off[row], width), extra.T @ off, [off.sum()])) + penalty * w
+        return float((balance * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2), slope
+
+    at, slope = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        way, kept = slope.copy(), []
+        for s, d, r in reversed(steps):
+            a = r * (s @ way)
+            way -= a * d
+            kept.append(a)
+        way *= steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.abs(slope).sum())
+        for (s, d, r), a in zip(steps, reversed(kept), strict=True):
+            way += s * (a - r * (d @ way))
+        size, fall = 1.0, slope @ way
+        if fall <= 1e-6:
+            break
+        while True:
+            next_at, next_slope = loss(w - size * way)
+            if next_at <= at - 1e-4 * size * fall or size < 1e-8:
+                break
+            size /= 2
+        s, d = -size * way, next_slope - slope
+        if s @ d > 1e-12:
+            steps = [*steps, (s, d, 1 / (s @ d))][-memory:]
+        w, at, slope = w + s, next_at, next_slope
     return w
 
 
@@ -114,45 +134,13 @@ def weak_categories(row: np.ndarray, feature: np.ndarray, value: np.ndarray, tox
     return {"dense": ((toxic == 1) & (count >= max(middle, 1))).astype(float), "repeated": ((toxic == 1) & (most > 1.5)).astype(float)}
 
 
-def fit_chain(texts: list[str | None], categories: dict[str, list[int]], most_features: int = MOST_FEATURES, weak: bool = False, folds: int = FOLDS) -> Chain:
-    """Learns the categories in their order; weak: the only one is first parted by `weak_categories`."""
-    last = np.array(list(categories.values())[-1], float)
-    cells = []
-    for i in range(0, len(texts), 500):
-        raw, at = _text.column_bytes(pa.array(texts[i : i + 500], pa.large_string()))
-        row, found = features(raw, at)
-        order = np.lexsort((found, row))
-        found, row = found[order], row[order]
-        new = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))[: len(row)]
-        cells.append((found[new], row[new] + i))
-    found, of = (np.concatenate(x) for x in zip(*cells, strict=True)) if cells else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    hashes, code = np.unique(found, return_inverse=True)
-    positive = np.bincount(code, last[of], len(hashes)) if len(code) else np.empty(0)
-    total = np.bincount(code, minlength=len(hashes)).astype(float)
-    share = last.mean() if len(last) else 0.0
-    expected = total * share
-    chi = (positive - expected) ** 2 / np.maximum(total * share * (1 - share), 1e-9)
-    kept = np.flatnonzero((total >= 3) & (chi > 10))
-    kept = kept[np.argsort(-chi[kept], kind="stable")][:most_features]
-    chain = Chain(list(categories), np.sort(hashes[kept]), [])
-    parts = []
-    for i in range(0, len(texts), 500):
-        raw, at = _text.column_bytes(pa.array(texts[i : i + 500], pa.large_string()))
-        row, feature, value = chain.counts(raw, at)
-        parts.append((row + i, feature, value))
-    row, feature, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    width, n = len(chain.known), len(texts)
-    seen = {k: np.array(v, float) for k, v in categories.items()}
-    if weak:
-        (name, own), *_ = seen.items()
-        seen = weak_categories(row, feature, value, own, width) | {name: own}
-    chain.categories = list(seen)
-    if not n:
-        chain.weights = [np.concatenate((np.zeros(width + j), [-5.0])) for j in range(len(seen))]
-        return chain
+def learned(known: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, categories: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
+    """The chain of the categories in their order, from sparse values (row, place in known, value)."""
+    chain = Chain(list(categories), known, [])
+    width, n = len(known), len(next(iter(categories.values())))
     fold = np.arange(n) % folds
     outside = np.zeros((n, 0))
-    for y in seen.values():
+    for y in categories.values():
         chain.weights.append(_logistic(row, feature, value, outside, y, width))
         own = np.zeros(n)
         for f in range(folds):
@@ -167,14 +155,65 @@ def fit_chain(texts: list[str | None], categories: dict[str, list[int]], most_fe
     return chain
 
 
-def fit(documents: DataFrame, labels: DataFrame, category: str = "toxic", doc_id: str = "doc_id", text: str = "text", positive: int = MOST_POSITIVE, negative: int = MOST_NEGATIVE) -> Chain:
-    """A chain learned from a bounded sample of the labelled documents; the sample's ids are broadcast, its texts collected."""
-    marked = labels.where(F.col(category).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.max(F.col(category).cast("int")).alias("__mark"))
-    by = F.xxhash64("__id")
-    sample = marked.where("__mark = 1").orderBy(by, "__id").limit(positive).union(marked.where("__mark = 0").orderBy(by, "__id").limit(negative))
-    docs = documents.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")).where("__text is not null")
-    rows = docs.join(F.broadcast(sample), "__id").select("__id", "__mark", "__text").toArrow().sort_by("__id")
-    return fit_chain(rows.column("__text").to_pylist(), {category: rows.column("__mark").to_pylist()}, weak=True)
+def _feature_counts(sample: DataFrame) -> DataFrame:
+    """feature, positive, total: in how many rows, summed over a batch before the exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j, raw, at in _text.chunks(batch, "text"):
+                row, found = features(raw, at)
+                order = np.lexsort((row, found))
+                row, found = row[order], found[order]
+                new = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+                each, code = np.unique(found[new], return_inverse=True)
+                total = np.bincount(code, minlength=len(each))
+                positive = np.bincount(code, marks[i:j][row[new]], len(each)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(positive), pa.array(total)], names=["feature", "positive", "total"])
+
+    return sample.select("id", "mark", "text").mapInArrow(run, "feature long, positive long, total long").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
+
+
+def _values(sample: DataFrame, known: np.ndarray) -> DataFrame:
+    held = Chain([], known, [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, at in _text.chunks(batch, "text"):
+                row, feature, value = held.counts(raw, at)
+                to = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(to, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(to, pa.array(value))], names=["id", "mark", "features", "values"]
+                )
+
+    return sample.select("id", "mark", "text").mapInArrow(run, "id long, mark int, features array<int>, values array<double>")
+
+
+def fit(documents: DataFrame, labels: DataFrame, category: str = "toxic", doc_id: str = "doc_id", text: str = "text", positive: int = MOST_POSITIVE, negative: int = MOST_NEGATIVE, most_features: int = MOST_FEATURES) -> Chain:
+    """A chain learned from a bounded sample of the labelled documents. Its ids are broadcast and its texts written to the shared folder;
+    executors count features, and the driver gets the counts of the kept ones."""
+    spark = documents.sparkSession
+    marked = labels.where(F.col(category).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(category).cast("int")).alias("mark"))
+    by = F.xxhash64("id")
+    chosen = marked.where("mark = 1").orderBy(by, "id").limit(positive).union(marked.where("mark = 0").orderBy(by, "id").limit(negative))
+    docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    sample, path = written(docs.join(F.broadcast(chosen), "id").select("id", "mark", "text"), "toxic")
+    n, share = sample.agg(F.count("*"), F.avg("mark")).first()
+    share = share or 0.0
+    expected = F.col("total") * F.lit(share)
+    chi = F.pow(F.col("positive") - expected, 2) / F.greatest(expected * F.lit(1 - share), F.lit(1e-9))
+    best = _feature_counts(sample).where("total >= 3").withColumn("chi", chi).where("chi > 10").orderBy(F.desc("chi"), "feature").limit(most_features)
+    known = np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64))
+    rows = _values(sample, known).toArrow().sort_by("id")
+    removed(spark, path)
+    sizes = np.array([len(x) for x in rows.column("features").to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    feature = np.array([x for f in rows.column("features").to_pylist() for x in f], np.int64)
+    value = np.array([x for f in rows.column("values").to_pylist() for x in f], float)
+    toxic = rows.column("mark").to_numpy().astype(float)
+    if not n:
+        return Chain([category], known, [np.array([-5.0])])
+    return learned(known, row, feature, value, weak_categories(row, feature, value, toxic, len(known)) | {category: toxic})
 
 
 def scored(documents: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
