@@ -29,6 +29,21 @@ def nearest(colours: DataFrame, palette: list[tuple[int, int, int]]) -> DataFram
     return colours.withColumn("to", F.array_min(costs)["i"])
 
 
+def palette_error(pixels: DataFrame, by: str, palette: DataFrame, stride: int = 1) -> DataFrame:
+    """(by, error): the mean distance of every stride-th opaque pixel to the nearest colour of the raster's palette (by, r, g, b).
+
+    Distances are taken once for each distinct colour of a raster, against the array of its palette.
+    """
+    from pyspark.sql import Window as W
+
+    solid = pixels.where("a > 0").withColumn("__i", F.row_number().over(W.partitionBy(by).orderBy("y", "x")) - 1).where(F.col("__i") % stride == 0)
+    counts = solid.groupBy(by, "r", "g", "b").agg(F.count("*").alias("n"))
+    own = palette.groupBy(by).agg(F.collect_list(F.struct("r", "g", "b")).alias("p"))
+    here = tuple(F.col(c) for c in ("r", "g", "b"))
+    nearest_ = F.array_min(F.transform("p", lambda p: distance_sq(here, (p["r"], p["g"], p["b"]))))
+    return counts.join(own, by).groupBy(by).agg((F.sum(F.sqrt(nearest_.cast("double")) * F.col("n")) / F.sum("n")).alias("error"))
+
+
 def near_duplicates(colours: DataFrame, distance: float) -> DataFrame:
     """(a, b, d2) of colours (rgb) at most a distance apart: an equi-join on neighbouring cubes of colour space."""
     side = max(1, int(np.ceil(distance)))
@@ -114,6 +129,12 @@ def _divided(a: Column, b: Column) -> Column:
     return F.floor((a * 255 + F.floor(b / 2)) / b).cast("int")
 
 
+def _soft_light(b: Column, s: Column) -> Column:
+    lifted = F.when(b <= 0.25, ((16 * b - 12) * b + 4) * b).otherwise(F.sqrt(b))
+    value = F.when(s <= 0.5, b - (1 - 2 * s) * b * (1 - b)).otherwise(b + (2 * s - 1) * (lifted - b))
+    return F.floor(value * 255 + 0.5)
+
+
 def blended(mode: str, b: Column, s: Column) -> Column:
     """The value of a channel of a separable mode: backdrop b, source s."""
     screen = lambda x, y: x + y - mul_un8(x, y)
@@ -132,6 +153,7 @@ def blended(mode: str, b: Column, s: Column) -> Column:
         "exclusion": lambda: b + s - 2 * mul_un8(b, s),
         "addition": lambda: F.least(b + s, F.lit(255)),
         "subtract": lambda: F.greatest(b - s, F.lit(0)),
+        "soft-light": lambda: _soft_light(b / 255, s / 255),
         "divide": lambda: F.when(b == 0, 0).when(b >= s, 255).otherwise(_divided(b, s)),
     }
     return modes[mode]()

@@ -14,7 +14,7 @@ FRINGE = {"opaque": 250, "distance": 60, "pixels": 24, "share": 0.02}
 DRIFT = {"frames": 3, "deviation": 0.25, "step": 0.15}
 EMPTY = {"near": 0.005, "contrast": 10}
 OPAQUE = {"frames": 1, "share": 0.5}
-SEVERITY = {"alpha-fringe": "warning", "frame-bleed": "error", "pivot-drift": "info", "duplicate-frames": "info", "empty-cell": "warning", "opaque-frame": "warning", "non-power-of-two": "info", "palette-near-duplicates": "info"}
+SEVERITY = {"alpha-fringe": "warning", "frame-bleed": "error", "pivot-drift": "info", "duplicate-frames": "info", "empty-cell": "warning", "opaque-frame": "warning", "non-power-of-two": "info", "palette-bloat": "info", "palette-near-duplicates": "info"}
 
 
 def _findings(rows: DataFrame, rule: str, detail: dict[str, Column], severity: Column | None = None, frame: Column | None = None) -> DataFrame:
@@ -88,6 +88,14 @@ def near_duplicate_colours(pixels: DataFrame, distance: float = 2.0, least: int
     return _findings(both, "palette-near-duplicates", {"a": F.col("a"), "b": F.col("b"), "pixels": F.col("na") + F.col("nb")}, frame=F.lit(None))
 
 
+def palette_bloat(pixels: DataFrame, least: int = 256, target: int = 32, error: float = 4.0, stride: int = 7) -> DataFrame:
+    """Sheets of very many colours that a small palette, cut from them, hardly changes. pixels has (sheet, x, y, r, g, b, a)."""
+    many = colour.populations(pixels, "sheet").groupBy("sheet").agg(F.count("*").alias("distinct")).where(F.col("distinct") >= least)
+    there = pixels.join(many.select("sheet"), "sheet", "left_semi")
+    off = colour.palette_error(there, "sheet", colour.median_cut(there, "sheet", target), stride).where(F.col("error") < error)
+    return _findings(off.join(many, "sheet"), "palette-bloat", {"distinct": F.col("distinct"), "error": F.round("error", 3)}, frame=F.lit(None))
+
+
 def frame_bleed(pixels: DataFrame, cols: int, width: int, height: int, least: int = 3, share: float = 0.05) -> DataFrame:
     """Runs of opaque pixels that cross the seam between neighbouring cells, of which one at least has transparent pixels."""
     keyed = pixels.groupBy("sheet", "frame").agg(F.bool_or(F.col("a") <= 8).alias("keyed"))

@@ -112,6 +112,30 @@ def eagle2x(pixels: DataFrame, by: str) -> DataFrame:
     return _spread(_around(pixels, by), by, 2, [corner(-1, -1), corner(1, -1), corner(-1, 1), corner(1, 1)])
 
 
+def scale3x(pixels: DataFrame, by: str) -> DataFrame:
+    """Three times the size: corners as in scale2x; a side takes its neighbour where one of its corners does and the far corner differs."""
+    a, b, c, d, e, f, g, h, i = (_at(x, y) for y in (-1, 0, 1) for x in (-1, 0, 1))
+    same = lambda p, q: p["k"] == q["k"]
+    edge = ~same(b, h) & ~same(d, f)
+    pick = lambda when, p: F.when(edge & when, p).otherwise(e)
+    side = lambda p, q, far, r, t, other, take: pick((same(p, q) & ~same(e, far)) | (same(r, t) & ~same(e, other)), take)
+    chosen = [pick(same(d, b), d), side(d, b, c, b, f, a, b), pick(same(b, f), f), side(d, b, g, d, h, a, d), e, side(b, f, i, h, f, c, f), pick(same(d, h), d), side(d, h, i, h, f, g, h), pick(same(h, f), f)]
+    return _spread(_around(pixels, by), by, 3, chosen)
+
+
+def solid_fill(pixels: DataFrame, by: str, colour: tuple[int, int, int], similarity: float, softness: float) -> DataFrame:
+    """The background (the mean of the corners' colours) becomes a colour, over a ramp; alpha becomes full."""
+    size = pixels.groupBy(by).agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    corners = pixels.join(size, by).where("x in (0, w) and y in (0, h)")
+    mean = corners.groupBy(by).agg(*[round_half_up(F.avg(c)).alias(f"__{c}") for c in RGB])
+    joined = pixels.join(mean, by)
+    d = F.sqrt(distance_sq(tuple(F.col(c) for c in RGB), tuple(F.col(f"__{c}") for c in RGB)).cast("double"))
+    ramp = round_half_up((d - similarity) / softness * 255) if softness > 0 else F.lit(255)
+    keep = F.when(d < similarity, 0).when(d < similarity + softness, ramp).otherwise(255) / 255
+    filled = {c: stored_byte(F.col(c) * keep + v * (1 - keep)) for c, v in zip(RGB, colour, strict=True)}
+    return joined.withColumns({**filled, "a": F.lit(255)}).drop(*[f"__{c}" for c in RGB])
+
+
 def blurred(pixels: DataFrame, by: str, value: str, radius: int) -> DataFrame:
     """The mean within a square that is cut off at the border, along one axis after the other."""
     first = pixels.withColumn("__m", F.avg(value).over(_rows(by).rowsBetween(-radius, radius)))

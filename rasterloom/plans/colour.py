@@ -70,7 +70,7 @@ def circular_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).groupBy("frame").agg(mean.alias("h")).select("frame", F.round(F.when(F.col("h") < 0, F.col("h") + 360).otherwise(F.col("h")), 5).alias("hue"))
 
 
-_MODES = ("normal", "multiply", "screen", "overlay", "darken", "lighten", "dodge", "burn", "hard-light", "difference", "exclusion", "addition", "subtract", "divide")
+_MODES = ("normal", "multiply", "screen", "overlay", "darken", "lighten", "dodge", "burn", "hard-light", "difference", "exclusion", "addition", "subtract", "divide", "soft-light")
 
 
 def _mul(a: str, b: str) -> str:
@@ -86,6 +86,7 @@ def _blend_sql(mode: str, b: str, s: str) -> str:
         "dodge": f"CASE WHEN {b} = 0 THEN 0 WHEN {b} >= 255 - {s} THEN 255 ELSE {div(b, f'255 - {s}')} END",
         "burn": f"CASE WHEN {b} = 255 THEN 255 WHEN 255 - {b} >= {s} THEN 0 ELSE 255 - {div(f'255 - {b}', s)} END",
         "hard-light": hard(b, s), "difference": f"abs({b} - {s})", "exclusion": f"({b} + {s} - 2 * ({_mul(b, s)}))", "addition": f"least({b} + {s}, 255)", "subtract": f"greatest({b} - {s}, 0)",
+        "soft-light": f"floor(CASE WHEN {s} / 255 <= 0.5 THEN {b} / 255 - (1 - 2 * ({s} / 255)) * ({b} / 255) * (1 - {b} / 255) ELSE {b} / 255 + (2 * ({s} / 255) - 1) * (CASE WHEN {b} / 255 <= 0.25 THEN ((16 * ({b} / 255) - 12) * ({b} / 255) + 4) * ({b} / 255) ELSE sqrt({b} / 255) END - {b} / 255) END * 255 + 0.5)::INT",
         "divide": f"CASE WHEN {b} = 0 THEN 0 WHEN {b} >= {s} THEN 255 ELSE {div(b, s)} END",
     }[mode]
 
@@ -103,7 +104,7 @@ def _over_sql() -> str:
 
 @plan(_over_sql())
 def blend_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth frame is a sheet's backdrop and the one after it a layer on it, in fourteen modes at an opacity of 200."""
+    """Every tenth frame is a sheet's backdrop and the one after it a layer on it, in fifteen modes at an opacity of 200."""
     p = pixels(spark, sf_dir)
     base = p.where("frame % 10 = 0").select("frame", "x", "y", *[F.col(c).alias(f"b{c}") for c in "rgba"])
     top = p.select((F.col("frame") - 1).alias("frame"), "x", "y", *[F.col(c).alias(f"s{c}") for c in "rgba"])
@@ -114,6 +115,14 @@ def blend_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("mode", "frame", "x", "y", *[v.alias(k) for k, v in done.items()])
 
 
+@plan(f"""WITH {KEYED}, n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y, x) - 1 AS i FROM keyed WHERE a > 0), s AS (SELECT * FROM n WHERE i % 3 = 0), {_PAL_SQL},
+ d AS (SELECT frame, s.i, min((r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2) AS d FROM s, pal GROUP BY 1, 2) SELECT frame, round(avg(sqrt(d)), 6) AS error FROM d GROUP BY 1""")
+def palette_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = keyed(spark, sf_dir)
+    palette = p.select("frame").distinct().select("frame", F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("rgb", q, strict=True)]) for q in _PALETTE])))
+    return colour.palette_error(p, "frame", palette, 3).select("frame", F.round("error", 6).alias("error"))
+
+
 @plan()
 def median_cut_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colour.median_cut(keyed(spark, sf_dir), "frame", 4)

@@ -93,10 +93,17 @@ def lint_frame_bleed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.frame_bleed(p.withColumn("frame", F.col("frame") % SHEET), 5, 4, 4)
 
 
+@plan()
+def lint_palette_bloat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of 25 frames side by side."""
+    p = _sheets(spark, sf_dir).withColumn("x", ((F.col("frame") % SHEET) * 4 + F.col("x")).cast("int"))
+    return lint.palette_bloat(p, 200, 32, 40.0)
+
+
 @plan()
 def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules' findings in their order of report."""
-    parts = [f(spark, sf_dir) for f in (lint_alpha_fringe, lint_frame_bleed, lint_pivot_drift, lint_duplicate_frames, lint_empty_cell, lint_opaque_frame, lint_non_power_of_two, lint_near_duplicate_colours)]
+    parts = [f(spark, sf_dir) for f in (lint_alpha_fringe, lint_frame_bleed, lint_pivot_drift, lint_duplicate_frames, lint_empty_cell, lint_opaque_frame, lint_non_power_of_two, lint_palette_bloat, lint_near_duplicate_colours)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -87,6 +87,27 @@ def eagle2x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.eagle2x(_coarse(spark, sf_dir), "frame")
 
 
+def _nine() -> str:
+    same = lambda p, q: f"{p}.key = {q}.key"
+    side = lambda p, q, far, r, t, other: f"(({same(p, q)} AND e.key <> {far}.key) OR ({same(r, t)} AND e.key <> {other}.key))"
+    rules = [(same("d", "b"), "d"), (side("d", "b", "cc", "b", "f", "aa"), "b"), (same("b", "f"), "f"), (side("d", "b", "gg", "d", "h", "aa"), "d"), ("false", "e"), (side("b", "f", "ii", "h", "f", "cc"), "f"), (same("d", "h"), "d"), (side("d", "h", "ii", "h", "f", "gg"), "h"), (same("h", "f"), "f")]
+    parts = [f"SELECT e.frame, e.x * 3 + {i % 3} AS x, e.y * 3 + {i // 3} AS y, CASE WHEN {_EDGE} AND {w} THEN {_pack(t)} ELSE {_pack('e')} END AS s FROM k e {_FOUR} {_DIAGONAL}" for i, (w, t) in enumerate(rules)]
+    return f"WITH {_COARSE}, o AS ({' UNION ALL '.join(parts)}) SELECT frame, x, y, s.r AS r, s.g AS g, s.b AS b, s.a AS a FROM o"
+
+
+@plan(_nine())
+def scale3x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.scale3x(_coarse(spark, sf_dir), "frame")
+
+
+@plan(f"""WITH {PIXELS}, m AS (SELECT frame, floor(avg(r) + 0.5) AS mr, floor(avg(g) + 0.5) AS mg, floor(avg(b) + 0.5) AS mb FROM pixels WHERE x IN (0, 3) AND y IN (0, 3) GROUP BY 1),
+ d AS (SELECT p.*, sqrt(((r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb))::DOUBLE) AS d FROM pixels p JOIN m USING (frame)),
+ k AS (SELECT *, CASE WHEN d < 20 THEN 0 WHEN d < 60 THEN floor((d - 20) / 40 * 255 + 0.5) ELSE 255 END / 255::DOUBLE AS w FROM d)
+ SELECT frame, x, y, round_even(r * w + 200 * (1 - w), 0)::INT AS r, round_even(g * w + 100 * (1 - w), 0)::INT AS g, round_even(b * w + 50 * (1 - w), 0)::INT AS b, 255 AS a FROM k""")
+def solid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.solid_fill(pixels(spark, sf_dir), "frame", (200, 100, 50), 20, 40)
+
+
 @plan(f"WITH {PIXELS} SELECT frame, x, y, round((r * 0.2126 + g * 0.7152 + b * 0.0722) / 255 * (a / 255), 9)::DOUBLE AS light FROM pixels")
 def luminances(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir)
