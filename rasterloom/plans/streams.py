@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.plans.registry import plan
+from rasterloom.streaming.windows import tumbling_counts
 
 
 def _folder(spark: SparkSession) -> str:
@@ -23,9 +24,8 @@ def ext_stream_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"{sf_dir}/event[s].parquet"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(source).select(F.col("ts").cast("timestamp").alias("at"), "event_type")
-    counts = rows.withWatermark("at", "1 day").groupBy(F.window("at", "1 day"), "event_type").agg(F.count("*").alias("n"))
     out = _folder(spark)
-    day = counts.select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
+    day = tumbling_counts(rows, "at", ["event_type"], "1 day", "1 day").select(F.col("start").cast("date").alias("day"), "event_type", "n")
     query = day.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     closed = spark.read.schema("day date, event_type string, n long").parquet(f"{out}/rows")
