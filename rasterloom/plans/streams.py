@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,12 @@ from rasterloom.streaming.windows import tumbling_counts
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rasterloom-")
+    """The shared folder of spark.checkpoint.dir; only where that is unset, on one machine, a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
     return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
