@@ -14,64 +14,70 @@ from __future__ import annotations
 import numpy as np
 
 MAGNITUDES = 16
-_S1, _S2 = 512, 1024
+_S1, _S2 = 256, 512
 _TOP, _BOT, _MASK = 1 << 32, 1 << 24, (1 << 48) - 1
-_MOST = 61440
-_EVERY = 8
-_FLOOR = 64
+_MOST = 61408
+_EVERY = 32
+_FLOOR = 32
+_ORDER0 = 1 << 15
 _FLOORS = (np.arange(1, MAGNITUDES + 1) * _FLOOR)[:, None]
-_MAGNITUDE = np.frexp(np.arange(1, 65537).astype(np.float64))[1].astype(np.int64) - 1
+_MAGNITUDE = np.frexp(np.arange(1, 65537).astype(np.float64))[1].astype(np.int32) - 1
 
 
 class _Model:
-    """The state of all lanes before the next id."""
+    """The state of all lanes before the next id. Weights have 15 bits, the total of a distribution 16."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+        self.lanes, self.lane, self.step = lanes, np.arange(lanes), 0
         self.t1, self.t2 = np.zeros(lanes * _S1, np.int32), np.zeros(lanes * _S2, np.int32)
-        self.weight1, self.weight2 = np.full(lanes * 16, 20000, np.int32), np.full(lanes * 16, 30000, np.int32)
-        self.count = np.repeat(np.arange(1, MAGNITUDES + 1, dtype=np.int64) * 4, lanes).reshape(MAGNITUDES, lanes)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.weight1, self.weight2 = np.full(lanes * 16, 10000, np.int32), np.full(lanes * 16, 15000, np.int32)
+        self.count = np.repeat(np.arange(1, MAGNITUDES + 1, dtype=np.int32) * 4, lanes)
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.base1, self.base2, self.base16 = self.lane * _S1, self.lane * _S2, self.lane * 16
-        self.step = 0
-        self.cum = np.zeros((MAGNITUDES + 1, lanes), np.int64)
+        self.cum = np.zeros((MAGNITUDES + 1) * lanes, np.uint32)
 
     def predict(self) -> None:
         """Sets id2, id1 (-1: none), and the widths f2 and f1 of a total of 65536; cum has the order-0 model of the rest."""
         if self.step % _EVERY == 0:
-            scale = ((65536 - _FLOOR * MAGNITUDES) << 16) // self.count.sum(0)
-            np.cumsum(self.count, axis=0, out=self.cum[1:])
-            self.cum[1:] *= scale
-            self.cum[1:] >>= 16
-            self.cum[1:] += _FLOORS
-            self.cum[-1] = 65536
-            if self.step % 256 == 255 // _EVERY * _EVERY:
-                self.count -= self.count >> 1
-        self.at1 = self.base1 + (((self.last * 40503) >> 6) & (_S1 - 1))
-        self.at2 = self.base2 + (((self.last * 40503 + self.before * 60493) >> 5) & (_S2 - 1))
+            count = self.count.reshape(MAGNITUDES, self.lanes)
+            if self.step % 256 == 224:
+                count -= count >> 1
+            sums = np.cumsum(count, axis=0, dtype=np.int64)
+            scale = ((_ORDER0 - _FLOOR * MAGNITUDES) << 16) // sums[-1]
+            cum = self.cum.reshape(MAGNITUDES + 1, self.lanes)
+            cum[1:] = ((sums * scale) >> 16) + _FLOORS
+            cum[-1] = _ORDER0
+        mixed = self.last * np.int32(40503)
+        self.at1 = self.base1 + ((mixed >> 6) & (_S1 - 1))
+        self.at2 = self.base2 + (((mixed + self.before * np.int32(25033)) >> 5) & (_S2 - 1))
         self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
         self.id1, self.id2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
-        state = ((self.e2 & 3) << 2) + (self.e1 & 3)
-        self.of = self.base16 + state
+        self.sure1, self.sure2 = self.e1 & 3, self.e2 & 3
+        self.of = self.base16 + (self.sure2 << 2) + self.sure1
         self.w1, self.w2 = self.weight1[self.of], self.weight2[self.of]
-        has2 = self.id2 >= 0
-        has1 = (self.id1 >= 0) & (self.id1 != self.id2)
-        self.f2 = (((self.w2.astype(np.int64) * (_MOST - 32)) >> 16) + 16) * has2
-        self.f1 = ((self.w1 * (_MOST - 32 - self.f2).clip(0) >> 16) + 8) * has1
+        self.f2 = (((self.w2 * np.int32(_MOST)) >> 15) + 16) * (self.id2 >= 0)
+        self.f1 = (((self.w1 * (_MOST + 16 - self.f2)) >> 15) + 8) * ((self.id1 >= 0) & (self.id1 != self.id2))
 
     def update(self, ids: np.ndarray, magnitude: np.ndarray) -> None:
-        hit2, hit1 = ids == self.id2, ids == self.id1
-        self.weight2[self.of] = self.w2 + (((hit2 * 65535) - self.w2) >> 4)
-        self.weight1[self.of] = self.w1 + (((hit1 * 65535) - self.w1) >> 4)
-        new = ((ids + 1) << 2).astype(np.int32) | 1
-        for table, at, e, hit in ((self.t2, self.at2, self.e2, hit2), (self.t1, self.at1, self.e1, hit1)):
-            sure = e & 3
-            table[at] = np.where(hit, e + (sure < 3), np.where(sure > 1, e - 1, new))
-        self.count[magnitude, self.lane] += 24
+        new = ((ids + 1) << 2) | 1
+        learn = self.step & 1  # weights and counts learn from every other id, in turn
+        for table, at, e, sure, own, weight, w in ((self.t2, self.at2, self.e2, self.sure2, self.id2, self.weight2, self.w2), (self.t1, self.at1, self.e1, self.sure1, self.id1, self.weight1, self.w1)):
+            hit = ids == own
+            if learn:
+                weight[self.of] = w + (((hit * np.int32(32767)) - w) >> 3)
+            to = new.copy()
+            np.copyto(to, e + (sure < 3), where=hit)
+            table[at] = to
+        if not learn:
+            self.count[magnitude * self.lanes + self.lane] += 48
         self.before, self.last = self.last, ids
         self.step += 1
 
+    def span(self, magnitude: np.ndarray, both: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of the total that a magnitude has."""
+        i = magnitude * self.lanes + self.lane
+        return both + ((self.cum[i] * rest) >> 15).astype(np.int32), both + ((self.cum[i + self.lanes] * rest) >> 15).astype(np.int32)
+
 
 def _shifted(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """After a word is out: low, range, and whether another one is due. A range across a carry is cut before it."""
@@ -83,27 +89,26 @@ def _shifted(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def encode(ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each row of ids (below 65535): the coder's words and the words of lower bits."""
     lanes, steps = ids.shape
-    ids = ids.astype(np.int64)
+    by_step = np.ascontiguousarray(ids.T, np.int32)
     model = _Model(lanes)
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
     width = 3 * steps + 8
     out = np.zeros(lanes * width, np.uint16)
     to = np.arange(lanes) * width
     first = to.copy()
-    magnitudes = _MAGNITUDE[ids]
+    magnitudes = _MAGNITUDE[by_step]
     plain = np.zeros((steps, lanes), bool)
-    lane = model.lane
     for t in range(steps):
-        own, magnitude = ids[:, t], magnitudes[:, t]
+        own, magnitude = by_step[t], magnitudes[t]
         model.predict()
         is2 = own == model.id2
         is1 = (own == model.id1) & ~is2
         both = model.f2 + model.f1
-        rest = 65536 - both
-        lo = both + ((model.cum[magnitude, lane] * rest) >> 16)
-        hi = both + ((model.cum[magnitude + 1, lane] * rest) >> 16)
-        start = np.where(is2, 0, np.where(is1, model.f2, lo))
-        end = np.where(is2, model.f2, np.where(is1, both, hi))
+        start, end = model.span(magnitude, both, (65536 - both).astype(np.uint32))
+        np.copyto(start, model.f2, where=is1)
+        np.copyto(end, both, where=is1)
+        np.copyto(start, 0, where=is2)
+        np.copyto(end, model.f2, where=is2)
         plain[t] = ~(is2 | is1)
         r = range_ >> 16
         low += r * start
@@ -120,56 +125,59 @@ def encode(ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         out[to] = (low >> shift) & 0xFFFF
         to += 1
     words = [out[a:b].copy() for a, b in zip(first.tolist(), to.tolist(), strict=True)]
-    return words, _lower_bits(ids, magnitudes, plain.T)
+    return words, _lower_bits(by_step.T, magnitudes.T, plain.T)
 
 
 def _lower_bits(ids: np.ndarray, magnitudes: np.ndarray, plain: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for own, magnitude, here in zip(ids, magnitudes, plain, strict=True):
-        n = magnitude[here]
-        value = own[here] + 1 - (1 << n)
-        total = int(n.sum())
-        bit = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        bits = (np.repeat(value, n) >> (np.repeat(n, n) - 1 - bit)) & 1
-        packed = np.packbits(bits.astype(np.uint8)).tobytes()
-        out.append(np.frombuffer(packed + b"\0" * (-len(packed) % 2), ">u2").astype(np.uint16))
-    return out
+    """Of each row: the bits below the first one of id + 1, of the ids coded by magnitude, as words; the last one is filled with zeros."""
+    n = np.where(plain, magnitudes, 0)
+    size = n.sum(1)
+    begin = np.concatenate(([0], np.cumsum((size + 15) >> 4)))
+    at = np.cumsum(n, axis=1) - n + (begin[:-1] << 4)[:, None]
+    at, n = at[plain], n[plain].astype(np.int64)
+    # At most 15 bits lie in two words; no two values share a bit, so sums of the parts are the words.
+    pair = (ids[plain].astype(np.int64) + 1 - (1 << n)) << (32 - (at & 15) - n)
+    word = at >> 4
+    words = np.bincount(word, pair >> 16, begin[-1] + 1) + np.bincount(word + 1, pair & 0xFFFF, begin[-1] + 1)[: begin[-1] + 1] if len(n) else np.zeros(begin[-1] + 1)
+    return np.split(words[: begin[-1]].astype(np.uint16), begin[1:-1])
 
 
 def decode(words: list[np.ndarray], lower: list[np.ndarray], steps: int) -> np.ndarray:
     """The rows of ids that `encode` took."""
     lanes = len(words)
     model = _Model(lanes)
-    lane = model.lane
-    stream = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.int64)
+    stream = np.concatenate([*words, np.zeros(4, np.uint16)])
     at = np.concatenate(([0], np.cumsum([len(w) for w in words])))[:-1]
-    bits = np.concatenate([x for w in lower for x in (w, np.zeros(2, np.uint16))] + [np.zeros(2, np.uint16)]).astype(np.int64)
+    bits = np.concatenate([x for w in lower for x in (w, np.zeros(2, np.uint16))] + [np.zeros(2, np.uint16)]).astype(np.uint32)
+    pairs = (bits[:-1] << 16) | bits[1:]
     bit_at = 16 * np.concatenate(([0], np.cumsum([len(w) + 2 for w in lower])))[:-1]
-    code = (stream[at] << 32) | (stream[at + 1] << 16) | stream[at + 2]
+    code = (stream[at].astype(np.int64) << 32) | (stream[at + 1].astype(np.int64) << 16) | stream[at + 2]
     at = at + 3
     most = len(stream) - 1
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
+    table = model.cum.reshape(MAGNITUDES + 1, lanes)[1:]
     for t in range(steps):
         model.predict()
         both = model.f2 + model.f1
-        rest = 65536 - both
+        rest = (65536 - both).astype(np.uint32)
         r = range_ >> 16
-        v = np.minimum(((code - low) & _MASK) // r, 65535)
+        v = np.minimum((code - low) // r, 65535).astype(np.int32)
         is2 = v < model.f2
         plain = v >= both
-        u = (((v - both + 1) << 16) - 1) // rest
-        magnitude = (model.cum[1:] <= u).sum(0) * plain
-        n = magnitude
-        word = bit_at >> 4
-        pair = (bits[word] << 16) | bits[word + 1]
-        value = (pair >> (32 - (bit_at & 15) - n)) & ((1 << n) - 1)
+        u = ((((v - both + 1) * plain).astype(np.uint32) << 15) - plain) // rest
+        n = (table <= u).sum(0, dtype=np.int32) * plain
+        value = (pairs[bit_at >> 4] >> (32 - (bit_at & 15) - n).astype(np.uint32)).astype(np.int32) & ((1 << n) - 1)
         bit_at += n
-        own = np.where(is2, model.id2, np.where(plain, (1 << n) + value - 1, model.id1))
-        lo = both + ((model.cum[magnitude, lane] * rest) >> 16)
-        hi = both + ((model.cum[magnitude + 1, lane] * rest) >> 16)
-        start = np.where(is2, 0, np.where(plain, lo, model.f2))
-        end = np.where(is2, model.f2, np.where(plain, hi, both))
+        own = (1 << n) + value - 1
+        start, end = model.span(n, both, rest)
+        hit1 = ~(plain | is2)
+        np.copyto(own, model.id1, where=hit1)
+        np.copyto(start, model.f2, where=hit1)
+        np.copyto(end, both, where=hit1)
+        np.copyto(own, model.id2, where=is2)
+        np.copyto(start, 0, where=is2)
+        np.copyto(end, model.f2, where=is2)
         low += r * start
         range_ = r * (end - start)
         go = np.flatnonzero(((low ^ (low + range_)) < _TOP) | (range_ < _BOT))

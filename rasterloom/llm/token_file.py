@@ -11,7 +11,7 @@ in ascending doc_id over the segments of a table in the order (part, segment), w
 table in the shared folder; `read` decodes it, where damage raises TokenFileError.
 
 A null text is an empty one: only the end id. Rows that repeat a document follow each other. A table without rows makes no segment.
-Extra columns are not read. A document is never cut, so a segment may be longer than SEGMENT ids.
+Extra columns are not read. A segment has about SEGMENT ids, but a document is never cut.
 """
 
 from __future__ import annotations
@@ -89,24 +89,28 @@ def write(documents: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: s
         part, number = TaskContext.get().partitionId(), 0
         names, kept, lengths, held = [], [], [], 0
 
-        def made() -> pa.RecordBatch:
-            data = encode_segment(names, np.concatenate(kept), lengths, block)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.large_binary()).cast(pa.binary())], names=["part", "number", "n_ids", "data"])
+        def made(most: int) -> pa.RecordBatch:
+            """The first documents, up to `most` ids but one document at least, as a segment."""
+            nonlocal names, kept, lengths, held, number
+            n = max(1, int(np.searchsorted(np.cumsum(lengths), most, "right")))
+            ids = sum(lengths[:n])
+            data = encode_segment(names[:n], np.concatenate(kept[:n]), lengths[:n], block)
+            batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ids], pa.int64()), pa.array([data], pa.large_binary()).cast(pa.binary())], names=["part", "number", "n_ids", "data"])
+            names, kept, lengths, held, number = names[n:], kept[n:], lengths[n:], held - ids, number + 1
+            return batch
 
         end = np.array([end_id], np.int32)
         for docs, ids, to in _tokens.encoded(batches, vocabulary):
             for doc, a, b in zip(docs.tolist(), to[:-1].tolist(), to[1:].tolist(), strict=True):
-                own = np.concatenate((ids[a:b], end))
-                if held and held + len(own) > segment:
-                    yield made()
-                    number += 1
-                    names, kept, lengths, held = [], [], [], 0
                 names.append(doc)
-                kept.append(own)
-                lengths.append(len(own))
-                held += len(own)
-        if names:
-            yield made()
+                kept.append(np.concatenate((ids[a:b], end)))
+                lengths.append(b - a + 1)
+                held += b - a + 1
+            while held >= 2 * segment:
+                yield made(segment)
+        # What is left goes into one or two of much the same size: few short lanes of blocks.
+        while names:
+            yield made(held if held <= segment * 3 // 2 else held // 2)
 
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
