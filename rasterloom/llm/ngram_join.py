@@ -5,13 +5,16 @@ threshold lie in one band or in neighbouring ones, where the smaller is at least
 its own band and, if large enough, in that of the next. At a level, linked sets differ in at most d = 2 r (1 - t) / (1 + t) features.
 The feature domain is dealt by hash into n1 partitions of n2 parts. Of n1 = d // (k2 + 1) + 1 + spare partitions, at least spare + 1
 differ in k2 features at most, and for each there is a subset of n2 - k2 parts that do not differ at all. Every subset's features
-make one signature. Signatures of no features would be shared by strangers; they are never made. A set with more than `spare`
-partitions that have such a subset takes part once more with the domain dealt by another hash, and so on until it has not: of two
-linked sets, the one that stops first shares a signature of features there.
+make one signature. Where subsets are single parts, as by default, the same is counted by parts: of n1 * n2 = d + 1 + spare parts, at
+least spare + 1 do not differ. Signatures of no features would be shared by strangers; they are never made. A set with more than
+`spare` partitions (or parts) that lack features takes part once more with the domain dealt by another hash, and so on until it has
+not: of two linked sets, the one that stops first shares a signature of features there.
 
-Equal sets are one class. Documents that share a signature are joined to the smallest one that has it, the components of these pairs
-are the candidates, and inside them all sets are compared exactly: a component of up to BLOCK sets and BLOCK_FEATURES features in one
-task, a larger one in pairs of blocks. A task gives back only a spanning forest of the links. The components of the links are final.
+Equal sets are one class. The smallest document that has a signature is its hub; a hub's group are all that share any of its
+signatures with it. So any two sets with a common signature meet in a group. A group of up to BLOCK sets and BLOCK_FEATURES features is
+compared whole in one task. A larger one is first compared in blocks that each hold the hub too; members that links join to the hub by
+then need no comparison with each other, and the rest are compared with them and among themselves in pairs of blocks. A task gives back
+only a spanning forest of the links. The components of the links are final.
 
 Texts of null or without words have an empty set, which is linked with nothing. Rows that repeat a document are in one class and are
 given back each. Extra columns are not read by the report and pass through `one_of_each`. A table without rows gives none.
@@ -25,16 +28,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
-from rasterloom.llm._stage import salted_join, written
+from rasterloom.llm._stage import removed, salted_join, written
 from rasterloom.llm.components import components
 
 #: Parts of a partition, and how many of them may differ.
 PARTS, DIFFERING = 2, 1
-#: A block of a large component: sets, and features of them all.
+#: A block of a large group: sets, and features of them all.
 BLOCK, BLOCK_FEATURES = 128, 1_000_000
 #: Ways to deal the domain before signatures of no features are made after all.
 MOST_DEALS = 200
@@ -47,7 +50,7 @@ def _bands(percent: int) -> tuple[list[int], list[int]]:
     """First and last sizes of the bands; the first band begins where two different sets can be linked."""
     first = -(-percent // (100 - percent))
     low, high = [first], []
-    steps = max(1, int(np.ceil(np.log(1.3) / np.log(100 / percent))))
+    steps = max(1, int(np.ceil(np.log(1.24) / np.log(100 / percent))))
     while low[-1] < 1 << 40:
         r = low[-1]
         for _ in range(steps):
@@ -59,19 +62,18 @@ def _bands(percent: int) -> tuple[list[int], list[int]]:
 
 @lru_cache(maxsize=None)
 def _level(percent: int, level: int, parts: int, differing: int) -> tuple[int, int]:
-    """(partitions, spare partitions) of a level."""
+    """(partitions, spare) of a level: the least number of which its smallest sets rarely (at two deviations) have too many empty."""
     low, high = _bands(percent)
     smallest, d = max(1, low[level] * percent // 100), 2 * high[level] * (100 - percent) // (100 + percent)
-    spare = 1
-    for _ in range(20):
-        n1 = d // (differing + 1) + 1 + spare
-        empty = (1 - 1 / (n1 * parts)) ** (smallest * (parts - differing))
-        mean = n1 * (1 - (1 - empty) ** parts)
-        more = int(np.ceil(mean + np.sqrt(mean)))
-        if more <= spare or spare > d + 2:
-            break
-        spare = more
-    return d // (differing + 1) + 1 + spare, spare
+    single = parts - differing == 1
+    n1 = (d + 1) // parts + 1 if single else d // (differing + 1) + 2
+    while True:
+        spare = n1 * parts - d - 1 if single else n1 - d // (differing + 1) - 1
+        empty = (1 - (parts - differing) / (n1 * parts)) ** smallest
+        mean = n1 * parts * empty if single else n1 * (1 - (1 - empty) ** parts)
+        if spare >= max(1, mean + 2 * mean**0.5) or spare > 2 * d + 4:
+            return n1, spare
+        n1 += max(1, int((mean - spare) / 4))
 
 
 def signatures(values: np.ndarray, to: np.ndarray, percent: int, parts: int = PARTS, differing: int = DIFFERING) -> tuple[np.ndarray, np.ndarray]:
@@ -107,16 +109,17 @@ def signatures(values: np.ndarray, to: np.ndarray, percent: int, parts: int = PA
             sums = sums.reshape(-1, parts)
             task = np.repeat(np.arange(len(row)), n1)
             number = np.arange(begin[-1]) - begin[:-1][task]
-            some_empty = np.zeros(begin[-1], bool)
+            lacking = (held == 0).sum(1) if parts - differing == 1 else np.zeros(begin[-1], bool)
             for s, subset in enumerate(subsets):
                 filled = held[:, subset].sum(1) > 0
-                some_empty |= ~filled
+                if parts - differing > 1:
+                    lacking |= ~filled
                 if deal == MOST_DEALS - 1:
                     filled[:] = True
                 mark = _text.mix(((level[task].astype(_U) * _U(1 << 34) + number.astype(_U)) * _U(len(subsets)) + _U(s)) * _U(MOST_DEALS) + _U(deal))
                 sigs.append(_text.mix(sums[:, subset].sum(1, dtype=_U) ^ mark)[filled])
                 rows.append(row[task[filled]])
-        again = np.bincount(task, some_empty, len(row)) > spare
+        again = np.bincount(task, lacking, len(row)) > spare
         row, level = row[again], level[again]
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -241,6 +244,49 @@ def links(candidates: DataFrame, k: int, percent: int) -> DataFrame:
     return candidates.mapInArrow(run, "a long, b long")
 
 
+def _parts_of(rows: Column, features: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(features / BLOCK_FEATURES), F.lit(1)).cast("int")
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """component of the groups that are more than one block."""
+    return members.groupBy("component").agg(_parts_of(F.count("*"), F.sum("n")).alias("parts")).where("parts > 1").select("component")
+
+
+def _chunks(members: DataFrame) -> DataFrame:
+    """doc_id, key: each group in blocks, and its hub in every one of them. A group of one block is compared whole."""
+    parts = members.groupBy("component").agg(_parts_of(F.count("*"), F.sum("n")).alias("parts"))
+    own = salted_join(members.where("node <> component"), parts, ["component"], F.col("node")).select("component", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    hubs = parts.select("component", F.col("component").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return own.unionByName(hubs).select(F.col("node").alias("doc_id"), F.xxhash64("component", "part").alias("key"))
+
+
+def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, key: what is left to compare in large groups, given the components found so far (node, label).
+
+    Members that are already in the hub's component need no comparison with each other; the rest are compared with them and among
+    themselves, in pairs of blocks. Where almost all of a group is linked, its rows are about as many as its members.
+    """
+    own = members.join(labels, "node", "left").select("component", "node", "n", F.coalesce("label", "node").alias("label"))
+    hubs = own.where("node = component").select("component", F.col("label").alias("main"))
+    split = salted_join(own, hubs, ["component"], F.col("node")).withColumn("rest", F.col("label") != F.col("main"))
+    count = lambda c: _parts_of(F.count_if(c), F.sum(F.when(c, F.col("n")).otherwise(0)))
+    parts = split.groupBy("component").agg(count(F.col("rest")).alias("rests"), count(~F.col("rest")).alias("mains"), F.count_if("rest").alias("left")).where(F.col("left") > 0)
+    placed = salted_join(split, parts, ["component"], F.col("node")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    own_block = F.col("own")
+    among = F.transform(F.filter(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: (o != own_block) | (F.col("rests") == 1)), lambda o: F.struct(F.lit("r").alias("kind"), F.least(own_block, o).alias("i"), F.greatest(own_block, o).alias("j")))
+    across = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda o: F.struct(F.lit("m").alias("kind"), own_block.alias("i"), o.alias("j")))
+    back = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: F.struct(F.lit("m").alias("kind"), o.alias("i"), own_block.alias("j")))
+    each = placed.select("component", "node", F.explode(F.when(F.col("rest"), F.concat(among, across)).otherwise(back)).alias("k"))
+    return each.select(F.col("node").alias("doc_id"), F.xxhash64("component", "k.kind", "k.i", "k.j").alias("key"))
+
+
+def _with_texts(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """key, doc_id, text, ordered by key within partitions."""
+    texts = docs.join(keyed.hint("shuffle_hash"), "doc_id").select("key", "doc_id", "text")
+    return texts.repartition("key").sortWithinPartitions("key", "doc_id")
+
+
 def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest document with an equal set), component_id (the smallest one that links reach).
 
@@ -253,22 +299,25 @@ def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     # Pairs of documents that share a signature with the smallest that has it.
     groups = part_enum(docs, k, percent).select("doc_id", F.expr("min(doc_id) over (partition by sig)").alias("hub"))
-    pairs, _ = written(groups.where("doc_id <> hub").distinct(), "pairs")
+    pairs, pairs_path = written(groups.where("doc_id <> hub").distinct(), "pairs")
     named = keys.join(classes.where("members > 1").select(*of_class, "rep"), of_class).where("doc_id <> rep").select("doc_id", "rep")
     for side in ("doc_id", "hub"):
         pairs = pairs.join(named.select(F.col("doc_id").alias(side), F.col("rep").alias("__rep")), side, "left").withColumn(side, F.coalesce("__rep", side)).drop("__rep")
-    candidates = components(pairs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    pairs = pairs.where("doc_id <> hub").select(F.col("hub").alias("component"), F.col("doc_id").alias("node")).distinct()
+    groups = pairs.unionByName(pairs.select("component", F.col("component").alias("node")).distinct())
 
-    # All sets of a component are compared, in one block or in pairs of blocks.
     sizes = classes.select(F.col("rep").alias("node"), "n")
-    members, _ = written(candidates.join(sizes, "node"), "members")
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
-    placed = salted_join(members, blocks, ["component"], F.col("node")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("blocks") - 1))).alias("other")
-    placed = placed.select("component", "node", "own", "blocks", other).where("blocks = 1 or own <> other")
-    keyed = placed.select(F.col("node").alias("doc_id"), F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    texts = docs.join(keyed.hint("shuffle_hash"), "doc_id").select("key", "doc_id", "text")
-    edges, _ = written(links(texts.repartition("key").sortWithinPartitions("key", "doc_id"), k, percent), "links")
+    members, members_path = written(groups.join(sizes, "node"), "members")
+    edges, edges_path = written(links(_with_texts(docs, _chunks(members)), k, percent), "links")
+    spark = documents.sparkSession
+    large = _large(members)
+    if large.limit(1).count():
+        labels = components(edges).select("node", F.col("component").alias("label"))
+        more, _ = written(links(_with_texts(docs, _block_pairs(members.join(large, "component", "left_semi"), labels)), k, percent), "links")
+        edges, _ = written(edges.unionByName(more), "links")
+        removed(spark, edges_path)
+    removed(spark, members_path)
+    removed(spark, pairs_path)
     linked = components(edges).select(F.col("node").alias("rep"), "component")
 
     # Classes that have several members or lie in another's component; the others are their own.
