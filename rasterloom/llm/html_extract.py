@@ -4,9 +4,9 @@ A page is cut into blocks of text, each with the path of elements from the root
 its class, id and role. For each path the characters, those inside links, and the punctuation of all its blocks are added up. A path's
 ratio is its plain characters and, four times, its punctuation a block. The ratios are smoothed along the path (every enclosing element
 below the body has the ratio of all that it holds) and fused: half the own ratio and half the best of the enclosing ones. Paths through
-elements that stand for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or readers' comments weigh nothing;
-where a page marks an article or main part, paths outside it weigh a sixteenth, else those outside the element whose own blocks hold
-most. A path is content if the logarithm of its fused ratio is at least LEAST of the page's largest. The text is that of all blocks on
+elements that stand for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or readers' comments weigh nothing,
+unless such an element is only a wrapper of the text (see `_settled`); where a page marks an article or main part, paths outside it weigh
+a sixteenth, else those outside the element whose own blocks hold most. A path is content if the logarithm of its fused ratio is at least LEAST of the page's largest. The text is that of all blocks on
 such paths, in page order.
 
 White space inside a block becomes one space, character references are decoded, blocks are joined by a line feed. Null, empty and
@@ -30,7 +30,10 @@ MARKED, OUTSIDE = 4.0, 1 / 16
 
 # Element names of HTML and words by which pages name their parts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video|select|head|noframes|xmp"
+#: Elements that are skipped to their end tag; without one, those of text hold the rest of the page and the others nothing.
+_RAW_TEXT = frozenset("script style noscript textarea iframe noframes xmp".split())
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in (*_RAW_TEXT, "template", "svg", "math", "object", "canvas", "audio", "video", "select", "title")}
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript script style template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _SCOPES = frozenset("article section div main body html td th table ul ol dl li blockquote aside nav header footer form figure button".split())
@@ -42,10 +45,13 @@ _PARTS = frozenset(
     " cookie cookies consent gdpr notice notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations"
     " comment comments commentlist discussion responses respond reply replies disqus widget widgets toolbar pagination pager copyright disclaimer skip skiplink hidden paywall".split()
 )
+_COMMENTS = frozenset("comment comments commentlist discussion responses respond reply replies disqus".split())
+#: Parts that may hold most of a short page's text and still are not its main text.
+_FIRM = frozenset("cookie cookies consent gdpr footer copyright disclaimer".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -54,15 +60,20 @@ _SPLIT_CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
+# Verdicts of an element on the text inside it. All but HIDDEN can be void.
+LIVE, NAMED, COMMENTS, PART, HIDDEN = range(5)
+
+
 class _Element:
-    __slots__ = ("name", "key", "dead", "marked")
+    __slots__ = ("name", "key", "verdict", "marked", "main", "mass")
 
-    def __init__(self, name: str, key: str, dead: bool, marked: bool):
-        self.name, self.key, self.dead, self.marked = name, key, dead, marked
+    def __init__(self, name: str, key: str, verdict: int, marked: bool, main: bool):
+        self.name, self.key, self.verdict, self.marked, self.main, self.mass = name, key, verdict, marked, main, 0
 
 
 def _element(name: str, rest: str, inside_article: bool) -> _Element:
-    key, dead, marked = name, name in _NO_CONTENT or (name == "header" and not inside_article), name in ("article", "main")
+    key, marked, main = name, name in ("article", "main"), name == "main"
+    verdict = HIDDEN if name == "head" else NAMED if name == "form" else PART if name in _NO_CONTENT or (name == "header" and not inside_article) else LIVE
     if rest.strip(" \t\r\n/"):
         said = {}
         for k, v in _ATTRIBUTE.findall(rest):
@@ -70,17 +81,73 @@ def _element(name: str, rest: str, inside_article: bool) -> _Element:
         names = " ".join(said.get(k, "") for k in ("class", "id"))
         if names.strip():
             words = set(_WORD.findall(_SPLIT_CASE.sub(" ", names).lower()))
-            dead = dead or (bool(words & _PARTS) and name not in ("body", "html", "article", "main")) or (marked and "comment" in words)
+            if words & _PARTS and name not in ("body", "html", "article", "main"):
+                verdict = max(verdict, COMMENTS if words & _COMMENTS else PART if words & _FIRM else NAMED)
+            if marked and "comment" in words:
+                verdict = HIDDEN
             key = f"{name}.{'.'.join(sorted(names.split()))}"
         role = said.get("role", "").lower()
-        marked = marked or role in ("main", "article") or said.get("itemprop", "") == "articleBody"
-        dead = dead or role in _ROLES or "hidden" in said or said.get("aria-hidden", "") == "true" or "display:none" in said.get("style", "").replace(" ", "").lower()
-    return _Element(name, key, dead, marked)
+        main = main or role == "main" or said.get("itemprop", "") == "articleBody"
+        marked = marked or main or role == "article"
+        if role in _ROLES:
+            verdict = max(verdict, NAMED if role == "form" else PART)
+        if "hidden" in said or said.get("aria-hidden", "") == "true" or "display:none" in said.get("style", "").replace(" ", "").lower():
+            verdict = HIDDEN
+    return _Element(name, key, verdict, marked, main)
+
+
+def _settled(found: list[tuple[tuple[_Element, ...], str, int]]) -> list[bool]:
+    """Whether each block (elements, text, characters in links) is dead, once the verdicts of mere wrappers are void.
+
+    Void are all verdicts around a main part, those by class words (and of forms) of an element that holds most of the page's text, and
+    those around the article that holds more than all that is left otherwise. Words of readers' comments count less only where nothing
+    is left; an element that is hidden stays so.
+    """
+    if not any(e.verdict for own, _, _ in found for e in own):
+        return [False] * len(found)
+    masses = [_mass(text, linked) for _, text, linked in found]
+    total = 0
+    for (own, _, _), mass in zip(found, masses, strict=True):
+        if any(e.verdict == HIDDEN for e in own):
+            continue
+        total += mass
+        for e in own:
+            e.mass += mass
+        inner = max((i for i, e in enumerate(own) if e.main), default=0)
+        for e in own[:inner]:
+            e.verdict = LIVE
+
+    def void(verdict: int) -> None:
+        for own, _, _ in found:
+            for e in own:
+                if e.verdict == verdict and 2 * e.mass > total:
+                    e.verdict = LIVE
+
+    void(NAMED)
+    left = sum(mass for (own, _, _), mass in zip(found, masses, strict=True) if not any(e.verdict for e in own))
+    articles: dict[int, list] = {}
+    for (own, _, _), mass in zip(found, masses, strict=True):
+        i = next((i for i, e in enumerate(own) if e.marked), None)
+        if i is not None and not any(e.verdict for e in own[i:]) and {e.verdict for e in own[:i]} - {LIVE} == {NAMED}:
+            articles.setdefault(id(own[i]), [0, own[:i]])[0] += mass
+    mass, around = max(articles.values(), key=lambda a: a[0], default=(0, ()))
+    if mass > left:
+        for e in around:
+            e.verdict = LIVE
+        left += mass
+    if not left:
+        void(COMMENTS)
+    return [any(e.verdict for e in own) for own, _, _ in found]
+
+
+def _mass(text: str, linked: int) -> int:
+    """Plain characters and, four times, punctuation."""
+    return len(text) - linked + 4 * len(_PUNCTUATION.findall(text))
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
     """(path, through an element without content, through an article or main part, text, characters in links) of each block."""
-    out: list[tuple[tuple[str, ...], bool, bool, str, int]] = []
+    out: list[tuple[tuple[_Element, ...], str, int]] = []
     stack: list[_Element] = []
     parts: list[str] = []
     linked = links = 0
@@ -91,8 +158,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                own = [e for e in stack if e.name not in _INLINE]
-                out.append((tuple(e.key for e in own), any(e.dead for e in stack), any(e.marked for e in stack), text, min(linked, len(text))))
+                out.append((tuple(stack), text, min(linked, len(text))))
         linked = 0
 
     def close(until: int) -> None:
@@ -101,24 +167,48 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int
             links -= e.name == "a"
         del stack[until:]
 
+    def left_head() -> None:
+        for i, e in enumerate(stack):
+            if e.name in ("head", "title"):
+                flush()
+                close(i)
+                break
+
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1].name == "head" and text.strip():
+            left_head()
         parts.append(text)
         if links:
             linked += len(text)
 
     at = 0
     page = page or ""
-    for m in _TOKEN.finditer(page):
+    unended: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if not name:
-            if m["raw"] and m["raw"].lower() in ("select", "textarea", "object", "head"):
-                flush()
             continue
         name = name.lower()
+        if not m["end"] and name not in _IN_HEAD:
+            left_head()
+        if not m["end"] and name in _RAW:
+            if name in ("select", "textarea", "object", "title"):
+                flush()
+            if name in ("svg", "math") and m["rest"].endswith("/"):
+                continue
+            end = None if name in unended else _RAW[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unended.add(name)
+            if name in _RAW_TEXT:
+                at = len(page)
+            if name != "title":
+                continue
         if m["end"]:
             if name in _INLINE:
                 for i in range(len(stack) - 1, -1, -1):
@@ -161,7 +251,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    paths = [tuple(e.key for e in own if e.name not in _INLINE) for own, _, _ in out]
+    return [(path, dead, any(e.marked for e in own), text, n) for path, dead, (own, text, n) in zip(paths, _settled(out), out, strict=True)]
 
 
 def main_text(page: str | None) -> str:
@@ -175,7 +266,7 @@ def main_text(page: str | None) -> str:
     for path, dead, marked, text, linked in found:
         if dead:
             continue
-        mass = len(text) - linked + 4 * len(_PUNCTUATION.findall(text))
+        mass = _mass(text, linked)
         s = sums.setdefault(path, [0.0, 0])
         s[0] += mass
         s[1] += 1

@@ -34,3 +34,28 @@ def test_query(spark, tmp_path):
 def test_long_page():
     page = "<article>" + "<p>Text, and more.</p>" * 20_000 + "</article>"
     assert html_extract.main_text(page).count("\n") == 19_999
+
+
+LONG = "Long text, with commas. And more of it, really quite a lot."
+WHOLE = {
+    f'<div class="has-sidebar"><article><p>{LONG}</p></article></div>': LONG,
+    f'<div class="content-sidebar-wrap"><main><p>{LONG}</p></main><div class="sidebar"><p>Other, other, other text.</p></div></div><footer>{LONG * 3}</footer>': LONG,
+    f'<form id="aspnetForm"><div id="content"><p>{LONG}</p><p>{LONG}</p></div></form>': f"{LONG}\n{LONG}",
+    f'<div class="overflow-hidden"><div><p>{LONG}</p></div></div><div class="menu"><p>Home</p></div>': LONG,
+    f"<html><head><title>t</title><meta charset=utf-8><body><p>{LONG}</p>": LONG,
+    f"<html><head><title>t <b></title><link href=x><p>{LONG}</p>": LONG,
+    f"<head><title>t<body><p>{LONG}</p>": LONG,
+    f"<head>\n<script>x</script>{LONG}": LONG,
+    f"<article><video-player src=x></video-player><p>{LONG}</p><svg-icon/><p>{LONG}</p></article>": f"{LONG}\n{LONG}",
+    f"<article><svg class=i /><p>{LONG}</p><video src=x><p>{LONG}</p></article>": f"{LONG}\n{LONG}",
+    # These stay out, however long they are.
+    f'<article><p>{LONG}</p></article><div id="comments"><p>{LONG * 5}</p></div>': LONG,
+    f'<div id="text"><p>{LONG}</p></div><div class="cookie-consent"><p>{LONG * 5}</p></div><div class="footer"><p>{LONG * 5}</p></div>': LONG,
+    f'<div id="text"><p>{LONG}</p></div><div class="related"><article><p>Teaser, yes.</p></article></div>': LONG,
+    f'<article><p>{LONG}</p></article><div hidden><main><p>{LONG * 5}</p></main></div>': LONG,
+}
+
+
+@pytest.mark.parametrize("page", list(WHOLE))
+def test_wrappers_and_open_heads_lose_nothing(page):
+    assert html_extract.main_text(page) == WHOLE[page]
