@@ -108,12 +108,12 @@ def detected(rasters: DataFrame) -> DataFrame:
     return rasters.select("sheet", "width", "height", "alpha").mapInPandas(run, "sheet long, cols int, rows int, confidence double, method string")
 
 
-def cropped(pixels: DataFrame, by: str, pad: int = 0) -> DataFrame:
-    """Every raster of `by` cut to the box of all their opaque pixels and moved to the origin; one bounded row is broadcast."""
-    box = pixels.where("a > 0").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+def cropped(pixels: DataFrame, by: str, pad: int = 0, sheet: str | None = None) -> DataFrame:
+    """Every raster of `by` cut to the box of all opaque pixels, or all of its sheet, and moved to the origin; a row a sheet is joined."""
+    box = pixels.where("a > 0").groupBy(*([F.col(sheet).alias("__sheet")] if sheet else [])).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     inside = (F.col("x") >= F.col("x0") - pad) & (F.col("x") <= F.col("x1") + pad) & (F.col("y") >= F.col("y0") - pad) & (F.col("y") <= F.col("y1") + pad)
-    joined = pixels.join(F.broadcast(box), inside)
-    return joined.withColumns({"x": F.col("x") - F.col("x0") + pad, "y": F.col("y") - F.col("y0") + pad}).drop("x0", "x1", "y0", "y1")
+    joined = pixels.join(box, inside & F.col(sheet).eqNullSafe(F.col("__sheet"))) if sheet else pixels.join(F.broadcast(box), inside)
+    return joined.withColumns({"x": F.col("x") - F.col("x0") + pad, "y": F.col("y") - F.col("y0") + pad}).drop("x0", "x1", "y0", "y1", "__sheet")
 
 
 def crop_box(width: Column, height: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:

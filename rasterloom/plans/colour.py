@@ -106,7 +106,18 @@ def _over_sql() -> str:
 def blend_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth frame is a sheet's backdrop and the one after it a layer on it, in fifteen modes at an opacity of 200."""
     p = pixels(spark, sf_dir)
-    base = p.where("frame % 10 = 0").select("frame", "x", "y", *[F.col(c).alias(f"b{c}") for c in "rgba"])
+    return _blended(p.where("frame % 10 = 0"), p)
+
+
+@plan(_over_sql().replace(" WHERE b.frame % 10 = 0", ""))
+def blend_modes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame is a backdrop and the one after it a layer on it, in the same modes and opacity."""
+    p = pixels(spark, sf_dir)
+    return _blended(p, p)
+
+
+def _blended(backdrops: DataFrame, p: DataFrame) -> DataFrame:
+    base = backdrops.select("frame", "x", "y", *[F.col(c).alias(f"b{c}") for c in "rgba"])
     top = p.select((F.col("frame") - 1).alias("frame"), "x", "y", *[F.col(c).alias(f"s{c}") for c in "rgba"])
     both = base.join(top, ["frame", "x", "y"])
     rows = F.array(*[F.struct(F.lit(m).alias("mode"), *[colour.blended(m, F.col(f"b{c}"), F.col(f"s{c}")).cast("int").alias(f"o{c}") for c in "rgb"]) for m in _MODES])

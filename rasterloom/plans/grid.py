@@ -54,6 +54,13 @@ def auto_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.cropped(p, "frame", 1).select("frame", "x", "y", "n")
 
 
+@plan(f"WITH {CANVAS}, b AS (SELECT frame % 7 AS sheet, min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM canvas GROUP BY 1) SELECT sheet, frame, x - x0 + 1 AS x, y - y0 + 1 AS y, n FROM canvas JOIN b ON frame % 7 = sheet")
+def auto_crop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame cut to the common box of its sheet; the residues of seven are the sheets."""
+    p = canvas(spark, sf_dir).withColumns({"sheet": F.col("frame") % 7, "a": F.lit(255)})
+    return grid.cropped(p, "frame", 1, "sheet").select("sheet", "frame", "x", "y", "n")
+
+
 @plan("SELECT p_partkey, floor(p_size * 10 * 0.125 + 0.5)::INT AS x, floor(480 * 0.1 + 0.5)::INT AS y, greatest(1, floor(p_size * 10 * 0.625 + 0.5))::INT AS w, greatest(1, floor(480 * 0.8 + 0.5))::INT AS h FROM part")
 def manual_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = grid.crop_box(F.col("p_size") * 10, F.lit(480), F.lit(0.125), F.lit(0.1), F.lit(0.25), F.lit(0.1))

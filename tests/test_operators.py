@@ -219,3 +219,22 @@ def test_layered_files(spark, tmp_path):
     for cut in (3, 60, 150, 200):
         with pytest.raises(ase.AseError):
             ase.parse(_ase()[:cut])
+
+
+def _tables(spark, path, frames=4, users=9):
+    """embeddings of `frames` frames in which a channel's value is the frame's, and an event of each user at hour = user."""
+    spark.createDataFrame([(i, [(i + 0.5) / 256 - 0.5] * 64) for i in range(frames)], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    events = spark.createDataFrame([(u, f"2024-01-{u + 3:02d} {u:02d}:00:00") for u in range(users)], "user_id long, t string")
+    events.select("user_id", F.to_timestamp("t").alias("ts")).write.parquet(f"{path}/events.parquet")
+
+
+def test_every_neighbouring_pair_is_blended_and_every_canvas_cropped(spark, tmp_path):
+    from rasterloom.plans.colour import blend_modes_all
+    from rasterloom.plans.grid import auto_crop_all
+
+    _tables(spark, str(tmp_path))
+    blended = blend_modes_all(spark, str(tmp_path))
+    assert sorted((r.mode, r.frame) for r in blended.where("x = 0 and y = 0 and mode in ('darken', 'lighten')").collect()) == [(m, f) for m in ("darken", "lighten") for f in range(3)]
+    assert blended.count() == 15 * 3 * 16
+    got = sorted((r.sheet, r.frame, r.x, r.y) for r in auto_crop_all(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 1, 1), (0, 7, 8, 8), (1, 1, 1, 1), (1, 8, 8, 8)] + [(s, s, 1, 1) for s in range(2, 7)]
