@@ -22,6 +22,16 @@ def extracted(pixels: DataFrame, by: str, most: int) -> DataFrame:
     return ordered.select(by, F.posexplode("c").alias("rank", "e")).select(by, "e.rgb", (-F.col("e.m")).alias("n"), "rank")
 
 
+def palette(pixels: DataFrame, by: str, most: int) -> DataFrame:
+    """(by, rgb, n, rank): `extracted`, and median cut without repeated colours (n null) for rasters with more than `most` colours."""
+    own = pixels.withColumn(by, F.col(by).cast("long"))
+    many = populations(own, by).groupBy(by).agg(F.count("*").alias("k")).where(F.col("k") > most).select(by)
+    rgb = packed_rgb(F.col("r"), F.col("g"), F.col("b"))
+    cut = median_cut(own.join(many, by, "left_semi"), by, most).groupBy(by, rgb.alias("rgb")).agg(F.min("rank").alias("at"))
+    ordered = cut.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("at", "rgb"))).alias("c")).select(by, F.posexplode("c").alias("rank", "e"))
+    return extracted(own, by, most).unionByName(ordered.select(by, "e.rgb", F.lit(None).cast("long").alias("n"), "rank"))
+
+
 def nearest(colours: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
     """Adds to: the place in the palette of the nearest colour, the first of equals. The palette is a literal of the plan."""
     own = unpacked_rgb(F.col("rgb"))

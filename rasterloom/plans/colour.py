@@ -40,6 +40,12 @@ def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colour.extracted(keyed(spark, sf_dir), "frame", 8)
 
 
+@plan()
+def palettes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame's palette; those of more than eight colours by median cut, which SQL cannot say."""
+    return colour.palette(keyed(spark, sf_dir), "frame", 8)
+
+
 _PALETTE = [(0, 0, 0), (255, 255, 255), (128, 128, 128), (160, 100, 60), (60, 100, 160), (110, 140, 110)]
 _PAL_SQL = "pal(i, pr, pg, pb) AS (VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(_PALETTE)) + ")"
 

@@ -238,3 +238,17 @@ def test_every_neighbouring_pair_is_blended_and_every_canvas_cropped(spark, tmp_
     assert blended.count() == 15 * 3 * 16
     got = sorted((r.sheet, r.frame, r.x, r.y) for r in auto_crop_all(spark, str(tmp_path)).collect())
     assert got == [(0, 0, 1, 1), (0, 7, 8, 8), (1, 1, 1, 1), (1, 8, 8, 8)] + [(s, s, 1, 1) for s in range(2, 7)]
+
+
+def test_palette_of_many_colours_is_cut(spark):
+    few = [[(9, 9, 9, 255)] * 4] * 4
+    many = [[(v, 0, 0, 255) for v in (0, 1, 200, 201)]] * 4
+    repeats = [[(10, 10, 10, 255)] * 4, [(10, 10, 10, 255)] * 4, [(10, 10, 10, 255)] * 4, [(10, 10, 10, 255), (11, 10, 10, 255), (12, 10, 10, 255), (250, 10, 10, 255)]]
+    df = raster(spark, [few, many, repeats])
+    got = {}
+    for r in colour.palette(df, "frame", 3).orderBy("frame", "rank").collect():
+        got.setdefault(r.frame, []).append((r["rank"], r.rgb >> 16, r.n))
+    assert got[0] == [(0, 9, 16)]
+    assert got[1] == [(0, 0, None), (1, 1, None), (2, 201, None)]
+    assert got[2] == [(0, 10, None), (1, 71, None)]
+    assert {r.frame for r in colour.extracted(df, "frame", 3).collect()} == {0}
