@@ -15,14 +15,20 @@ _FRAMES = """fr AS (SELECT p_partkey // 12 AS sheet, p_partkey AS frame, (p_part
  doc AS (SELECT fr.*, CASE WHEN p.x = 15 THEN 16 ELSE p.x END AS px, CASE WHEN p.y = 31 THEN 32 ELSE p.y END AS py FROM fr LEFT JOIN pv USING (frame))"""
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ALL_FRAMES = _FRAMES.replace(" WHERE l_partkey % 3 = 0", "").replace("x := (l_quantity % 16)::INT, y := (l_quantity % 32)::INT", "x := CASE WHEN l_returnflag <> 'R' THEN (l_quantity % 16)::INT END, y := CASE WHEN l_returnflag <> 'R' THEN (l_quantity % 32)::INT END")
+
+
+def _frames(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Parts as frames with the pivot of their last line: of each third part, or of every part, where a returned line says none."""
     k = F.col("p_partkey")
     frames = table(spark, sf_dir, "part").select(
         F.floor(k / 12).alias("sheet"), k.alias("frame"), (k % 12 % 4 * 18 + 1).cast("int").alias("x"), (F.floor(k % 12 / 4) * 34 + 2).cast("int").alias("y"), F.lit(16).alias("w"), F.lit(32).alias("h"), F.floor("p_retailprice").cast("int").alias("ms")
     )
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0")
+    li = table(spark, sf_dir, "lineitem")
+    li = li if every else li.where("l_partkey % 3 = 0")
+    given = lambda c: F.when(F.col("l_returnflag") != "R", c) if every else c
     order = F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber") * 10_000 + F.col("l_suppkey") + F.col("l_extendedprice") / 1_000_000
-    pivots = li.select(order.alias("ord"), F.col("l_partkey").alias("frame"), (F.col("l_quantity") % 16).cast("int").alias("x"), (F.col("l_quantity") % 32).cast("int").alias("y"))
+    pivots = li.select(order.alias("ord"), F.col("l_partkey").alias("frame"), given((F.col("l_quantity") % 16).cast("int")).alias("x"), given((F.col("l_quantity") % 32).cast("int")).alias("y"))
     return op.attached(frames, pivots)
 
 
@@ -36,6 +42,16 @@ def unity_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.unity_rects(_frames(spark, sf_dir), F.lit(104))
 
 
+@plan(f"WITH {_ALL_FRAMES} SELECT * FROM doc")
+def normalized_frames_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir, every=True)
+
+
+@plan(f"WITH {_ALL_FRAMES} SELECT sheet, frame, x, 104 - y - h AS y, w, h, coalesce(px / w, 0.5)::DOUBLE AS pivot_x, coalesce(1 - py / h, 0.5)::DOUBLE AS pivot_y FROM doc")
+def unity_rects_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.unity_rects(_frames(spark, sf_dir, every=True), F.lit(104))
+
+
 _RECT = """'"frame":{"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || '}'"""
 
 
@@ -47,12 +63,12 @@ def aseprite_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def phaser_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.phaser_json(_frames(spark, sf_dir))
+    return op.phaser_json(_frames(spark, sf_dir, every=True))
 
 
 @plan()
 def unity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.unity_meta(op.unity_rects(_frames(spark, sf_dir), F.lit(104)))
+    return op.unity_meta(op.unity_rects(_frames(spark, sf_dir, every=True), F.lit(104)))
 
 
 @plan(f"""WITH {_FRAMES}, t(name, lo, hi, fps) AS (VALUES ('a', 0, 30, 10.0::DOUBLE), ('b', 20, 60, 24.0::DOUBLE))

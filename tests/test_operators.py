@@ -252,3 +252,15 @@ def test_palette_of_many_colours_is_cut(spark):
     assert got[1] == [(0, 0, None), (1, 1, None), (2, 201, None)]
     assert got[2] == [(0, 10, None), (1, 71, None)]
     assert {r.frame for r in colour.extracted(df, "frame", 3).collect()} == {0}
+
+
+def test_every_part_may_have_a_pivot(spark, tmp_path):
+    from rasterloom.plans import documents
+
+    spark.createDataFrame([(k, 1000.0) for k in range(1, 7)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k, k, 1, 1, 100.0, 3.0, "N") for k in range(1, 6)] + [(9, 5, 1, 1, 100.0, 4.0, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_suppkey long, l_extendedprice double, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {1: 3, 2: 3, 3: 3, 4: 3, 5: None, 6: None}
+    assert {r.frame: r.px for r in documents.normalized_frames_all(spark, str(tmp_path)).collect()} == want
+    assert sum(r.document.count('"anchor"') for r in documents.phaser_documents(spark, str(tmp_path)).collect()) == 4
+    assert sum(r.document.count("pivot: {x: 0.1875") for r in documents.unity_documents(spark, str(tmp_path)).collect()) == 4
