@@ -79,18 +79,18 @@ def tag_partitions(frames: DataFrame, tags: DataFrame, frame: str, none: int) ->
     return frames.join(first, frame, "left").withColumn("owner", F.coalesce("owner", F.lit(none)))
 
 
-def remapped_tags(tags: DataFrame, mapping: DataFrame, frames: int) -> DataFrame:
-    """(ord, name, frames, from_f, to_f, contiguous): tags over renumbered frames (frame, new_index), with repeats in a row merged."""
+def remapped_tags(tags: DataFrame, mapping: DataFrame, frames: int, *by: str) -> DataFrame:
+    """(by.., ord, name, frames, from_f, to_f, contiguous): tags over renumbered frames (by.., frame, new_index), with repeats in a row merged."""
     lo, hi = F.least("from_f", "to_f"), F.greatest("from_f", "to_f")
     inside = (hi >= 0) & (lo < frames)
-    clamped = tags.select("ord", "name", F.when(inside, F.sequence(F.greatest(F.lit(0), lo), F.least(F.lit(frames - 1), hi))).alias("old"))
-    each = clamped.select("ord", F.explode("old").alias("frame")).join(mapping, "frame")
-    walked = each.groupBy("ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "new_index"))), lambda p: p["new_index"]).alias("all"))
+    clamped = tags.select(*by, "ord", "name", F.when(inside, F.sequence(F.greatest(F.lit(0), lo), F.least(F.lit(frames - 1), hi))).alias("old"))
+    each = clamped.select(*by, "ord", F.explode("old").alias("frame")).join(mapping, [*by, "frame"])
+    walked = each.groupBy(*by, "ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "new_index"))), lambda p: p["new_index"]).alias("all"))
     merged = F.filter("all", lambda x, i: (i == 0) | (x != F.get(F.col("all"), i - 1)))
-    out = clamped.join(walked, "ord", "left").select("ord", "name", F.coalesce(merged, F.array().cast("array<int>")).alias("frames"))
+    out = clamped.join(walked, [*by, "ord"], "left").select(*by, "ord", "name", F.coalesce(merged, F.array().cast("array<int>")).alias("frames"))
     steps = F.forall(F.sequence(F.lit(1), F.size("frames")), lambda i: (i == F.size("frames")) | (F.get("frames", i) == F.get("frames", i - 1) + 1))
     some = F.size("frames") > 0
-    return out.select("ord", "name", "frames", F.when(some, F.array_min("frames")).otherwise(0).alias("from_f"), F.when(some, F.array_max("frames")).otherwise(0).alias("to_f"), (some & steps).alias("contiguous"))
+    return out.select(*by, "ord", "name", "frames", F.when(some, F.array_min("frames")).otherwise(0).alias("from_f"), F.when(some, F.array_max("frames")).otherwise(0).alias("to_f"), (some & steps).alias("contiguous"))
 
 
 def remapped_durations(holds: DataFrame, mapping: DataFrame) -> DataFrame:

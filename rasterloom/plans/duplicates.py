@@ -65,6 +65,20 @@ def remapped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.remapped_tags(tags(spark), mapping, 250)
 
 
+_REMAP_ALL = f"""{_SIG}, {TAGS}, old AS (SELECT sheet, ord, name, greatest(0, least(from_f, to_f)) AS lo, least(249, greatest(from_f, to_f)) AS hi FROM tags, (SELECT DISTINCT sheet FROM map)),
+ w AS (SELECT o.sheet, o.ord, m.frame, m.new_index, lag(m.new_index) OVER (PARTITION BY o.sheet, o.ord ORDER BY m.frame) AS before FROM old o JOIN map m ON m.sheet = o.sheet AND m.frame - m.sheet * 250 BETWEEN lo AND hi),
+ k AS (SELECT sheet, ord, list(new_index ORDER BY frame) AS frames FROM w WHERE before IS NULL OR before <> new_index GROUP BY 1, 2)"""
+
+
+@plan(f"""WITH {_REMAP_ALL} SELECT o.sheet, o.ord, o.name, coalesce(k.frames, []::INT[]) AS frames, coalesce(list_min(k.frames), 0)::INT AS from_f, coalesce(list_max(k.frames), 0)::INT AS to_f,
+ coalesce(k.frames = range(list_min(k.frames), list_max(k.frames) + 1)::INT[], false) AS contiguous FROM old o LEFT JOIN k USING (sheet, ord)""")
+def remapped_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of every sheet, over its own frames from 0."""
+    mapping = _mapped(spark, sf_dir).select("sheet", (F.col("frame") - F.col("sheet") * SHEET * 10).cast("int").alias("frame"), "new_index")
+    per_sheet = mapping.select("sheet").distinct().crossJoin(F.broadcast(tags(spark)))
+    return op.remapped_tags(per_sheet, mapping, SHEET * 10, "sheet")
+
+
 @plan(f"""WITH {_SIG} SELECT sheet, new_index, arg_min(CASE WHEN frame % 3 = 0 THEN frame * 10 END, frame) AS hold FROM map GROUP BY 1, 2""")
 def remapped_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mapped(spark, sf_dir)

@@ -69,8 +69,9 @@ def manual_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def detected_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of users' canvases: each has 6 x 1 blocks of three hours with a gap of one; detection runs over one raster a row."""
-    p = canvas(spark, sf_dir).where("x % 4 < 3")
-    spots = p.groupBy(F.col("frame").alias("sheet")).agg(F.sort_array(F.collect_set((F.col("y") * 24 + F.col("x")).cast("int"))).alias("spots"))
-    grid_ = F.transform(F.sequence(F.lit(0), F.lit(24 * 31 - 1)), lambda i: F.when(F.array_contains("spots", i), F.lit("FF")).otherwise("00"))
-    return grid.detected(spots.select("sheet", F.lit(24).alias("width"), F.lit(31).alias("height"), F.unhex(F.array_join(grid_, "")).alias("alpha")))
+    """Sheets of users' canvases: each has 8 x 1 blocks of three hours with a gap of one; detection runs over one raster a row."""
+    width = 24 + 8 - 1
+    p = canvas(spark, sf_dir).withColumn("x", F.col("x") + F.floor(F.col("x") / 3))
+    spots = p.groupBy(F.col("frame").alias("sheet")).agg(F.sort_array(F.collect_set((F.col("y") * width + F.col("x")).cast("int"))).alias("spots"))
+    grid_ = F.transform(F.sequence(F.lit(0), F.lit(width * 31 - 1)), lambda i: F.when(F.array_contains("spots", i), F.lit("FF")).otherwise("00"))
+    return grid.detected(spots.select("sheet", F.lit(width).alias("width"), F.lit(31).alias("height"), F.unhex(F.array_join(grid_, "")).alias("alpha")))

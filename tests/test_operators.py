@@ -264,3 +264,17 @@ def test_every_part_may_have_a_pivot(spark, tmp_path):
     assert {r.frame: r.px for r in documents.normalized_frames_all(spark, str(tmp_path)).collect()} == want
     assert sum(r.document.count('"anchor"') for r in documents.phaser_documents(spark, str(tmp_path)).collect()) == 4
     assert sum(r.document.count("pivot: {x: 0.1875") for r in documents.unity_documents(spark, str(tmp_path)).collect()) == 4
+
+
+def test_tags_of_every_sheet_and_all_hours(spark, tmp_path):
+    from rasterloom.plans.duplicates import remapped_tags_all
+    from rasterloom.plans.grid import detected_grids
+
+    _tables(spark, str(tmp_path / "a"), frames=260)
+    got = {(r.sheet, r.name): list(r.frames) for r in remapped_tags_all(spark, str(tmp_path / "a")).collect()}
+    assert {s for s, _ in got} == {0, 1} and got[1, "idle"] == [0] and got[0, "far"] == got[1, "far"] == []
+    # Every hour of thirty days: eight blocks of three hours, where dropping each fourth hour left six.
+    events = spark.range(30 * 24).select(F.lit(1).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600).alias("ts"))
+    events.write.parquet(f"{tmp_path}/b/events.parquet")
+    r = detected_grids(spark, str(tmp_path / "b")).first()
+    assert (r.cols, r.rows, r.method) == (8, 1, "gaps")
