@@ -1,6 +1,11 @@
-"""Chat transcripts: roles by a hidden Markov model, then canonical turns.
+"""Chat transcripts: turns and roles by a hidden Markov model, then canonical turns.
 
-A transcript is a sequence of blocks of text, some of which begin with a speaker's marker in one of many styles, as in `Human:`, `[USER]`
+A transcript given as one text (`parse_text`) is cut into lines. The hidden state of a line is a role and whether the line begins a turn of
+that role or continues one; it is observed as the line's marker, its length, whether a question mark ends it, and whether one ends the line
+before or that line is blank. A turn goes from a line that the most probable states begin one at to the next such line, and a marker is cut
+off only there. The text is one value, so it is decoded in one task.
+
+For `parse` the turns are already cut, and a transcript is a sequence of blocks of text, some of which begin with a speaker's marker in one of many styles, as in `Human:`, `[USER]`
 or `### Response`. Roles are the hidden states. A block is observed as its marker's word, its number of lines, its length, the mean length
 of its lines and whether a question mark ends it; the features are independent given the role. Start, transition and emission
 probabilities are counted over a bounded sample of transcripts with known roles. The most probable roles (Viterbi) say who speaks, also
@@ -36,6 +41,8 @@ _MARKER = re.compile(rf"\s*(?:\*\*|#+\s*|\[|<\|?|\()?\s*({'|'.join(sorted(MARKER
 _HEADING = re.compile(r"\s*#+\s")
 #: Values of each feature: marker (0: none), lines, length, mean line, question.
 _WIDTHS = (len(MARKERS) + 1, 8, 12, 10, 2)
+#: Of a line: marker, length, question, question before, blank before.
+_LINE_WIDTHS = (len(MARKERS) + 1, 12, 2, 2, 2)
 
 
 def parted(block: str | None) -> tuple[int, str]:
@@ -63,8 +70,8 @@ class Model:
 
     def scores(self, seen: list[tuple[int, ...]]) -> np.ndarray:
         """Log probabilities (block, role) of what is observed."""
-        table = np.array(seen, np.int64).reshape(-1, len(_WIDTHS))
-        return sum(e[:, column].T for e, column in zip(self.emit, table.T, strict=True)) if len(table) else np.empty((0, len(ROLES)))
+        table = np.array(seen, np.int64).reshape(-1, len(self.emit))
+        return sum(e[:, column].T for e, column in zip(self.emit, table.T, strict=True)) if len(table) else np.empty((0, len(self.start)))
 
 
 def counted(conversations: list[list[tuple[str, str | None]]]) -> Model:
@@ -89,6 +96,61 @@ def counted(conversations: list[list[tuple[str, str | None]]]) -> Model:
     return Model(log(start), log(move), [log(e) for e in emit])
 
 
+def observed_lines(text: str | None) -> tuple[list[tuple[int, ...]], list[str], list[str]]:
+    """The features of each line, the lines, and the lines without their markers."""
+    lines = (text or "").replace("\r\n", "\n").split("\n")
+    seen, plain, before = [], [], None
+    for line in lines:
+        marker, rest = parted(line + "\n")
+        plain.append(rest if marker else line)
+        seen.append((marker, min(len(rest).bit_length(), 11), int(rest.endswith("?")), int(before is not None and before.endswith("?")), int(before == "")))
+        before = rest
+    return seen, lines, plain
+
+
+def counted_lines(conversations: list[list[tuple[str, str | None]]]) -> Model:
+    """A model of lines from lists of (role, block): state 2 r begins a turn of role r, and 2 r + 1, only after these two, continues it."""
+    n = 2 * len(ROLES)
+    start, move, emit = np.ones(n), np.ones((n, n)), [np.full((n, w), 0.5) for w in _LINE_WIDTHS]
+    for blocks in conversations:
+        # Observed in the whole text, so that a line's features see the line before it.
+        seen = iter(observed_lines("\n".join((b or "").replace("\r\n", "\n") for _, b in blocks))[0])
+        before = None
+        for i, (role, block) in enumerate(blocks):
+            for k in range((block or "").replace("\r\n", "\n").count("\n") + 1):
+                x = next(seen)
+                if role not in ROLES:
+                    before = None
+                    continue
+                state = 2 * ROLES.index(role) + (k > 0)
+                if i == k == 0:
+                    start[state] += 1
+                if before is not None:
+                    move[before, state] += 1
+                for e, v in zip(emit, x, strict=True):
+                    e[state, v] += 1
+                before = state
+    start[1::2] = 0
+    for r in range(len(ROLES)):
+        others = [s for s in range(n) if s // 2 != r]
+        move[others, 2 * r + 1] = 0
+    with np.errstate(divide="ignore"):
+        log = lambda x: np.log(x / x.sum(-1, keepdims=True))
+        return Model(log(start), log(move), [log(e) for e in emit])
+
+
+def turns_of(text: str | None, model: Model) -> list[tuple[str, bool, str]]:
+    """(role, whether a marker was cut off, text) of the turns of a transcript, by a model of lines."""
+    seen, lines, plain = observed_lines(text)
+    out: list[tuple[str, bool, list[str]]] = []
+    for state, x, line, rest in zip(traced(model, model.scores(seen), None), seen, lines, plain, strict=True):
+        if state % 2 == 0:
+            out.append((ROLES[state // 2], x[0] > 0, [rest]))
+        else:
+            out[-1][2].append(line)
+    return [(role, marked, "\n".join(held).strip()) for role, marked, held in out]
+
+
 def transfer(model: Model, scores: np.ndarray, first: bool) -> np.ndarray:
     """The best score from each role before the blocks (all equal at a conversation's start) to each at their end."""
     best = model.start[None, :] + scores[0] + np.zeros((len(ROLES), 1)) if first else model.move + scores[0]
@@ -112,13 +174,23 @@ def traced(model: Model, scores: np.ndarray, before: int | None, end: int | None
 
 
 def fit(transcripts: DataFrame, conversations: int = MOST_CONVERSATIONS, blocks: int = MOST_BLOCKS) -> Model:
-    """Counts a model over the conversations with the smallest hashes of their ids; at most `blocks` rows reach the driver."""
+    """Counts a model of blocks over a sample of the conversations."""
+    return counted(_sampled(transcripts, conversations, blocks))
+
+
+def fit_lines(transcripts: DataFrame, conversations: int = MOST_CONVERSATIONS, blocks: int = MOST_BLOCKS) -> Model:
+    """Counts a model of lines over a sample of the conversations."""
+    return counted_lines(_sampled(transcripts, conversations, blocks))
+
+
+def _sampled(transcripts: DataFrame, conversations: int, blocks: int) -> list[list[tuple[str, str | None]]]:
+    """The (role, block) lists of the conversations with the smallest hashes of their ids; at most `blocks` rows reach the driver."""
     chosen = transcripts.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(conversations)
     rows = transcripts.join(F.broadcast(chosen), "conv_id").orderBy(F.xxhash64("conv_id"), "conv_id", "turn").limit(blocks).select("conv_id", "turn", "role", "block").collect()
     held: dict[int, list[tuple[str, str | None]]] = {}
     for r in sorted(rows, key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.turn is not None, r.turn or 0)):
         held.setdefault(r.conv_id, []).append((r.role, r.block))
-    return counted(list(held.values()))
+    return list(held.values())
 
 
 def _segments(blocks: DataFrame, model: Model) -> DataFrame:
@@ -215,6 +287,32 @@ def parse(transcripts: DataFrame, model: Model, conv_id: str = "conv_id", turn:
     return joined.select("conv_id", "turns", "texts", "marked", "scores", "before", "end").mapInArrow(run, "conv_id long, turn long, role string, marked boolean, text string, rendered string")
 
 
+def joined(transcripts: DataFrame) -> DataFrame:
+    """conv_id, text: the blocks of each conversation in order (turn, then block) as one text, a line feed between them."""
+    ordered = transcripts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "block"))).alias("b"))
+    return ordered.select("conv_id", F.array_join(F.transform("b", lambda b: F.coalesce(b["block"], F.lit(""))), "\n").alias("text"))
+
+
+def parse_text(transcripts: DataFrame, model: Model, conv_id: str = "conv_id", text: str = "text") -> DataFrame:
+    """conv_id, turn (from 0), role, marked, text, rendered: the turns found in transcripts of one text each, by a model of lines."""
+    held = transcripts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = [(c, k, *t) for c, x in zip(*(c.to_pylist() for c in part.columns), strict=True) for k, t in enumerate(turns_of(x, held.value))]
+                conv, turn, role, marked, texts = zip(*rows, strict=True)
+                rendered = [f"<|{r}|>\n{t}\n" for r, t in zip(role, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(conv, pa.int64()), pa.array(turn, pa.int64()), pa.array(role), pa.array(marked), pa.array(texts, pa.string()), pa.array(rendered)],
+                    names=["conv_id", "turn", "role", "marked", "text", "rendered"],
+                )
+
+    own = transcripts.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(text).cast("string").alias("text"))
+    return own.mapInArrow(run, "conv_id long, turn long, role string, marked boolean, text string, rendered string")
+
+
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, block: conversations as transcripts, in one of five styles each; every fourth marker, by hash, is left out."""
     styles = (("System: ", "User: ", "Assistant: "), ("Context: ", "Human: ", "AI: "), ("[SYSTEM] ", "[USER] ", "[ASSISTANT] "), ("### System\n", "### Instruction\n", "### Response\n"), ("**System:** ", "Q: ", "A: "))
@@ -232,6 +330,6 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of every conversation, its role recovered from a transcript in which some markers are missing."""
+    """Every turn of every conversation, found with its role in a transcript of one text in which some markers are missing."""
     transcripts = raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return parse(transcripts, fit(transcripts)).select("conv_id", "turn", "role", "marked", "rendered")
+    return parse_text(joined(transcripts), fit_lines(transcripts)).select("conv_id", "turn", "role", "marked", "rendered")

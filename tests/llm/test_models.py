@@ -118,3 +118,33 @@ def test_odd_transcripts(spark):
     assert sorted((r.conv_id or -1, r.turn or -1, r.text) for r in got) == [(-1, -1, ""), (-1, 1, ""), (1, 5, "hi"), (1, 5, "hi"), (1, 2000, "yes")]
     none = spark.createDataFrame([], schema)
     assert chat_format.parse(none, chat_format.fit(none)).count() == 0
+
+
+def _talks(n):
+    rnd = random.Random(5)
+    for c in range(n):
+        for t in range(rnd.randint(2, 7)):
+            role = "system" if t == 0 and c % 4 == 0 else ("user", "assistant")[t % 2]
+            yield c, t, role, "\n".join([" ".join(["word"] * (6 if role == "user" else 30)) + ("?" if role == "user" else ".")] * (1 if role == "user" else rnd.randint(1, 3)))
+
+
+def test_turns_are_found_in_one_text(spark):
+    rows = list(_talks(200))
+    raw = chat_format.raw_transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    model = chat_format.fit_lines(raw)
+    got = chat_format.turns_of("User: hi there?\nAssistant: yes.\nIndeed, A: is one.\nUser: and now?", model)
+    assert got == [("user", True, "hi there?"), ("assistant", True, "yes.\nIndeed, A: is one."), ("user", True, "and now?")]
+    assert chat_format.turns_of("### Instruction\nword?\n### Response\nword.", model) == [("user", True, "word?"), ("assistant", True, "word.")]
+    assert len(chat_format.turns_of(None, model)) == 1
+    text = chat_format.joined(raw)
+    assert text.count() == 200
+    found = {(r.conv_id, r.turn): (r.role, r.text) for r in chat_format.parse_text(text, model).collect()}
+    want = {(c, t): (role, x) for c, t, role, x in rows}
+    assert np.mean([found.get(k) == v for k, v in want.items()]) > 0.9
+
+
+def test_query_finds_turns_itself(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "hi?"), (1, 1, "assistant", "yes.\nUser: no?"), (None, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat_format.op5_chat_format(spark, str(tmp_path))
+    assert got.columns == ["conv_id", "turn", "role", "marked", "rendered"]
+    assert {r.conv_id for r in got.collect()} == {1, None}
