@@ -1,82 +1,184 @@
 """Adaptive context-mixing range coder for token ids, in lockstep over many blocks.
 
-A block of ids is coded on its own, from a fresh state. Before each id, an order-2 and an order-1 table (by hashes of the last two ids
-and of the last one) each predict an id with a confidence of 0 to 3, and an order-0 model gives the frequencies of the 16 binary
-magnitudes of ids. The pair of confidences selects two adaptive weights, which mix the three into one distribution: the order-2 id,
-the order-1 id, or a magnitude. A carry-less range coder (after Subbotin) with a window of 48 bits and words of 16 bits codes what
-came. The lower bits of an id coded by its magnitude follow in a second run of words, as they are. All arithmetic is on integers.
+Ids are coded as paths in a tree with 16 branches a node (Huffman's, of the counts of a segment's ids), branch by branch, so that no bit of
+an id is left unmodelled. Three models each give the distribution of the next branch: order 0 by the node, order 1 by the node and the last
+id, order 2 by the node and the last two ids. Orders 1 and 2 are hashed tables with tags; a context that is met for the first time begins
+with the distribution of the order below. The three are mixed with adaptive weights, which are kept for each pair of confidences (how often
+both contexts have been met), and every id is learned by all of them. A carry-less range coder (after Subbotin) with a window of 48 bits
+and words of 16 bits codes the branch.
 
-`encode` and `decode` take all blocks at once, one lane of the arrays each; a step of the loop codes one id of every block.
+Every block is coded on its own from the same fresh state: order 0 as the tree's counts have it, nothing in orders 1 and 2, equal weights.
+`encode` and `decode` take all blocks at once, one lane of the arrays each; a step of the loop codes one branch of every block. Floating
+point is only used element by element in single precision (sums, products, quotients), which gives the same bits on every machine.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
-MAGNITUDES = 16
-_S1, _S2 = 256, 512
+BRANCHES = 16
+#: Slots of the tables of orders 1 and 2 for each block, as a power of two.
+SLOT_BITS = 10
 _TOP, _BOT, _MASK = 1 << 32, 1 << 24, (1 << 48) - 1
-_MOST = 61408
-_EVERY = 32
-_FLOOR = 32
-_ORDER0 = 1 << 15
-_FLOORS = (np.arange(1, MAGNITUDES + 1) * _FLOOR)[:, None]
-_MAGNITUDE = np.frexp(np.arange(1, 65537).astype(np.float64))[1].astype(np.int32) - 1
+_ONE = 32767
+_TOTAL = _ONE + BRANCHES
+_U = np.uint32
+_F = np.float32
+_RATE0 = _F(0.03)
+_RATE = np.array([0.6, 0.4, 0.3, 0.2], np.float32)
+_LEARN = _F(0.03)
+_GUARD = np.arange(1, BRANCHES + 1, dtype=np.int32)
+#: The cumulative distribution that is sure of a branch.
+_SURE = np.where(np.arange(BRANCHES)[None, :] >= np.arange(BRANCHES)[:, None], _F(_ONE), _F(0))
 
 
-class _Model:
-    """The state of all lanes before the next id. Weights have 15 bits, the total of a distribution 16."""
+class Tree:
+    """The paths of ids, from how often each occurs."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids = ids
+        n = len(ids)
+        order = np.argsort(counts, kind="stable")
+        pad = -(n - 1) % (BRANCHES - 1) if n > 1 else 0
+        # Two queues: leaves and merged nodes, both ascending. Leaves are 0..n-1, padding is -1, node m is n + m.
+        leaves = [(0, -1)] * pad + list(zip(counts[order].tolist(), order.tolist(), strict=True))
+        merged: list[tuple[int, int]] = []
+        children: list[list[tuple[int, int]]] = []
+        a = b = 0
+        while not children or len(leaves) - a + len(merged) - b > 1:
+            own = []
+            while len(own) < BRANCHES and (a < len(leaves) or b < len(merged)):
+                if b >= len(merged) or (a < len(leaves) and leaves[a][0] <= merged[b][0]):
+                    own.append(leaves[a])
+                    a += 1
+                else:
+                    own.append(merged[b])
+                    b += 1
+            own.reverse()
+            merged.append((sum(x[0] for x in own), n + len(children)))
+            children.append(own)
+        # The root comes first.
+        m = len(children)
+        self.nodes = m
+        #: What a branch leads to: n + a node, or a leaf's place in ids.
+        self.child = np.full((m, BRANCHES), -1, np.int32)
+        weight = np.zeros((m, BRANCHES))
+        for i, own in enumerate(reversed(children)):
+            for j, (w, c) in enumerate(own):
+                self.child[i, j] = n + m - 1 - (c - n) if c >= n else c
+                weight[i, j] = w
+        share = np.cumsum(weight, axis=1) / np.maximum(weight.sum(1, keepdims=True), 1)
+        self.first = np.floor(share * _ONE).astype(np.int16)
+        self.first[:, -1] = _ONE
+        # Paths by descent: (node, branch) before each node.
+        self.depth = np.zeros(n, np.int64)
+        path: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+        steps: list[list[tuple[int, int]]] = [[]] * n
+        for i in range(m):
+            for j, c in enumerate(self.child[i].tolist()):
+                if c >= n:
+                    path[c - n] = [*path[i], (i, j)]
+                elif c >= 0:
+                    steps[c] = [*path[i], (i, j)]
+            path[i] = []
+        self.depth = np.array([len(s) for s in steps], np.int64)
+        flat = list(itertools.chain.from_iterable(steps))
+        self.at = np.concatenate(([0], np.cumsum(self.depth)))
+        self.path_node = np.array([x[0] for x in flat], np.int32)
+        self.path_branch = np.array([x[1] for x in flat], np.int8)
+
+
+def _context(node: np.ndarray, last: np.ndarray, before: np.ndarray | int) -> np.ndarray:
+    """A hash of the node and the ids before (0: none)."""
+    h = last * _U(0x9E3779B1) + before * _U(0x85EBCA6B) + node * _U(0xC2B2AE35)
+    h ^= h >> _U(15)
+    h *= _U(0x2C1B3C6D)
+    h ^= h >> _U(12)
+    return h
+
+
+#: A distribution as one item, so that many are taken and put at once.
+_ROW = f"V{2 * BRANCHES}"
+
+
+class _Table:
+    """The contexts of an order above 0, for all lanes: a distribution, a tag and a confidence of 0 to 3 in each slot."""
 
     def __init__(self, lanes: int):
-        self.lanes, self.lane, self.step = lanes, np.arange(lanes), 0
-        self.t1, self.t2 = np.zeros(lanes * _S1, np.int32), np.zeros(lanes * _S2, np.int32)
-        self.weight1, self.weight2 = np.full(lanes * 16, 10000, np.int32), np.full(lanes * 16, 15000, np.int32)
-        self.count = np.repeat(np.arange(1, MAGNITUDES + 1, dtype=np.int32) * 4, lanes)
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.base1, self.base2, self.base16 = self.lane * _S1, self.lane * _S2, self.lane * 16
-        self.cum = np.zeros((MAGNITUDES + 1) * lanes, np.uint32)
-
-    def predict(self) -> None:
-        """Sets id2, id1 (-1: none), and the widths f2 and f1 of a total of 65536; cum has the order-0 model of the rest."""
-        if self.step % _EVERY == 0:
-            count = self.count.reshape(MAGNITUDES, self.lanes)
-            if self.step % 256 == 224:
-                count -= count >> 1
-            sums = np.cumsum(count, axis=0, dtype=np.int64)
-            scale = ((_ORDER0 - _FLOOR * MAGNITUDES) << 16) // sums[-1]
-            cum = self.cum.reshape(MAGNITUDES + 1, self.lanes)
-            cum[1:] = ((sums * scale) >> 16) + _FLOORS
-            cum[-1] = _ORDER0
-        mixed = self.last * np.int32(40503)
-        self.at1 = self.base1 + ((mixed >> 6) & (_S1 - 1))
-        self.at2 = self.base2 + (((mixed + self.before * np.int32(25033)) >> 5) & (_S2 - 1))
-        self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
-        self.id1, self.id2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
-        self.sure1, self.sure2 = self.e1 & 3, self.e2 & 3
-        self.of = self.base16 + (self.sure2 << 2) + self.sure1
-        self.w1, self.w2 = self.weight1[self.of], self.weight2[self.of]
-        self.f2 = (((self.w2 * np.int32(_MOST)) >> 15) + 16) * (self.id2 >= 0)
-        self.f1 = (((self.w1 * (_MOST + 16 - self.f2)) >> 15) + 8) * ((self.id1 >= 0) & (self.id1 != self.id2))
-
-    def update(self, ids: np.ndarray, magnitude: np.ndarray) -> None:
-        new = ((ids + 1) << 2) | 1
-        learn = self.step & 1  # weights and counts learn from every other id, in turn
-        for table, at, e, sure, own, weight, w in ((self.t2, self.at2, self.e2, self.sure2, self.id2, self.weight2, self.w2), (self.t1, self.at1, self.e1, self.sure1, self.id1, self.weight1, self.w1)):
-            hit = ids == own
-            if learn:
-                weight[self.of] = w + (((hit * np.int32(32767)) - w) >> 3)
-            to = new.copy()
-            np.copyto(to, e + (sure < 3), where=hit)
-            table[at] = to
-        if not learn:
-            self.count[magnitude * self.lanes + self.lane] += 48
-        self.before, self.last = self.last, ids
-        self.step += 1
-
-    def span(self, magnitude: np.ndarray, both: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The part of the total that a magnitude has."""
-        i = magnitude * self.lanes + self.lane
-        return both + ((self.cum[i] * rest) >> 15).astype(np.int32), both + ((self.cum[i + self.lanes] * rest) >> 15).astype(np.int32)
+        self.rows = np.zeros(lanes << SLOT_BITS, _ROW)
+        self.tags = np.zeros(lanes << SLOT_BITS, np.int32)
+        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+
+    def predict(self, h: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distributions, confidences)."""
+        self.at = self.base[: len(h)] + (h >> _U(32 - SLOT_BITS))
+        self.tag = ((h & _U(0x1FFFF)) + _U(1)).astype(np.int32) << 2
+        held = self.tags.take(self.at) ^ self.tag
+        self.sure = np.where(held < 4, held, 0)
+        self.own = self.rows.take(self.at).view(np.int16).reshape(-1, BRANCHES).astype(np.float32)
+        np.copyto(self.own, below, where=(self.sure == 0)[:, None])
+        return self.own, self.sure
+
+    def update(self, target: np.ndarray) -> None:
+        np.put(self.rows, self.at, _learned(self.own, target, _RATE.take(self.sure)[:, None]))
+        self.tags[self.at] = self.tag | np.minimum(self.sure + 1, 3)
+
+
+def _learned(own: np.ndarray, target: np.ndarray, rate: np.ndarray | np.float32) -> np.ndarray:
+    delta = target - own
+    delta *= rate
+    delta += own
+    return delta.astype(np.int16).view(_ROW).ravel()
+
+
+class _Model:
+    """The state of all lanes."""
+
+    def __init__(self, tree: Tree, lanes: int):
+        self.order0 = np.tile(np.ascontiguousarray(tree.first).view(_ROW).ravel(), lanes)
+        self.base = np.arange(lanes, dtype=np.int64) * tree.nodes
+        self.order1, self.order2 = _Table(lanes), _Table(lanes)
+        self.weights = [np.full(lanes * 16, 1 / 3, np.float32) for _ in range(3)]
+        self.base16 = np.arange(lanes, dtype=np.int64) * 16
+
+    def predict(self, node: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The upper ends of all branches, of _TOTAL."""
+        n = len(node)
+        self.at = self.base[:n] + node
+        self.r0 = self.order0.take(self.at).view(np.int16).reshape(-1, BRANCHES).astype(np.float32)
+        r1, sure1 = self.order1.predict(h1, self.r0)
+        r2, sure2 = self.order2.predict(h2, r1)
+        self.of = self.base16[:n] + ((sure2 << 2) | sure1)
+        self.w = [w.take(self.of) for w in self.weights]
+        mixed = self.r0 * self.w[0][:, None]
+        mixed += r1 * self.w[1][:, None]
+        mixed += r2 * self.w[2][:, None]
+        np.minimum(mixed, _F(_ONE), out=mixed)
+        cum = mixed.astype(np.int32)
+        cum += _GUARD
+        cum[:, -1] = _TOTAL
+        return cum
+
+    def update(self, branch: np.ndarray) -> None:
+        to = self.base16[: len(branch)] + branch
+        down, some = np.maximum(to - 1, 0), branch > 0
+        p = []
+        for r, w in zip((self.r0, self.order1.own, self.order2.own), self.w, strict=True):
+            flat = r.ravel()
+            x = flat.take(to)
+            x -= flat.take(down) * some
+            x += _F(2)
+            x *= w
+            p.append(x)
+        scale = _LEARN / (p[0] + p[1] + p[2])
+        for x, w, held in zip(p, self.w, self.weights, strict=True):
+            held[self.of] = x * scale + w * (_F(1) - _LEARN)
+        target = _SURE.take(branch, axis=0)
+        self.order1.update(target)
+        self.order2.update(target)
+        np.put(self.order0, self.at, _learned(self.r0, target, _RATE0))
 
 
 def _shifted(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,106 +188,123 @@ def _shifted(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, range_, ((low ^ (low + range_)) < _TOP) | (range_ < _BOT)
 
 
-def encode(ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each row of ids (below 65535): the coder's words and the words of lower bits."""
-    lanes, steps = ids.shape
-    by_step = np.ascontiguousarray(ids.T, np.int32)
-    model = _Model(lanes)
+def encode(tree: Tree, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each row of places in tree.ids: the coder's words, and the number of branches."""
+    lanes, steps = table.shape
+    depth = tree.depth[table]
+    branches = depth.sum(1)
+    order = np.argsort(-branches, kind="stable")
+    table, depth = table[order], depth[order]
+    # Branches of all lanes, lane by lane, then as (step, lane).
+    flat, n = table.ravel(), depth.ravel()
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(tree.at[flat], n)
+    last = np.zeros((lanes, steps), np.uint32)
+    last[:, 1:] = table[:, :-1] + 1
+    before = np.zeros((lanes, steps), np.uint32)
+    before[:, 2:] = table[:, :-2] + 1
+    most = int(branches.max())
+    own = branches[order]
+    to = np.repeat(np.arange(lanes), own)
+    step = np.arange(len(place)) - np.repeat(np.cumsum(own) - own, own)
+
+    def laid(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((most, lanes), values.dtype)
+        out[step, to] = values
+        return out
+
+    node_ = tree.path_node[place].astype(np.uint32)
+    last_ = np.repeat(last.ravel(), n)
+    h1s = laid(_context(node_, last_, _U(0)))
+    h2s = laid(_context(node_, last_, np.repeat(before.ravel(), n)))
+    nodes, taken = laid(node_.astype(np.int32)), laid(tree.path_branch[place].astype(np.int64))
+    del place, node_, last_, step, to
+    active = np.searchsorted(-own, -np.arange(most), "left").tolist()
+    model = _Model(tree, lanes)
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    width = 3 * steps + 8
+    width = most * 2 + 8
     out = np.zeros(lanes * width, np.uint16)
-    to = np.arange(lanes) * width
-    first = to.copy()
-    magnitudes = _MAGNITUDE[by_step]
-    plain = np.zeros((steps, lanes), bool)
-    for t in range(steps):
-        own, magnitude = by_step[t], magnitudes[t]
-        model.predict()
-        is2 = own == model.id2
-        is1 = (own == model.id1) & ~is2
-        both = model.f2 + model.f1
-        start, end = model.span(magnitude, both, (65536 - both).astype(np.uint32))
-        np.copyto(start, model.f2, where=is1)
-        np.copyto(end, both, where=is1)
-        np.copyto(start, 0, where=is2)
-        np.copyto(end, model.f2, where=is2)
-        plain[t] = ~(is2 | is1)
-        r = range_ >> 16
-        low += r * start
-        range_ = r * (end - start)
-        go = np.flatnonzero(((low ^ (low + range_)) < _TOP) | (range_ < _BOT))
+    first = np.arange(lanes) * width
+    to = first.copy()
+    base = np.arange(lanes, dtype=np.int64) * BRANCHES
+    for t in range(most):
+        k = active[t]
+        branch = taken[t, :k]
+        cum = model.predict(nodes[t, :k], h1s[t, :k], h2s[t, :k]).ravel()
+        i = base[:k] + branch
+        start = cum.take(np.maximum(i - 1, 0)) * (branch > 0)
+        r = range_[:k] // _TOTAL
+        low[:k] += r * start
+        range_[:k] = r * (cum.take(i) - start)
+        a, b = low[:k], range_[:k]
+        go = np.flatnonzero(((a ^ (a + b)) < _TOP) | (b < _BOT))
         while len(go):
             a, b = low[go], range_[go]
             out[to[go]] = a >> 32
             to[go] += 1
             low[go], range_[go], again = _shifted(a, b)
             go = go[again]
-        model.update(own, magnitude)
+        model.update(branch)
     for shift in (32, 16, 0):
         out[to] = (low >> shift) & 0xFFFF
         to += 1
-    words = [out[a:b].copy() for a, b in zip(first.tolist(), to.tolist(), strict=True)]
-    return words, _lower_bits(by_step.T, magnitudes.T, plain.T)
-
-
-def _lower_bits(ids: np.ndarray, magnitudes: np.ndarray, plain: np.ndarray) -> list[np.ndarray]:
-    """Of each row: the bits below the first one of id + 1, of the ids coded by magnitude, as words; the last one is filled with zeros."""
-    n = np.where(plain, magnitudes, 0)
-    size = n.sum(1)
-    begin = np.concatenate(([0], np.cumsum((size + 15) >> 4)))
-    at = np.cumsum(n, axis=1) - n + (begin[:-1] << 4)[:, None]
-    at, n = at[plain], n[plain].astype(np.int64)
-    # At most 15 bits lie in two words; no two values share a bit, so sums of the parts are the words.
-    pair = (ids[plain].astype(np.int64) + 1 - (1 << n)) << (32 - (at & 15) - n)
-    word = at >> 4
-    words = np.bincount(word, pair >> 16, begin[-1] + 1) + np.bincount(word + 1, pair & 0xFFFF, begin[-1] + 1)[: begin[-1] + 1] if len(n) else np.zeros(begin[-1] + 1)
-    return np.split(words[: begin[-1]].astype(np.uint16), begin[1:-1])
-
-
-def decode(words: list[np.ndarray], lower: list[np.ndarray], steps: int) -> np.ndarray:
-    """The rows of ids that `encode` took."""
+    words: list[np.ndarray] = [np.empty(0, np.uint16)] * lanes
+    for lane, a, b in zip(order.tolist(), first.tolist(), to.tolist(), strict=True):
+        words[lane] = out[a:b].copy()
+    return words, branches
+
+
+def decode(tree: Tree, words: list[np.ndarray], branches: np.ndarray, steps: int) -> np.ndarray:
+    """The rows that `encode` took."""
     lanes = len(words)
-    model = _Model(lanes)
+    order = np.argsort(-branches, kind="stable")
+    words = [words[i] for i in order.tolist()]
+    own = branches[order]
+    most = int(own.max()) if lanes else 0
+    active = np.searchsorted(-own, -np.arange(most), "left").tolist()
+    model = _Model(tree, lanes)
     stream = np.concatenate([*words, np.zeros(4, np.uint16)])
     at = np.concatenate(([0], np.cumsum([len(w) for w in words])))[:-1]
-    bits = np.concatenate([x for w in lower for x in (w, np.zeros(2, np.uint16))] + [np.zeros(2, np.uint16)]).astype(np.uint32)
-    pairs = (bits[:-1] << 16) | bits[1:]
-    bit_at = 16 * np.concatenate(([0], np.cumsum([len(w) + 2 for w in lower])))[:-1]
     code = (stream[at].astype(np.int64) << 32) | (stream[at + 1].astype(np.int64) << 16) | stream[at + 2]
     at = at + 3
-    most = len(stream) - 1
+    end = len(stream) - 1
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    out = np.zeros((steps, lanes), np.int32)
-    table = model.cum.reshape(MAGNITUDES + 1, lanes)[1:]
-    for t in range(steps):
-        model.predict()
-        both = model.f2 + model.f1
-        rest = (65536 - both).astype(np.uint32)
-        r = range_ >> 16
-        v = np.minimum((code - low) // r, 65535).astype(np.int32)
-        is2 = v < model.f2
-        plain = v >= both
-        u = ((((v - both + 1) * plain).astype(np.uint32) << 15) - plain) // rest
-        n = (table <= u).sum(0, dtype=np.int32) * plain
-        value = (pairs[bit_at >> 4] >> (32 - (bit_at & 15) - n).astype(np.uint32)).astype(np.int32) & ((1 << n) - 1)
-        bit_at += n
-        own = (1 << n) + value - 1
-        start, end = model.span(n, both, rest)
-        hit1 = ~(plain | is2)
-        np.copyto(own, model.id1, where=hit1)
-        np.copyto(start, model.f2, where=hit1)
-        np.copyto(end, both, where=hit1)
-        np.copyto(own, model.id2, where=is2)
-        np.copyto(start, 0, where=is2)
-        np.copyto(end, model.f2, where=is2)
-        low += r * start
-        range_ = r * (end - start)
-        go = np.flatnonzero(((low ^ (low + range_)) < _TOP) | (range_ < _BOT))
+    out = np.zeros(lanes * (steps + 1), np.int32)
+    to = np.arange(lanes) * (steps + 1)
+    limit = to + steps
+    node, last, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    base = np.arange(lanes, dtype=np.int64) * BRANCHES
+    child, leaves = tree.child.ravel(), len(tree.ids)
+    for t in range(most):
+        k = active[t]
+        own_node, own_last = node[:k], last[:k]
+        cum = model.predict(own_node.astype(np.int32), _context(own_node, own_last, _U(0)), _context(own_node, own_last, before[:k]))
+        r = range_[:k] // _TOTAL
+        v = np.minimum((code[:k] - low[:k]) // r, _TOTAL - 1).astype(np.int32)
+        # The number of ends up to v: bytes of 0 and 1, added up in two words.
+        under = (cum <= v[:, None]).view(np.uint64)
+        branch = (((under[:, 0] + under[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+        cum = cum.ravel()
+        i = base[:k] + branch
+        start = cum.take(np.maximum(i - 1, 0)) * (branch > 0)
+        low[:k] += r * start
+        range_[:k] = r * (cum.take(i) - start)
+        a, b = low[:k], range_[:k]
+        go = np.flatnonzero(((a ^ (a + b)) < _TOP) | (b < _BOT))
         while len(go):
-            code[go] = ((code[go] << 16) & _MASK) | stream[np.minimum(at[go], most)]
+            code[go] = ((code[go] << 16) & _MASK) | stream[np.minimum(at[go], end)]
             at[go] += 1
             low[go], range_[go], again = _shifted(low[go], range_[go])
             go = go[again]
-        out[t] = own
-        model.update(own, _MAGNITUDE[own])
-    return out.T
+        model.update(branch)
+        next_ = child.take(own_node.astype(np.int64) * BRANCHES + branch)
+        leaf = np.flatnonzero(next_ < leaves)
+        node[:k] = next_ - leaves
+        found = next_[leaf]
+        out[to[leaf]] = found
+        to[leaf] = np.minimum(to[leaf] + 1, limit[leaf])
+        before[leaf] = last[leaf]
+        last[leaf] = found + 1
+        node[leaf] = 0
+    rows = np.empty((lanes, steps), np.int32)
+    rows[order] = out.reshape(lanes, steps + 1)[:, :steps]
+    return rows

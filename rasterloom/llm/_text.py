@@ -11,8 +11,7 @@ import pyarrow as pa
 CHUNK_BYTES = 2 << 20
 
 _U = np.uint64
-_P = _U(0x9E3779B97F4A7C15 | 1)
-_INV = _U(pow(int(_P), -1, 1 << 64))
+_P = _U(0x9E3779B97F4A7C15)
 
 #: ASCII white space, as in [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -23,20 +22,8 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x
 #: Lower-cases A-Z and leaves the rest.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        with np.errstate(over="ignore"):
-            p, q = np.full(size, _P), np.full(size, _INV)
-            p[0] = q[0] = 1
-            _powers[size] = np.cumprod(p, dtype=_U), np.cumprod(q, dtype=_U)
-    return _powers[size]
-
+#: The low bytes of a lane that the last bytes of a word fill.
+_KEPT = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
@@ -87,15 +74,67 @@ def words(raw: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(start, at)
 
 
+class Words:
+    """The bytes of words as 8-byte lanes, the last one of each filled up with zeros, and a 64-bit hash of each word.
+
+    Every lane is mixed with its place before the lanes of a word are added up. `same` compares bytes, for use where a hash is not enough.
+    """
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True):
+        self.size = (end - start).astype(np.int64)
+        n = np.maximum(1, (self.size + 7) >> 3)
+        self.first = np.concatenate(([0], np.cumsum(n)))
+        if not len(start):
+            self.lanes = self.hashes = np.empty(0, _U)
+            return
+        held = np.zeros(len(raw) + 8, np.uint8)
+        held[: len(raw)] = LOWER[raw] if lower else raw
+        every = np.ndarray((len(raw) + 1,), "<u8", held, strides=(1,))
+        long = self.first[-1] > len(start)
+        if long:
+            place = np.arange(self.first[-1]) - np.repeat(self.first[:-1], n)
+            at, left = np.repeat(start, n) + 8 * place, np.repeat(self.size, n) - 8 * place
+        else:
+            at, left = start, self.size
+        self.lanes = every[at] & _KEPT[np.minimum(left, 8)]
+        with np.errstate(over="ignore"):
+            sums = mix(self.lanes + _P * (place + 1).astype(_U)) if long else mix(self.lanes + _P)
+            if long:
+                sums = np.add.reduceat(sums, self.first[:-1])
+            self.hashes = mix(sums + self.size.astype(_U))
+
+    def same(self, i: np.ndarray, other: Words, j: np.ndarray) -> np.ndarray:
+        """Whether word i[x] has the bytes of the other's word j[x]."""
+        a, b = self.first[i], other.first[j]
+        equal = (self.size[i] == other.size[j]) & (self.lanes[a] == other.lanes[b]) if len(i) else np.empty(0, bool)
+        long = np.flatnonzero(equal & (self.size[i] > 8)) if len(i) else equal
+        if len(long):
+            n = self.first[i[long] + 1] - a[long]
+            begin = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(begin, n)
+            one = self.lanes[np.repeat(a[long], n) + place] == other.lanes[np.repeat(b[long], n) + place]
+            equal[long] = np.logical_and.reduceat(one, begin)
+        return equal
+
+    def joined(self, other: Words) -> Words:
+        """These words and then the other's."""
+        out = Words.__new__(Words)
+        out.size, out.lanes, out.hashes = (np.concatenate((getattr(self, x), getattr(other, x))) for x in ("size", "lanes", "hashes"))
+        out.first = np.concatenate((self.first, self.first[-1] + other.first[1:]))
+        return out
+
+    def taken(self, i: np.ndarray) -> Words:
+        """Those words alone."""
+        out = Words.__new__(Words)
+        n = self.first[i + 1] - self.first[i]
+        out.size, out.hashes, out.first = self.size[i], self.hashes[i], np.concatenate(([0], np.cumsum(n)))
+        out.lanes = self.lanes[np.arange(out.first[-1]) + np.repeat(self.first[i] - out.first[:-1], n)]
+        return out
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    if not len(start):
-        return np.empty(0, _U)
-    p, q = _power_tables(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, _U)
-        np.cumsum(((LOWER[raw] if lower else raw).astype(_U) + _U(1)) * p[: len(raw)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * q[start] + (end - start).astype(_U))
+    return Words(raw, start, end, lower).hashes
 
 
 def shingle_hashes(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

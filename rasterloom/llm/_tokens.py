@@ -3,7 +3,8 @@
 Both byte-level vocabularies used here split a text by a pattern before any merge. A unit is a run of bytes at whose edges that
 pattern always splits: white space with the letters, digits or marks that follow, or a whole word where a word has an apostrophe
 or characters of which it is not plain to which class they belong. So the ids of a text are those of its units in order. A
-worker keeps the ids of the units it has met, up to MOST_UNITS of them. A text with white space above ASCII is encoded whole.
+worker keeps the ids of the units it has met, up to MOST_UNITS of them; units are found by a hash and then compared byte by byte. A
+text with white space above ASCII, or with a unit whose hash is another unit's, is encoded whole.
 """
 
 from __future__ import annotations
@@ -79,6 +80,8 @@ class Encoder:
     def _reset(self) -> None:
         self.known, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
+        #: The bytes of the known units in the order they were met, and each one's place there.
+        self.bytes, self.place = _text.Words(*[np.empty(0, np.uint8)] * 3), np.empty(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -144,8 +147,8 @@ class Encoder:
         starts, ends, plain = self._units(raw, at)
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(at), np.int64)
-        hashes = _text.word_hashes(raw, starts, ends, lower=self.drops_space)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        units = _text.Words(raw, starts, ends, lower=self.drops_space)
+        distinct, first, inverse = np.unique(units.hashes, return_index=True, return_inverse=True)
         place = self._known(distinct)
         new = np.flatnonzero(place < 0)
         if len(new):
@@ -153,8 +156,11 @@ class Encoder:
                 self._reset()
                 new = np.arange(len(distinct))
             i = first[new]
-            self._learn(distinct[new], raw, starts[i], ends[i], plain[i])
+            self._learn(distinct[new], units.taken(i), raw, starts[i], ends[i], plain[i])
             place = self._known(distinct)
+        right = units.same(np.arange(len(starts)), units, first[inverse]) & units.same(first, self.bytes, self.place[place])[inverse]
+        if not right.all():
+            return self._with_whole(raw, at, np.unique(np.searchsorted(at, starts[~right], "right") - 1))
         place = place[inverse]
         n, of = self.n[place], self.at[place]
         to = np.concatenate(([0], np.cumsum(n)))
@@ -176,7 +182,7 @@ class Encoder:
         i = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[i] == hashes, i, -1)
 
-    def _learn(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, units: _text.Words, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
         lone, joined = [], []
         data = raw.tobytes()
         texts = [data[s:e].decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -206,7 +212,9 @@ class Encoder:
         at = self.used + np.concatenate(([0], np.cumsum(n)))[:-1]
         self.used += len(flat)
         where = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.n = (np.insert(a, where, b) for a, b in ((self.known, hashes), (self.at, at), (self.n, n)))
+        place = len(self.bytes.size) + np.arange(len(hashes))
+        self.bytes = self.bytes.joined(units)
+        self.known, self.at, self.n, self.place = (np.insert(a, where, b) for a, b in ((self.known, hashes), (self.at, at), (self.n, n), (self.place, place)))
 
     def _joined(self, texts: list[str], group: list[int]) -> str:
         if self.drops_space:
@@ -222,11 +230,11 @@ class Encoder:
         return [p[1:] if x else p for p, x in zip(np.split(ids, cut), lead, strict=True)]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc_ids, ids of all of them, first id of each) for runs of rows of a bounded size."""
     own = encoder(path)
     for batch in batches:
-        docs = batch.column(batch.schema.get_field_index(doc_id)).to_numpy(zero_copy_only=False)
+        docs = batch.column(batch.schema.get_field_index(doc_id)).to_pylist()
         for i, j, raw, at in _text.chunks(batch, text):
             ids, to = own.encode(raw, at)
             yield docs[i:j], ids, to

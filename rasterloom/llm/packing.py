@@ -10,7 +10,7 @@ than its capacity, the group is shared out over one window more.
 Groups lie within a partition of the input, so there is no exchange, a task holds one group, and a lost task is done again on its
 own. A sequence id is the number of the partition and of the sequence in it. Sequences shorter than the capacity are to be padded.
 
-A null text is an empty one: only the end id. Rows that repeat a document are packed each. A table without rows gives none. Extra
+A null text is an empty one: only the end id. Rows without a doc_id and rows that repeat one are packed each. A table without rows gives none. Extra
 columns are not read.
 """
 
@@ -133,7 +133,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: st
         packer = _Packer(capacity, group, slack, piece, TaskContext.get().partitionId() << 33)
         for docs, ids, to in _tokens.encoded(batches, vocabulary):
             end = np.array([end_id], ids.dtype)
-            for doc, a, b in zip(docs.tolist(), to[:-1].tolist(), to[1:].tolist(), strict=True):
+            for doc, a, b in zip(docs, to[:-1].tolist(), to[1:].tolist(), strict=True):
                 packer.add(doc, np.concatenate((ids[a:b], end)))
                 if len(packer.rows) >= 4096:
                     yield packer.taken()

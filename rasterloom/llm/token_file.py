@@ -2,16 +2,19 @@
 
 A segment is one binary value that stands on its own:
 
-    RLT1 | documents, ids, ids a block, blocks (32 bits each) | doc_ids, ids of each (64 bits each)
-    | for each block: words of the coder, words of lower bits, CRC-32 of its ids (32 bits each)
-    | the blocks' words (16 bits each) | CRC-32 of all that precedes
-
-Numbers are little-endian. Every block is coded from a fresh state (see _rangecoder); the last one is filled up with id 0. Documents lie
-in ascending doc_id over the segments of a table in the order (part, segment), where a part is a range of doc_ids. `write` makes the
-table in the shared folder; `read` decodes it, where damage raises TokenFileError.
-
-A null text is an empty one: only the end id. Rows that repeat a document follow each other. A table without rows makes no segment.
-Extra columns are not read. A segment has about SEGMENT ids, but a document is never cut.
+    RLT2 | documents, ids, ids a block, blocks, bytes of the counts (32 bits each) | doc_ids, ids of each (64 bits each)
+    | whether each has a doc_id (8 bits each) | the segment's distinct ids and how often each occurs (32 bits each, deflated)
+    | for each block: words of the coder, branches, CRC-32 of its ids (32 bits each) | the blocks' words (16 bits each)
+    | CRC-32 of all that precedes
+
+Numbers are little-endian. Every block is coded from the same fresh state, which the counts give (see _rangecoder), so it can be read
+without the others; the last one is filled up. Documents lie in ascending doc_id over the segments of a table in the order (part,
+segment), where a part is a range of doc_ids. `write` makes the table in the shared folder; `read` decodes it, where damage raises
+TokenFileError.
+
+A null text is an empty one: only the end id. Rows without a doc_id come first. Rows that repeat a doc_id follow each other, in an order
+of their texts. A table without rows makes no segment. Extra columns are not read. A segment has about SEGMENT ids, but a document is
+never cut.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from rasterloom.llm import _rangecoder, _tokens
 from rasterloom.llm._stage import written
 from rasterloom.llm.packing import tokenizer_path
 
-MAGIC = b"RLT1"
+MAGIC = b"RLT2"
 BLOCK, SEGMENT = 1024, 2 << 20
 END_ID = 0
 
@@ -40,39 +43,44 @@ class TokenFileError(ValueError):
     """A segment is damaged or of another kind."""
 
 
-def encode_segment(doc_ids: list[int], ids: np.ndarray, lengths: list[int], block: int = BLOCK) -> bytes:
+def encode_segment(doc_ids: list[int | None], ids: np.ndarray, lengths: list[int], block: int = BLOCK) -> bytes:
     """One segment of the documents whose ids follow each other."""
     size = max(1, min(block, len(ids)))
     blocks = -(-len(ids) // size)
+    distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
     table = np.zeros(blocks * size, np.int64)
-    table[: len(ids)] = ids
+    table[: len(ids)] = place
     table = table.reshape(blocks, size)
-    words, lower = _rangecoder.encode(table) if blocks else ([], [])
-    raw = table.astype("<u4")
-    directory = np.array([(len(w), len(x), zlib.crc32(r.tobytes())) for w, x, r in zip(words, lower, raw, strict=True)], "<u4")
+    words, branches = _rangecoder.encode(_rangecoder.Tree(distinct, counts), table) if blocks else ([], np.empty(0, np.int64))
+    directory = np.array([(len(w), n, zlib.crc32(distinct[r].astype("<u4").tobytes())) for w, n, r in zip(words, branches.tolist(), table, strict=True)], "<u4")
+    held = zlib.compress(np.concatenate((np.diff(distinct, prepend=0), counts)).astype("<u4").tobytes(), 6)
     body = b"".join((
-        MAGIC, struct.pack("<IIII", len(doc_ids), len(ids), size, blocks), np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), directory.tobytes(),
-        *(x.astype("<u2").tobytes() for pair in zip(words, lower, strict=True) for x in pair),
+        MAGIC, struct.pack("<IIIII", len(doc_ids), len(ids), size, blocks, len(held)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(),
+        bytes([d is not None for d in doc_ids]), held, directory.tobytes(), *(w.astype("<u2").tobytes() for w in words),
     ))
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, ids, ids of each document); tests the checksum of the whole and of each block."""
-    if data[:4] != MAGIC or len(data) < 24:
+    if data[:4] != MAGIC or len(data) < 28:
         raise TokenFileError("not a token segment")
     if zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise TokenFileError("checksum of the segment")
-    docs, total, size, blocks = struct.unpack_from("<IIII", data, 4)
-    doc_ids = np.frombuffer(data, "<i8", docs, 20)
-    lengths = np.frombuffer(data, "<i8", docs, 20 + 8 * docs)
-    at = 20 + 16 * docs
+    docs, total, size, blocks, held = struct.unpack_from("<IIIII", data, 4)
+    known = np.frombuffer(data, np.uint8, docs, 24 + 16 * docs).tolist()
+    doc_ids = [d if k else None for d, k in zip(np.frombuffer(data, "<i8", docs, 24).tolist(), known, strict=True)]
+    lengths = np.frombuffer(data, "<i8", docs, 24 + 8 * docs)
+    at = 24 + 17 * docs
+    gaps, counts = np.split(np.frombuffer(zlib.decompress(data[at : at + held]), "<u4").astype(np.int64), 2)
+    distinct = np.cumsum(gaps)
+    at += held
     directory = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
     at += 12 * blocks
-    stream = np.frombuffer(data, "<u2", int(directory[:, :2].sum()), at)
-    parts = np.split(stream, np.cumsum(directory[:, :2].ravel()))[:-1]
-    table = _rangecoder.decode(parts[0::2], parts[1::2], size) if blocks else np.empty((0, size), np.int64)
-    raw = np.ascontiguousarray(table.astype("<u4"))
+    stream = np.frombuffer(data, "<u2", int(directory[:, 0].sum()), at)
+    parts = np.split(stream, np.cumsum(directory[:, 0]))[:-1]
+    table = _rangecoder.decode(_rangecoder.Tree(distinct, counts), parts, directory[:, 1], size) if blocks else np.empty((0, size), np.int64)
+    raw = distinct.astype("<u4")[table]
     for i, row in enumerate(raw):
         if zlib.crc32(row.tobytes()) != directory[i, 2]:
             raise TokenFileError(f"checksum of block {i}")
@@ -101,7 +109,7 @@ def write(documents: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: s
 
         end = np.array([end_id], np.int32)
         for docs, ids, to in _tokens.encoded(batches, vocabulary):
-            for doc, a, b in zip(docs.tolist(), to[:-1].tolist(), to[1:].tolist(), strict=True):
+            for doc, a, b in zip(docs, to[:-1].tolist(), to[1:].tolist(), strict=True):
                 names.append(doc)
                 kept.append(np.concatenate((ids[a:b], end)))
                 lengths.append(b - a + 1)
@@ -113,7 +121,9 @@ def write(documents: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: s
             yield made(held if held <= segment * 3 // 2 else held // 2)
 
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The hash of the text parts rows that repeat a doc_id over tasks.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(run, "part int, number int, n_ids long, data binary"), "tokens")
 
 
@@ -132,7 +142,7 @@ def read(segments: DataFrame) -> DataFrame:
                     j = min(len(docs), i + 4096)
                     n = j - i
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.arange(i, j, dtype=np.int32)), pa.array(docs[i:j]), pa.array(to[i:j], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(to[i:j], to[i + 1 : j + 1], strict=True)], pa.binary())],
+                        [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.arange(i, j, dtype=np.int32)), pa.array(docs[i:j], pa.int64()), pa.array(to[i:j], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(to[i:j], to[i + 1 : j + 1], strict=True)], pa.binary())],
                         names=["part", "number", "place", "doc_id", "before", "ids"],
                     )
 

@@ -1,10 +1,12 @@
 import collections
+import os
 import random
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from rasterloom.llm import _rangecoder, _text, _tokens, packing, token_file
@@ -25,6 +27,26 @@ def test_ids_are_those_of_the_whole_text(name):
             assert ids[to[i] : to[i + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name", FILES)
+@pytest.mark.parametrize("blind", [False, True])
+def test_words_of_one_hash_keep_their_ids(name, blind, monkeypatch):
+    if blind:  # every long word has the same hash
+        monkeypatch.setattr(_text, "mix", lambda x: x & np.uint64(3))
+    own = _tokens.Encoder(packing.tokenizer_path(name))
+    for texts in ([" ".join(thue_morse(11))], list(thue_morse(11)), ["one two three", "four five one", "", "six"]):
+        raw, at = _text.column_bytes(pa.array(texts, pa.large_string()))
+        ids, to = own.encode(raw, at)
+        for i, t in enumerate(texts):
+            assert ids[to[i] : to[i + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_units_are_forgotten_beyond_the_bound(monkeypatch):
     monkeypatch.setattr(_tokens, "MOST_UNITS", 20)
     own = _tokens.Encoder(packing.tokenizer_path(FILES[0]))
@@ -35,26 +57,46 @@ def test_units_are_forgotten_beyond_the_bound(monkeypatch):
     assert len(own.known) <= 40
 
 
+def coded(ids):
+    distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    tree = _rangecoder.Tree(distinct, counts)
+    place = place.reshape(ids.shape)
+    words, branches = _rangecoder.encode(tree, place)
+    assert (_rangecoder.decode(_rangecoder.Tree(distinct, counts), words, branches, ids.shape[1]) == place).all()
+    # A block can be read without the others.
+    assert (_rangecoder.decode(tree, words[-1:], branches[-1:], ids.shape[1]) == place[-1:]).all()
+    return sum(map(len, words)) * 16 / ids.size
+
+
 @pytest.mark.parametrize(("lanes", "steps"), [(1, 1), (1, 700), (5, 300), (70, 40)])
 def test_range_coder_round_trip(lanes, steps):
     rng = np.random.default_rng(lanes)
     for ids in (rng.integers(0, 50257, (lanes, steps)), np.zeros((lanes, steps), int), np.full((lanes, steps), 50256), rng.integers(0, 3, (lanes, steps)) * 20000, (1 / rng.random((lanes, steps))).astype(int) % 50000):
-        words, lower = _rangecoder.encode(ids)
-        assert (_rangecoder.decode(words, lower, steps) == ids).all()
+        coded(ids)
 
 
 def test_predictable_ids_are_small():
-    ids = np.tile([5, 900, 30000, 17], (4, 256))
-    words, lower = _rangecoder.encode(ids)
-    assert sum(map(len, words + lower)) * 16 / ids.size < 1
+    assert coded(np.tile([5, 900, 30000, 17], (4, 256))) < 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_files_are_below_the_order_0_entropy():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    parts = [(ids, to) for _, ids, to in _tokens.encoded(table.to_batches(), packing.tokenizer_path(FILES[0]))]
+    ids = np.concatenate([x[0] for x in parts])
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    entropy = -(share * np.log2(share)).sum()
+    lengths = np.concatenate([np.diff(x[1]) for x in parts]).tolist()
+    data = token_file.encode_segment(table["doc_id"].to_pylist(), ids, lengths)
+    assert len(data) * 8 / len(ids) < 0.95 * entropy
 
 
 def test_segments_and_damage():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50257, 5000)
-    data = token_file.encode_segment([3, 7, 9], ids, [10, 0, 4990], 256)
+    data = token_file.encode_segment([None, 7, 9], ids, [10, 0, 4990], 256)
     docs, back, lengths = token_file.decode_segment(data)
-    assert docs.tolist() == [3, 7, 9] and (back == ids).all() and lengths.tolist() == [10, 0, 4990]
+    assert docs == [None, 7, 9] and (back == ids).all() and lengths.tolist() == [10, 0, 4990]
     for at in (0, 9, 200, len(data) - 1):
         bad = bytearray(data)
         bad[at] ^= 4
@@ -104,6 +146,18 @@ def test_packing_query(spark, tmp_path):
         assert at <= 2048
 
 
+def test_rows_without_or_with_the_same_doc_id(spark, tmp_path):
+    _docs(spark, tmp_path, [(None, "no id"), (None, None), (4, "one"), (4, "two words"), (4, "one")])
+    tokenizer = _tokens.Encoder(packing.tokenizer_path(FILES[0])).tokenizer
+    rows = token_file.op7_token_file(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 4, 4, 4]
+    want = sorted(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in ("no id", "", "one", "two words", "one"))
+    assert sorted(r.n_tokens for r in rows) == want
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(5)]
+    packed = packing.op9_packing(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in packed) == ["4", "4", "4", "None", "None"]
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(2)
     for k in (1, 2, 7, 64):
