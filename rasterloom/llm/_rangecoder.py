@@ -27,7 +27,7 @@ _TOTAL = _ONE + BRANCHES
 _U = np.uint32
 _F = np.float32
 _RATE0 = _F(0.03)
-_RATE = np.array([0.6, 0.4, 0.3, 0.2], np.float32)
+_RATE = np.repeat(np.array([[0.6], [0.4], [0.3], [0.2]], np.float32), BRANCHES, axis=1)
 _LEARN = _F(0.03)
 _GUARD = np.arange(1, BRANCHES + 1, dtype=np.int32)
 #: The cumulative distribution that is sure of a branch.
@@ -122,7 +122,7 @@ class _Table:
         return self.own, self.sure
 
     def update(self, target: np.ndarray) -> None:
-        np.put(self.rows, self.at, _learned(self.own, target, _RATE.take(self.sure)[:, None]))
+        np.put(self.rows, self.at, _learned(self.own, target, _RATE.take(self.sure, axis=0)))
         self.tags[self.at] = self.tag | np.minimum(self.sure + 1, 3)
 
 
@@ -197,27 +197,30 @@ def encode(tree: Tree, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]
     table, depth = table[order], depth[order]
     # Branches of all lanes, lane by lane, then as (step, lane).
     flat, n = table.ravel(), depth.ravel()
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(tree.at[flat], n)
+    place = np.arange(n.sum(), dtype=np.int32) + np.repeat((tree.at[flat] - np.cumsum(n) + n).astype(np.int32), n)
     last = np.zeros((lanes, steps), np.uint32)
     last[:, 1:] = table[:, :-1] + 1
     before = np.zeros((lanes, steps), np.uint32)
     before[:, 2:] = table[:, :-2] + 1
     most = int(branches.max())
     own = branches[order]
-    to = np.repeat(np.arange(lanes), own)
-    step = np.arange(len(place)) - np.repeat(np.cumsum(own) - own, own)
+    # Where each lies in an array (step, lane).
+    laid_at = np.arange(len(place), dtype=np.int32)
+    laid_at -= np.repeat((np.cumsum(own) - own).astype(np.int32), own)
+    laid_at *= np.int32(lanes)
+    laid_at += np.repeat(np.arange(lanes, dtype=np.int32), own)
 
     def laid(values: np.ndarray) -> np.ndarray:
-        out = np.zeros((most, lanes), values.dtype)
-        out[step, to] = values
-        return out
+        out = np.zeros(most * lanes, values.dtype)
+        out[laid_at] = values
+        return out.reshape(most, lanes)
 
     node_ = tree.path_node[place].astype(np.uint32)
     last_ = np.repeat(last.ravel(), n)
     h1s = laid(_context(node_, last_, _U(0)))
     h2s = laid(_context(node_, last_, np.repeat(before.ravel(), n)))
-    nodes, taken = laid(node_.astype(np.int32)), laid(tree.path_branch[place].astype(np.int64))
-    del place, node_, last_, step, to
+    nodes, taken = laid(node_.astype(np.int32)), laid(tree.path_branch[place])
+    del place, node_, last_, laid_at, last, before, flat, n, depth
     active = np.searchsorted(-own, -np.arange(most), "left").tolist()
     model = _Model(tree, lanes)
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
@@ -228,7 +231,7 @@ def encode(tree: Tree, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]
     base = np.arange(lanes, dtype=np.int64) * BRANCHES
     for t in range(most):
         k = active[t]
-        branch = taken[t, :k]
+        branch = taken[t, :k].astype(np.int64)
         cum = model.predict(nodes[t, :k], h1s[t, :k], h2s[t, :k]).ravel()
         i = base[:k] + branch
         start = cum.take(np.maximum(i - 1, 0)) * (branch > 0)

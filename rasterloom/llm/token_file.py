@@ -35,7 +35,7 @@ from rasterloom.llm._stage import written
 from rasterloom.llm.packing import tokenizer_path
 
 MAGIC = b"RLT2"
-BLOCK, SEGMENT = 1024, 2 << 20
+BLOCK, SEGMENT = 1024, 1 << 20
 END_ID = 0
 
 
