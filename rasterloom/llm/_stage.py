@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -22,12 +23,39 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column has, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+#: Tables that results still read; they go when the driver's Python ends.
+_LEFT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_LEFT.items()):
+        try:
+            removed(spark, path)
+        except Exception:  # the JVM has ended: the folder's owner must clear it
+            return
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The same rows read from a new table, and its path. Nothing of what made them is needed any more, so its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _LEFT[path] = spark
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -38,6 +66,7 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table that `written` made."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _LEFT.pop(path, None)
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:

@@ -11,13 +11,18 @@ least spare + 1 do not differ. Signatures of no features would be shared by stra
 not: of two linked sets, the one that stops first shares a signature of features there.
 
 Equal sets are one class. The smallest document that has a signature is its hub; a hub's group are all that share any of its
-signatures with it. So any two sets with a common signature meet in a group. A group of up to BLOCK sets and BLOCK_FEATURES features is
-compared whole in one task. A larger one is first compared in blocks that each hold the hub too; members that links join to the hub by
-then need no comparison with each other, and the rest are compared with them and among themselves in pairs of blocks. A task gives back
-only a spanning forest of the links. The components of the links are final.
-
-Texts of null or without words have an empty set, which is linked with nothing. Rows that repeat a document are in one class and are
-given back each. Extra columns are not read by the report and pass through `one_of_each`. A table without rows gives none.
+signatures with it. So any two sets with a common signature meet in a group. Signatures are counted by an aggregate that sums on the map
+side; only those that occur again are joined with their hubs, and the few that many documents have are dealt over tasks there. A group of
+up to BLOCK sets and BLOCK_FEATURES features is compared whole in one task. A larger one is first compared in blocks that each hold the
+hub too; members that links join to the hub by then need no comparison with each other, and the rest are compared with them and among
+themselves in pairs of blocks. A task gives back only a spanning forest of the links. The components of the links are final.
+
+Features are 64-bit hashes of shingles, made of hashes that mix every 8 bytes of a word; sets are named by 128-bit sums of them.
+
+Texts of null or without words have an empty set, which is linked with nothing. Rows without a doc_id are reported with the size of their
+set and are no one's class or component. Rows that repeat a document are given back each. A doc_id with several different texts is one
+document with the links of all of them; `one_of_each` never drops its rows, since the other texts would go with one. Extra columns are not
+read by the report and pass through `one_of_each`. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
-from rasterloom.llm._stage import removed, salted_join, written
+from rasterloom.llm._stage import column, fresh, removed, salted_join, written
 from rasterloom.llm.components import components
 
 #: Parts of a partition, and how many of them may differ.
@@ -41,6 +46,10 @@ PARTS, DIFFERING = 2, 1
 BLOCK, BLOCK_FEATURES = 128, 1_000_000
 #: Ways to deal the domain before signatures of no features are made after all.
 MOST_DEALS = 200
+#: A signature of more than one in HOT of all rows of shared signatures, of which there are fewer than HOT, is dealt over SALTS tasks.
+HOT, SALTS = 4096, 64
+#: Sets that a task remembers, so as to give the signatures of equal ones once; then it begins anew.
+MOST_SEEN = 500_000
 
 _U = np.uint64
 
@@ -143,7 +152,7 @@ def _class_keys(values: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return documents.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
 
 
 def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
@@ -160,13 +169,15 @@ def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def part_enum(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """sig, doc_id: the signatures of each set; of equal sets in one task only the first gives them."""
+    """sig, doc_id: the signatures of each set; of equal sets in one task only the first gives them. doc_id must not be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, raw, at in _text.chunks(batch, "text", 1 << 20):
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
                 values, to = _sets(raw, at, k)
                 new = np.zeros(j - i, bool)
                 for r, key in enumerate(zip(*(x.tolist() for x in _class_keys(values, to)), strict=True)):
@@ -229,7 +240,7 @@ def links(candidates: DataFrame, k: int, percent: int) -> DataFrame:
                     if len(ids) > 1:
                         found += _forest(ids, texts, k, percent)
                     key, ids, texts = x, [], []
-                if not ids or ids[-1] != d:
+                if not ids or ids[-1] != d or texts[-1] != t:
                     ids.append(d)
                     texts.append(t)
             if found:
@@ -248,17 +259,17 @@ def _parts_of(rows: Column, features: Column) -> Column:
     return F.greatest(F.ceil(rows / BLOCK), F.ceil(features / BLOCK_FEATURES), F.lit(1)).cast("int")
 
 
-def _large(members: DataFrame) -> DataFrame:
-    """component of the groups that are more than one block."""
-    return members.groupBy("component").agg(_parts_of(F.count("*"), F.sum("n")).alias("parts")).where("parts > 1").select("component")
+def _sized(members: DataFrame) -> DataFrame:
+    """members (component, node, n) with the number of blocks of each one's group."""
+    parts = members.groupBy("component").agg(_parts_of(F.count("*"), F.sum("n")).alias("parts"))
+    return salted_join(members, parts, ["component"], F.col("node"))
 
 
-def _chunks(members: DataFrame) -> DataFrame:
+def _chunks(sized: DataFrame) -> DataFrame:
     """doc_id, key: each group in blocks, and its hub in every one of them. A group of one block is compared whole."""
-    parts = members.groupBy("component").agg(_parts_of(F.count("*"), F.sum("n")).alias("parts"))
-    own = salted_join(members.where("node <> component"), parts, ["component"], F.col("node")).select("component", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    hubs = parts.select("component", F.col("component").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return own.unionByName(hubs).select(F.col("node").alias("doc_id"), F.xxhash64("component", "part").alias("key"))
+    one = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    places = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(one))
+    return sized.select("component", "node", F.explode(places).alias("part")).select(F.col("node").alias("doc_id"), F.xxhash64("component", "part").alias("key"))
 
 
 def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -268,11 +279,14 @@ def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     themselves, in pairs of blocks. Where almost all of a group is linked, its rows are about as many as its members.
     """
     own = members.join(labels, "node", "left").select("component", "node", "n", F.coalesce("label", "node").alias("label"))
-    hubs = own.where("node = component").select("component", F.col("label").alias("main"))
-    split = salted_join(own, hubs, ["component"], F.col("node")).withColumn("rest", F.col("label") != F.col("main"))
-    count = lambda c: _parts_of(F.count_if(c), F.sum(F.when(c, F.col("n")).otherwise(0)))
-    parts = split.groupBy("component").agg(count(F.col("rest")).alias("rests"), count(~F.col("rest")).alias("mains"), F.count_if("rest").alias("left")).where(F.col("left") > 0)
-    placed = salted_join(split, parts, ["component"], F.col("node")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    found = own.groupBy("component", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.max(F.col("node") == F.col("component")).alias("main"))
+    sums = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0))
+    main = F.col("main")
+    parts = found.groupBy("component").agg(
+        F.max(F.when(main, F.col("label"))).alias("main"), _parts_of(sums(main, "c"), sums(main, "s")).alias("mains"), _parts_of(sums(~main, "c"), sums(~main, "s")).alias("rests"), sums(~main, "c").alias("left")
+    )
+    split = salted_join(own, parts.where("left > 0"), ["component"], F.col("node")).withColumn("rest", F.col("label") != F.col("main"))
+    placed = split.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
     own_block = F.col("own")
     among = F.transform(F.filter(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: (o != own_block) | (F.col("rests") == 1)), lambda o: F.struct(F.lit("r").alias("kind"), F.least(own_block, o).alias("i"), F.greatest(own_block, o).alias("j")))
     across = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda o: F.struct(F.lit("m").alias("kind"), own_block.alias("i"), o.alias("j")))
@@ -281,55 +295,97 @@ def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return each.select(F.col("node").alias("doc_id"), F.xxhash64("component", "k.kind", "k.i", "k.j").alias("key"))
 
 
+def _with_hubs(signed: DataFrame) -> tuple[DataFrame, str]:
+    """doc_id, hub for every row (sig, doc_id) of a signature that occurs again, and the path of a table that it needs."""
+    shared, path = written(signed.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    # Fewer than HOT signatures can have more than one in HOT of the rows.
+    dealt = signed.join(F.broadcast(shared.where(hot).select("sig", F.lit(1).alias("__hot"))), "sig", "left")
+    dealt = dealt.select("sig", "doc_id", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int").alias("__salt"))
+    hubs = shared.select("sig", "hub", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("__salt"))
+    return dealt.join(hubs, ["sig", "__salt"]).select("doc_id", "hub"), path
+
+
 def _with_texts(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """key, doc_id, text, ordered by key within partitions."""
     texts = docs.join(keyed.hint("shuffle_hash"), "doc_id").select("key", "doc_id", "text")
     return texts.repartition("key").sortWithinPartitions("key", "doc_id")
 
 
-def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id (the smallest document with an equal set), component_id (the smallest one that links reach).
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles.
-    """
+def _joined(documents: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """ngram_join's rows and `several`: whether the doc_id has different texts."""
+    spark = documents.sparkSession
     docs = _texts(documents, doc_id, text)
     of_class = ["k1", "k2", "n"]
     keys, _ = written(shingle_classes(docs, k), "keys")
-    classes, _ = written(keys.where("n > 0").groupBy(*of_class).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    docs = docs.where("doc_id is not null")
+    several, _ = written(keys.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*of_class)).alias("a"), F.max(F.struct(*of_class)).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("several")), "several")
+    any_several = several.limit(1).count() > 0
+    if any_several:
+        keys = salted_join(keys, several, ["doc_id"], F.col("k1"), "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    else:
+        keys = keys.withColumn("several", F.lit(False))
+    one = keys.where("n > 0 and doc_id is not null and not several")
+    classes, _ = written(one.groupBy(*of_class).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
 
     # Pairs of documents that share a signature with the smallest that has it.
-    groups = part_enum(docs, k, percent).select("doc_id", F.expr("min(doc_id) over (partition by sig)").alias("hub"))
+    groups, shared_path = _with_hubs(part_enum(docs, k, percent))
     pairs, pairs_path = written(groups.where("doc_id <> hub").distinct(), "pairs")
-    named = keys.join(classes.where("members > 1").select(*of_class, "rep"), of_class).where("doc_id <> rep").select("doc_id", "rep")
+    removed(spark, shared_path)
+    named = one.join(classes.where("members > 1").select(*of_class, "rep"), of_class).where("doc_id <> rep").select("doc_id", "rep").distinct()
     for side in ("doc_id", "hub"):
         pairs = pairs.join(named.select(F.col("doc_id").alias(side), F.col("rep").alias("__rep")), side, "left").withColumn(side, F.coalesce("__rep", side)).drop("__rep")
     pairs = pairs.where("doc_id <> hub").select(F.col("hub").alias("component"), F.col("doc_id").alias("node")).distinct()
     groups = pairs.unionByName(pairs.select("component", F.col("component").alias("node")).distinct())
 
-    sizes = classes.select(F.col("rep").alias("node"), "n")
+    sizes, same = classes.select(F.col("rep").alias("node"), "n"), None
+    if any_several:
+        other = keys.where("several and n > 0").select("doc_id", *of_class).distinct()
+        sizes = sizes.unionByName(other.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")))
+        # Documents with a text of an equal set are linked by it.
+        least = other.groupBy(*of_class).agg(F.min("doc_id").alias("b"))
+        same = salted_join(other, least, of_class, F.col("doc_id")).unionByName(salted_join(other, classes.select(*of_class, F.col("rep").alias("b")), of_class, F.col("doc_id"))).select(F.col("doc_id").alias("a"), "b")
     members, members_path = written(groups.join(sizes, "node"), "members")
-    edges, edges_path = written(links(_with_texts(docs, _chunks(members)), k, percent), "links")
-    spark = documents.sparkSession
-    large = _large(members)
-    if large.limit(1).count():
-        labels = components(edges).select("node", F.col("component").alias("label"))
-        more, _ = written(links(_with_texts(docs, _block_pairs(members.join(large, "component", "left_semi"), labels)), k, percent), "links")
-        edges, _ = written(edges.unionByName(more), "links")
-        removed(spark, edges_path)
+    sized, sized_path = written(_sized(members), "sized")
     removed(spark, members_path)
     removed(spark, pairs_path)
-    linked = components(edges).select(F.col("node").alias("rep"), "component")
+    edges, edges_path = written(links(_with_texts(docs, _chunks(sized)), k, percent), "links")
+    large = sized.where("parts > 1")
+    if large.limit(1).count():
+        labels = components(edges).select("node", F.col("component").alias("label"))
+        more, more_path = written(links(_with_texts(docs, _block_pairs(large.drop("parts"), labels)), k, percent), "links")
+        first_path = edges_path
+        edges, edges_path = written(edges.unionByName(more), "links")
+        removed(spark, first_path)
+        removed(spark, more_path)
+    removed(spark, sized_path)
+    linked = components(edges.unionByName(same) if same is not None else edges).select(F.col("node").alias("rep"), "component")
+    removed(spark, edges_path)
 
     # Classes that have several members or lie in another's component; the others are their own.
     named = classes.join(linked, "rep", "left").select(*of_class, "rep", F.coalesce("component", "rep").alias("component"), "members").where("members > 1 or component <> rep").drop("members")
-    out = salted_join(keys, named, of_class, F.col("doc_id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    plain = salted_join(keys.where("not several"), named, of_class, F.col("doc_id"), "left")
+    if any_several:
+        plain = plain.unionByName(salted_join(keys.where("several"), linked.select(F.col("rep").alias("doc_id"), "component"), ["doc_id"], F.col("k1"), "left").withColumn("rep", F.col("doc_id")))
+    own = F.col("doc_id").isNotNull()
+    return plain.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(own, F.coalesce("component", "doc_id")).alias("component_id"), "several")
+
+
+def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id (the smallest document with an equal set), component_id (the smallest one that links reach).
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles. A doc_id with several texts is its
+    own class.
+    """
+    return _joined(documents, k, percent, doc_id, text).drop("several")
 
 
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are linked, over any number of links, with a document of a smaller id."""
-    gone = ngram_join(documents, k, percent, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents[doc_id] == F.col("__gone"), "left_anti")
+    name = fresh(documents, "gone")
+    gone = _joined(documents, k, percent, doc_id, text).where("doc_id <> component_id and not several").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, column(doc_id).cast("long") == F.col(name), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

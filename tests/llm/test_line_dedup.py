@@ -47,3 +47,25 @@ def test_no_python_on_the_way(spark):
 
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_id_with_several_texts_and_none(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "x\ny\nz"), (None, "p\nq\nr"), (None, None), (4, "p\nq\nr\ns")]
+    df = spark.createDataFrame([(d, t, 0, 0) for d, t in rows], "doc_id long, text string, hash int, `removed.x` int")
+    out = line_dedup.dedup_lines(df, removed="removed")
+    assert out.columns == ["doc_id", "text", "hash", "removed.x", "removed"]
+    got = sorted(((r.doc_id, r.text, r.removed) for r in out.collect()), key=str)
+    want = [(1, "a\nb\nc", 0), (2, "", 3), (2, "x\ny\nz", 0), (None, "p\nq\nr", 0), (None, None, 0), (4, "s", 3)]
+    assert got == sorted(want, key=str)
+
+
+def test_hot_windows_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 1000)
+    docs = {i: f"own {i}\nhot\nhot\nhot\nend {i % 5}" for i in range(200)}
+    assert run(spark, docs) == brute(docs)
+
+
+def test_very_long_line(spark):
+    long = "word " * 400_000
+    docs = {1: f"{long}\nb\nc", 2: f"{long}\nb\nc\nd", 3: long}
+    assert run(spark, docs) == brute(docs)

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from rasterloom.llm import _text, ngram_join
+from rasterloom.llm.components import components
 
 
 def shingles(text, k):
@@ -115,3 +116,72 @@ def test_shingle_hashes_follow_the_words():
     rows = [hashes[a:b].tolist() for a, b in zip(to[:-1], to[1:], strict=True)]
     assert [len(r) for r in rows] == [2, 1, 0, 2, 1]
     assert rows[1] == rows[4] and rows[0][0] == rows[3][1] and rows[0][0] != rows[1][0]
+
+
+@pytest.mark.parametrize("blocked", [False, True])
+def test_shared_signatures_that_many_rows_have(spark, monkeypatch, blocked):
+    """Nearly equal texts that share most signatures, dealt over tasks and over blocks, with several texts under one id and none."""
+    monkeypatch.setattr(ngram_join, "HOT", 1_000_000)
+    monkeypatch.setattr(ngram_join, "MOST_SEEN", 3)
+    if blocked:
+        monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    docs = {}
+    for d in range(120):
+        own = list(base)
+        for _ in range(rnd.choice([0, 1, 3, 9])):
+            own[rnd.randrange(60)] = f"x{rnd.randrange(40)}"
+        docs[d] = " ".join(own)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df, 3, 80).collect()}
+    assert got == brute(docs, 3, 80)
+
+
+def test_ids_of_several_texts_or_none(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, two + " more"), (None, one), (None, None), (7, three), (8, three), (9, one)]
+    df = spark.createDataFrame([(d, t, "x", "y", "z") for d, t in rows], "doc_id long, text string, gone string, `a.b` string, several string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df).collect()), key=str)
+    want = [(1, 26, 1), (2, 26, 1), (2, 26, 1), (3, 27, 1), (None, 26, None), (None, 0, None), (7, 26, 7), (8, 26, 7), (9, 26, 1)]
+    assert got == sorted(want, key=str)
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "2", "7", "None", "None"]
+
+
+def test_long_words_of_one_sum_are_not_linked(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, b), (3, "long " * 300_000)], "doc_id long, text string")
+    assert sorted(r.component_id for r in ngram_join.ngram_join(df, 3, 90).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components_by_rounds_and_in_one_task(spark, one_task):
+    rnd = random.Random(one_task)
+    edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(40)] + [(rnd.randrange(300, 500), rnd.randrange(300, 500)) for _ in range(90)] + [(5, 5), (800, 801), (801, 800)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    got = components(df, one_task).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert components(df.where("a < 0"), one_task).count() == 0
+
+
+def test_query(spark, tmp_path):
+    docs = corpus(5, 60)
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op1_ngram_join(spark, str(tmp_path)).collect()}
+    assert got == brute(docs, 3, 90)

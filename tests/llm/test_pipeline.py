@@ -32,3 +32,17 @@ def test_stages_hold_what_they_promise(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept["decontamination"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "decontamination", "packing"]
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", COLUMNS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 1, 2), (2, "a\nb\nc\nd", 3, 4)], "doc_id long, text string, `__removed` int, removed int")
+    out = corpus_pipeline.dedup_lines(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 1, 2), (2, "d", 3, 4)]
+    assert corpus_pipeline.one_of_near_copies(spark, df, "").columns == df.columns
