@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from rasterloom.llm._stage import removed, written
+from rasterloom.llm._stage import fresh, removed, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +21,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut out. A document of which no text is left is a copy and goes."""
-    kept = line_dedup.dedup_lines(docs, removed="__removed").where("__removed = 0 or trim(replace(text, chr(10), '')) <> ''").drop("__removed")
-    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    gone = fresh(docs, "removed")
+    rest = line_dedup.dedup_lines(docs, removed=gone)
+    rest = rest.where((F.col(gone) == 0) | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != "")).drop(gone)
+    if "n_chars" not in docs.columns:
+        return rest
+    n = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+    return rest.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at five words and a similarity of 0.8, the one with the smallest id."""
-    return ngram_join.one_of_each(docs, 5, 80).select(*docs.columns)
+    return ngram_join.one_of_each(docs, 5, 80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
