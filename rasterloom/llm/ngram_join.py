@@ -43,13 +43,15 @@ from rasterloom.llm.components import components
 #: Parts of a partition, and how many of them may differ.
 PARTS, DIFFERING = 2, 1
 #: A block of a large group: sets, and features of them all.
-BLOCK, BLOCK_FEATURES = 128, 1_000_000
+BLOCK, BLOCK_FEATURES = 256, 500_000
 #: Ways to deal the domain before signatures of no features are made after all.
 MOST_DEALS = 200
 #: A signature of more than one in HOT of all rows of shared signatures, of which there are fewer than HOT, is dealt over SALTS tasks.
 HOT, SALTS = 4096, 64
 #: Sets that a task remembers, so as to give the signatures of equal ones once; then it begins anew.
-MOST_SEEN = 500_000
+MOST_SEEN = 100_000
+#: Bytes of text that are turned into sets at once.
+CHUNK = 512 << 10
 
 _U = np.uint64
 
@@ -160,7 +162,7 @@ def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, at in _text.chunks(batch, "text"):
+            for i, j, raw, at in _text.chunks(batch, "text", CHUNK):
                 values, to = _sets(raw, at, k)
                 k1, k2 = _class_keys(values, to)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(to)), pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
@@ -175,7 +177,7 @@ def part_enum(docs: DataFrame, k: int, percent: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, raw, at in _text.chunks(batch, "text", 1 << 20):
+            for i, j, raw, at in _text.chunks(batch, "text", CHUNK // 2):
                 if len(seen) > MOST_SEEN:
                     seen.clear()
                 values, to = _sets(raw, at, k)
@@ -206,7 +208,7 @@ def _forest(ids: list[int], texts: list[str | None], k: int, percent: int) -> li
     column = column[code]
     order = np.argsort(column, kind="stable")
     order = order[np.searchsorted(column[order], 0) :]
-    step = 8192
+    step = 4096
     edges = np.searchsorted(column[order], np.arange(0, len(shared) + step, step))
     for c, (a, b) in enumerate(itertools.pairwise(edges.tolist())):
         own = order[a:b]
@@ -234,8 +236,8 @@ def links(candidates: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, texts = None, [], []
         found: list[tuple[int, int]] = []
-        for batch in batches:
-            for x, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for part in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
+            for x, d, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if x != key:
                     if len(ids) > 1:
                         found += _forest(ids, texts, k, percent)
