@@ -116,6 +116,10 @@ class Words:
             equal[long] = np.logical_and.reduceat(one, begin)
         return equal
 
+    def bytes(self, i: int) -> bytes:
+        """The bytes of one word."""
+        return self.lanes[self.first[i] : self.first[i + 1]].tobytes()[: int(self.size[i])]
+
     def joined(self, other: Words) -> Words:
         """These words and then the other's."""
         out = Words.__new__(Words)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -67,11 +68,58 @@ def test_longest_matches(spark):
 
 def test_suffix_array_is_in_order():
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 4, 500)
-    order = decontaminate.suffix_array(codes, 2, 3, 1, 50)
-    key = lambda p: tuple(codes[p : p + next((k for k in range(51) if k == 50 or p + k >= len(codes) or codes[p + k] == 0), 50)])
-    keys = [key(p) for p in order]
-    assert sorted(order) == np.flatnonzero(codes > 0).tolist() and keys == sorted(keys)
+    for codes in (rng.integers(0, 4, 500), np.tile([1, 2, 1, 1, 2, 0], 60), np.ones(300, int), np.concatenate((np.ones(70, int), [0], np.ones(90, int), [0]))):
+        order = decontaminate.suffix_array(codes, 2, 3)
+        key = lambda p: tuple(codes[p : p + next((k for k in range(len(codes) + 1) if p + k >= len(codes) or codes[p + k] == 0))])  # noqa: E731, B023
+        keys = [key(p) for p in order]
+        assert sorted(order) == np.flatnonzero(codes > 0).tolist() and keys == sorted(keys)
+
+
+def test_each_row_by_its_own_text(spark):
+    rows = [(1, "x a b c d y"), (2, "a b c d"), (2, "none of it"), (None, "z a b c d"), (None, None), (2, "a b c d")]
+    items = [(7, "a b c d"), (8, "q r s t"), (9, "none of")]
+    d = spark.createDataFrame([(*r, "y") for r in rows], "doc_id long, text string, `spans.x` string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 3):
+        got = sorted(((r.doc_id, r.n_hit, list(r["items"]), r.longest and (r.longest["words"], r.longest["item_id"], r.longest["at"])) for r in decontaminate.contamination(d, b, window=4, block_bytes=size).collect()), key=str)
+        want = [(1, 4, ["7"], (4, "7", 1)), (2, 4, ["7"], (4, "7", 0)), (2, 2, ["9"], (2, "9", 0)), (None, 4, ["7"], (4, "7", 1)), (None, 0, [], None), (2, 4, ["7"], (4, "7", 0))]
+        assert got == sorted(want, key=str)
+        kept = decontaminate.decontaminate(d, b, window=4, block_bytes=size)
+        assert kept.columns == d.columns and [(r.doc_id, r.text) for r in kept.collect()] == [(None, None)]
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    other = a.translate(str.maketrans("ab", "ba"))
+    block = decontaminate.TestBlock(["1"], [a])
+    raw, at = _text.column_bytes(pa.array([other, a + " x"]))
+    assert decontaminate.Shard(raw, at).matches(block)[0].tolist() == [1]
+    monkeypatch.setattr(_text, "mix", lambda x: x & np.uint64(1))
+    docs, items = made(8, 12, 4)
+    want = brute(docs, items, 4)
+    block = decontaminate.TestBlock([str(k) for k, _ in items], [t for _, t in items], 4)
+    raw, at = _text.column_bytes(pa.array([t for _, t in docs]))
+    shard = decontaminate.Shard(raw, at)
+    doc, _, which, _ = shard.matches(block)
+    got = {d: sorted({str(items[block.item[w]][0]) for w in which[doc == i]}) for i, (d, _) in enumerate(docs)}
+    assert got == {d: w[2] for d, w in want.items()}
+
+
+def test_query(spark, tmp_path):
+    docs, items = made(3)
+    long = " ".join(f"w{i % 97}" for i in range(200_000))
+    docs += [(1000, long), (1001, "K " + " ".join(f"b{i}" for i in range(12)) + " k")]
+    items += [(500, " ".join(f"b{i}" for i in range(12))), (501, "b3")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = brute([d for d in docs if d[0] != 1000], items, 10) | {1000: (200_000, 0, [])}
+    for r in decontaminate.op4_decontaminate(spark, str(tmp_path)).collect():
+        n, hit, names = want[r.doc_id]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(names), hit > 0)
+        assert r.items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert r.longest_match == (12 if r.doc_id == 1001 else r.longest_match) and (r.longest_match > 0) == r.contaminated
 
 
 def test_empty_tables(spark):
