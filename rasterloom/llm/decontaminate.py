@@ -328,7 +328,9 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "d
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without those in which a window of a test item occurs. All columns pass through; there is no exchange."""
-    kept, at = documents, documents.columns.index(text)
+    # By number, since the pass cannot take every name.
+    kept, at = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))]), documents.columns.index(text)
+    schema = kept.schema
 
     def without(blocks):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,8 +347,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 
     blocks = test_blocks(benchmark, window=window, block_bytes=block_bytes)
     for i in range(0, len(blocks), BLOCKS):
-        kept = kept.mapInArrow(without(blocks[i : i + BLOCKS]), documents.schema)
-    return kept
+        kept = kept.mapInArrow(without(blocks[i : i + BLOCKS]), schema)
+    return kept.toDF(*documents.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 Features are the words of a text and their first 4, 5 and 6 bytes; a value is log(1 + count). Of the features of the labelled sample
 those that part the labels best (chi squared) are kept. The categories are learned one after the other: each logistic model also gets
-the probabilities of the categories before it. For the rows it learns from these are out-of-fold: each fold's come from models that
-have not seen it; for other texts they come from models of all rows.
+the probabilities of the categories before it. For the rows it learns from these are out-of-fold: each fold's come from models whose
+features were chosen, and which were learned, without it; for other texts they come from models of all rows.
 
 A table of labels may have any 0/1 categories, the last of which decides. `labels` of the test data marks only toxic texts, so
-`weak_categories` makes two more for its toxic rows: dense (a large share of cue words) and repeated (a cue word more than once).
+`weak_categories` makes two kinds of its toxic rows: dense (a large share of cue words) and repeated (a cue word more than once), with the
+cue words that the other folds have.
 
-The models learn from at most MOST_POSITIVE and MOST_NEGATIVE labelled rows, those with the smallest hash of their id; labels of
-null are not used. The driver gets the kept features of that sample, and executors get MOST_FEATURES weights a category.
+The models learn from at most MOST_POSITIVE and MOST_NEGATIVE labelled rows, those with the smallest hash of their id, and of at most
+MOST_FEATURES features a fold; labels of null are not used, and of an id with several texts the least one is. The driver gets the kept
+features of that sample, and executors get their weights for each category.
 
-A null or empty text has the probability that the models give no features. Rows that repeat are scored each. Where no labelled row has
-a text, or all have one label, each category's probability is its share. Extra columns pass through `without_toxic`.
+A null or empty text has the probability that the models give no features. Rows that repeat, or that have no doc_id, are scored each. The
+categories are the same whatever the labels are: where all rows have one label, each category's probability is near its share, and
+without labelled rows it is near 0. Extra columns pass through `without_toxic`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
-from rasterloom.llm._stage import removed, written
+from rasterloom.llm._stage import column, removed, written
 
 MOST_POSITIVE, MOST_NEGATIVE, MOST_FEATURES = 4_000, 8_000, 2_048
 FOLDS = 3
@@ -121,30 +124,41 @@ def _logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, extra: np
     return w
 
 
-def weak_categories(row: np.ndarray, feature: np.ndarray, value: np.ndarray, toxic: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """Categories from the toxic mark alone: which toxic rows have many cue features, and which have one of them several times."""
+def weak_categories(row: np.ndarray, feature: np.ndarray, value: np.ndarray, toxic: np.ndarray, width: int, fold: np.ndarray) -> dict[str, np.ndarray]:
+    """Categories from the toxic mark alone: which toxic rows have many cue features, and which have one of them several times. What is
+    a cue for a row is found in the rows of other folds."""
     n = len(toxic)
-    inside = np.bincount(feature, toxic[row] > 0, width)
-    outside = np.bincount(feature, toxic[row] == 0, width)
-    cue = inside / max(1, toxic.sum()) > 20 * (outside + 0.5) / max(1, n - toxic.sum())
-    count = np.bincount(row, cue[feature] * np.expm1(value), n)
+    count, most = np.zeros(n), np.zeros(n)
+    for f in np.unique(fold):
+        there = fold[row] != f
+        learn = toxic[fold != f]
+        inside = np.bincount(feature[there], toxic[row[there]] > 0, width)
+        outside = np.bincount(feature[there], toxic[row[there]] == 0, width)
+        cue = inside / max(1, learn.sum()) > 20 * (outside + 0.5) / max(1, len(learn) - learn.sum())
+        own = ~there
+        found = cue[feature[own]] * np.expm1(value[own])
+        count += np.bincount(row[own], found, n)
+        np.maximum.at(most, row[own], found)
     middle = np.median(count[toxic == 1]) if toxic.any() else 0
-    most = np.zeros(n)
-    np.maximum.at(most, row, cue[feature] * np.expm1(value))
     return {"dense": ((toxic == 1) & (count >= max(middle, 1))).astype(float), "repeated": ((toxic == 1) & (most > 1.5)).astype(float)}
 
 
-def learned(known: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, categories: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
-    """The chain of the categories in their order, from sparse values (row, place in known, value)."""
-    chain = Chain(list(categories), known, [])
-    width, n = len(known), len(next(iter(categories.values())))
-    fold = np.arange(n) % folds
+def learned(known: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, categories: dict[str, np.ndarray], fold: np.ndarray, chosen: np.ndarray) -> Chain:
+    """The chain of the categories in their order, from sparse values (row, place in known, value).
+
+    fold is each row's; chosen has a line for each fold, of the features chosen without it, and a last one, of those chosen from all."""
+    n = len(fold)
+    chain = Chain(list(categories), known[chosen[-1]], [])
+    width = len(known)
     outside = np.zeros((n, 0))
     for y in categories.values():
-        chain.weights.append(_logistic(row, feature, value, outside, y, width))
+        use = chosen[-1][feature]
+        place = np.cumsum(chosen[-1]) - 1
+        chain.weights.append(_logistic(row[use], place[feature[use]], value[use], outside, y, len(chain.known)))
         own = np.zeros(n)
-        for f in range(folds):
-            there, here = fold[row] != f, fold[row] == f
+        for f in range(len(chosen) - 1):
+            use = chosen[f][feature]
+            there, here = use & (fold[row] != f), use & (fold[row] == f)
             learn = np.flatnonzero(fold != f)
             to = np.full(n, -1)
             to[learn] = np.arange(len(learn))
@@ -156,22 +170,26 @@ def learned(known: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.n
 
 
 def _feature_counts(sample: DataFrame) -> DataFrame:
-    """feature, positive, total: in how many rows, summed over a batch before the exchange."""
+    """feature, fold, positive, total: in how many rows, summed over a batch before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(1).to_numpy(zero_copy_only=False)
+            folds = batch.column(2).to_numpy(zero_copy_only=False)
             for i, j, raw, at in _text.chunks(batch, "text"):
                 row, found = features(raw, at)
                 order = np.lexsort((row, found))
                 row, found = row[order], found[order]
                 new = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))[: len(row)]
                 each, code = np.unique(found[new], return_inverse=True)
-                total = np.bincount(code, minlength=len(each))
-                positive = np.bincount(code, marks[i:j][row[new]], len(each)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(positive), pa.array(total)], names=["feature", "positive", "total"])
+                code = code * FOLDS + folds[i:j][row[new]]
+                total = np.bincount(code, minlength=len(each) * FOLDS)
+                positive = np.bincount(code, marks[i:j][row[new]], len(each) * FOLDS).astype(np.int64)
+                held = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)[held // FOLDS]), pa.array((held % FOLDS).astype(np.int32)), pa.array(positive[held]), pa.array(total[held])], names=["feature", "fold", "positive", "total"])
 
-    return sample.select("id", "mark", "text").mapInArrow(run, "feature long, positive long, total long").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
+    counts = sample.select("id", "mark", "fold", "text").mapInArrow(run, "feature long, fold int, positive long, total long")
+    return counts.groupBy("feature").agg(*[F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS + 1) for c in ("positive", "total")])
 
 
 def _values(sample: DataFrame, known: np.ndarray) -> DataFrame:
@@ -183,37 +201,48 @@ def _values(sample: DataFrame, known: np.ndarray) -> DataFrame:
                 row, feature, value = held.counts(raw, at)
                 to = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(to, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(to, pa.array(value))], names=["id", "mark", "features", "values"]
+                    [*(c.slice(i, j - i) for c in batch.columns[:3]), pa.ListArray.from_arrays(to, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(to, pa.array(value))], names=["id", "mark", "fold", "features", "values"]
                 )
 
-    return sample.select("id", "mark", "text").mapInArrow(run, "id long, mark int, features array<int>, values array<double>")
+    return sample.select("id", "mark", "fold", "text").mapInArrow(run, "id long, mark int, fold int, features array<int>, values array<double>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, category: str = "toxic", doc_id: str = "doc_id", text: str = "text", positive: int = MOST_POSITIVE, negative: int = MOST_NEGATIVE, most_features: int = MOST_FEATURES) -> Chain:
     """A chain learned from a bounded sample of the labelled documents. Its ids are broadcast and its texts written to the shared folder;
     executors count features, and the driver gets the counts of the kept ones."""
     spark = documents.sparkSession
-    marked = labels.where(F.col(category).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(category).cast("int")).alias("mark"))
+    marked = labels.where(column(category).isNotNull()).groupBy(column(doc_id).cast("long").alias("id")).agg(F.max(column(category).cast("int")).alias("mark"))
     by = F.xxhash64("id")
     chosen = marked.where("mark = 1").orderBy(by, "id").limit(positive).union(marked.where("mark = 0").orderBy(by, "id").limit(negative))
-    docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    sample, path = written(docs.join(F.broadcast(chosen), "id").select("id", "mark", "text"), "toxic")
-    n, share = sample.agg(F.count("*"), F.avg("mark")).first()
-    share = share or 0.0
-    expected = F.col("total") * F.lit(share)
-    chi = F.pow(F.col("positive") - expected, 2) / F.greatest(expected * F.lit(1 - share), F.lit(1e-9))
-    best = _feature_counts(sample).where("total >= 3").withColumn("chi", chi).where("chi > 10").orderBy(F.desc("chi"), "feature").limit(most_features)
-    known = np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64))
+    docs = documents.select(column(doc_id).cast("long").alias("id"), column(text).cast("string").alias("text")).where("text is not null")
+    # One text for each id, so that the sample is bounded whatever ids repeat.
+    one = docs.join(F.broadcast(chosen), "id").groupBy("id", "mark").agg(F.min("text").alias("text"))
+    sample, path = written(one.select("id", "mark", F.pmod(by, F.lit(FOLDS)).cast("int").alias("fold"), "text"), "toxic")
+    stats = sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("mark").alias("marks")).collect()
+    n = sum(r.n for r in stats)
+    if not n:
+        removed(spark, path)
+        names = [*weak_categories(*[np.empty(0, np.int64)] * 4, 0, np.empty(0)), category]
+        return Chain(names, np.empty(0, np.uint64), [np.append(np.zeros(i), -30.0) for i in range(len(names))])
+    counts, counts_path = written(_feature_counts(sample), "features")
+    lists = []
+    for f in range(FOLDS + 1):
+        rows = sum(r.n for r in stats if r.fold != f)
+        share = sum(r.marks for r in stats if r.fold != f) / max(1, rows)
+        expected = F.col(f"total{f}") * F.lit(share)
+        chi = F.pow(F.col(f"positive{f}") - expected, 2) / F.greatest(expected * F.lit(1 - share), F.lit(1e-9))
+        best = counts.where(f"total{f} >= 3").withColumn("chi", chi).where("chi > 10").orderBy(F.desc("chi"), "feature").limit(most_features)
+        lists.append(np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64))
+    removed(spark, counts_path)
+    known = np.unique(np.concatenate(lists))
     rows = _values(sample, known).toArrow().sort_by("id")
     removed(spark, path)
-    sizes = np.array([len(x) for x in rows.column("features").to_pylist()], np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    feature = np.array([x for f in rows.column("features").to_pylist() for x in f], np.int64)
-    value = np.array([x for f in rows.column("values").to_pylist() for x in f], float)
-    toxic = rows.column("mark").to_numpy().astype(float)
-    if not n:
-        return Chain([category], known, [np.array([-5.0])])
-    return learned(known, row, feature, value, weak_categories(row, feature, value, toxic, len(known)) | {category: toxic})
+    found = rows.column("features").combine_chunks()
+    row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy(zero_copy_only=False))
+    feature, value = found.flatten().to_numpy().astype(np.int64), rows.column("values").combine_chunks().flatten().to_numpy()
+    toxic, fold = rows.column("mark").to_numpy().astype(float), rows.column("fold").to_numpy()
+    categories = weak_categories(row, feature, value, toxic, len(known), fold) | {category: toxic}
+    return learned(known, row, feature, value, categories, fold, np.array([np.isin(known, x) for x in lists]))
 
 
 def scored(documents: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +258,7 @@ def scored(documents: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str
                     [batch.column(0).slice(i, j - i), *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= held.value.threshold)], names=["doc_id", *[f"p_{c}" for c in names], names[-1]]
                 )
 
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = documents.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     return docs.mapInArrow(run, ", ".join(["doc_id long", *[f"p_{c} double" for c in names], f"{names[-1]} boolean"]))
 
 
@@ -245,7 +274,9 @@ def without_toxic(documents: DataFrame, chain: Chain, text: str = "text") -> Dat
                 clean[i:j] = held.value.probabilities(raw, offsets)[:, -1] < held.value.threshold
             yield batch.filter(pa.array(clean))
 
-    return documents.mapInArrow(run, documents.schema)
+    # By number, since the pass cannot take every name.
+    plain = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,76 @@ def test_toxicity_of_nothing(spark):
     chain = toxicity.fit(none, none)
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x")], DOCS)
     assert [r.toxic for r in toxicity.scored(docs, chain).collect()] == [False] * 3
+    assert toxicity.scored(docs, chain).columns == ["doc_id", "p_dense", "p_repeated", "p_toxic", "toxic"]
+    assert max(r.p_toxic for r in toxicity.scored(docs, chain).collect()) < 1e-6
+    odd = spark.createDataFrame([(1, "vile text", "x")], "doc_id long, text string, `a.b` string")
+    assert toxicity.without_toxic(odd, chain).columns == odd.columns and toxicity.without_toxic(odd, chain).count() == 1
     assert toxicity.scored(none, chain).count() == 0
 
 
+def test_toxicity_scores_by_definition(spark, tmp_path):
+    """The query's probabilities, computed word by word from the chain's weights."""
+    rows = _labelled(300, 5)
+    docs = [(i, t, "x") for i, t, _, _ in rows] + [(900, None, "x"), (901, "Vileone VILEONE x", "x"), (None, "viletwo", "x"), (3, "another text under an id", "x")]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, x) for i, _, q, x in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    chain = toxicity.fit(read("documents"), read("labels"))
+    place = {k: i for i, k in enumerate(chain.known.tolist())}
+
+    def probabilities(text):
+        count = {}
+        for w in re.findall("[a-z0-9]+", (text or "").lower()):
+            for part in [w, *[(w[:n], n) for n in toxicity.PREFIXES if len(w) >= n]]:
+                own, n = (part, 0) if isinstance(part, str) else part
+                raw = np.frombuffer(own.encode(), np.uint8)
+                h = _text.word_hashes(raw, np.array([0]), np.array([len(raw)]))
+                if n:
+                    h = _text.mix(h + np.uint64(n))
+                if int(h[0]) in place:
+                    count[place[int(h[0])]] = count.get(place[int(h[0])], 0) + 1
+        out = []
+        for w in chain.weights:
+            z = sum(np.log1p(n) * w[i] for i, n in count.items()) + sum(p * w[len(place) + j] for j, p in enumerate(out)) + w[-1]
+            out.append(1 / (1 + np.exp(-z)))
+        return out
+
+    got = sorted((str(r.doc_id), r.p_dense, r.p_repeated, r.p_toxic, r.toxic) for r in toxicity.op3_toxicity(spark, str(tmp_path)).collect())
+    want = sorted((str(i), *probabilities(t)) for i, t, _ in docs)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and np.allclose(g[1:4], w[1:], atol=1e-9) and g[4] == (w[3] >= 0.5)
+
+
+def test_probabilities_of_a_fold_do_not_know_it():
+    """A fold whose marks are turned round leaves its own out-of-fold probabilities, and so the later models' inputs of it, as they were."""
+    rng = np.random.default_rng(1)
+    n, width = 90, 6
+    fold = np.arange(n) % 3
+    held = rng.random((n, width)) < 0.4
+    row, feature = np.nonzero(held)
+    value = np.ones(len(row))
+    first = held[:, 0].astype(float)
+    turned = np.where(fold == 1, 1 - first, first)
+    seen = []
+    original = toxicity._logistic
+    for y in (first, turned):
+        inputs = []
+
+        def spy(r, f, v, extra, y_, width_, *a, inputs=inputs):
+            inputs.append(extra.copy())
+            return original(r, f, v, extra, y_, width_, *a)
+
+        toxicity._logistic = spy
+        try:
+            toxicity.learned(np.arange(width, dtype=np.uint64), row, feature, value, {"one": y, "two": first}, fold, np.ones((4, width), bool))
+        finally:
+            toxicity._logistic = original
+        seen.append(inputs[4])
+    assert seen[0].shape == (n, 1)
+    assert (seen[0][fold == 1] == seen[1][fold == 1]).all() and not np.allclose(seen[0][fold != 1], seen[1][fold != 1])
+
+
 def test_quality_on_held_out_documents(spark):
     rows = _labelled(600, 2)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _, _ in rows], DOCS)
