@@ -1,21 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with the path of elements from the root to its innermost block element; an element counts with
-its class, id and role. For each path the characters, those inside links, and the punctuation of all its blocks are added up. A path's
-ratio is its plain characters and, four times, its punctuation a block. The ratios are smoothed along the path (every enclosing element
-below the body has the ratio of all that it holds) and fused: half the own ratio and half the best of the enclosing ones. Paths through
-elements that stand for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or readers' comments weigh nothing,
-unless such an element is only a wrapper of the text (see `_settled`); where a page marks an article or main part, paths outside it weigh
-a sixteenth, else those outside the element whose own blocks hold most. A path is content if the logarithm of its fused ratio is at least LEAST of the page's largest. The text is that of all blocks on
-such paths, in page order.
-
-White space inside a block becomes one space, character references are decoded, blocks are joined by a line feed. Null, empty and
-textless pages give an empty text. Rows that repeat are extracted each. A table without rows gives none. Extra columns are not read.
+its class, id and role. For each path the characters outside links and, four times, the punctuation of all its blocks are added up; a
+path's ratio is that a block. The ratios are smoothed along the path (every enclosing element below the body has the ratio of all that it
+holds; half is the own ratio and half the best of the enclosing ones) and fused with what the page says of its parts, by factors: paths
+outside a marked article or main part, or else outside the element whose own blocks hold most, weigh OUTSIDE, those inside weigh MARKED,
+and names of menus, footers, sidebars, notices, adverts, forms or readers' comments weigh as FACTORS has it, unless such an element is only
+a wrapper of the text (see `_settled`). A name that is only one word of a class (`related-work`) weighs little, so that the ratio decides;
+only what a page hides is left out whatever its ratio. The logarithms of the fused ratios are smoothed over the neighbouring paths in page
+order. A path is content if that is at least LEAST of the page's largest, and its own fused ratio at least FLOOR. The text is that of all
+blocks on such paths, in page order.
+
+White space inside a block, and a line break, becomes one space, character references are decoded in each piece of text, blocks are joined
+by a line feed. Null, empty and textless pages give an empty text. Rows that repeat, or that have no page_id, are extracted each. A table
+without rows gives none. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 #: Of the logarithm of the largest fused ratio.
 LEAST = 0.55
 MARKED, OUTSIDE = 4.0, 1 / 16
+FLOOR = 2.0
+#: Shares of a path's logarithm, and of each neighbour's, after smoothing in page order.
+OWN, BESIDE = 0.7, 0.15
 
 # Element names of HTML and words by which pages name their parts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,8 +67,14 @@ _SPLIT_CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
-# Verdicts of an element on the text inside it. All but HIDDEN can be void.
-LIVE, NAMED, COMMENTS, PART, HIDDEN = range(5)
+# Verdicts of an element on the text inside it, and their factors. All but HIDDEN can be void.
+LIVE, WEAK, NAMED, COMMENTS, PART, HIDDEN = range(6)
+FACTORS = (1.0, 1 / 8, 1 / 256, 1 / 256, 1 / 4096, 0.0)
+#: Words that add nothing to a part's name in a class.
+_GENERIC = frozenset("area article articles bar block blocks body box button buttons container content elem element footer form group header inner item items left line link links list main module outer page panel post posts right row section site story text title top unit wrap wrapper".split())
+#: Names of parts of articles as well.
+_OF_TEXTS_TOO = frozenset("discussion responses notification notifications alert promotion".split())
+_ABOUT = frozenset("has no with without is not".split())
 
 
 class _Element:
@@ -71,6 +84,21 @@ class _Element:
         self.name, self.key, self.verdict, self.marked, self.main, self.mass = name, key, verdict, marked, main, 0
 
 
+def _words(name: str) -> set[str]:
+    return set(_WORD.findall(_SPLIT_CASE.sub(" ", name).lower()))
+
+
+def _said(name: str) -> int:
+    """The verdict of one class or id."""
+    words = _words(name)
+    parts = words & _PARTS
+    if not parts or words & _ABOUT:
+        return LIVE
+    if parts <= _OF_TEXTS_TOO or any(not w.isdigit() and len(w) > 1 for w in words - parts - _GENERIC):
+        return WEAK
+    return COMMENTS if parts & _COMMENTS else PART if parts & _FIRM else NAMED
+
+
 def _element(name: str, rest: str, inside_article: bool) -> _Element:
     key, marked, main = name, name in ("article", "main"), name == "main"
     verdict = HIDDEN if name == "head" else NAMED if name == "form" else PART if name in _NO_CONTENT or (name == "header" and not inside_article) else LIVE
@@ -80,12 +108,11 @@ def _element(name: str, rest: str, inside_article: bool) -> _Element:
             said.setdefault(k.lower(), entities.unescape(v.strip("\"'")))
         names = " ".join(said.get(k, "") for k in ("class", "id"))
         if names.strip():
-            words = set(_WORD.findall(_SPLIT_CASE.sub(" ", names).lower()))
-            if words & _PARTS and name not in ("body", "html", "article", "main"):
-                verdict = max(verdict, COMMENTS if words & _COMMENTS else PART if words & _FIRM else NAMED)
-            if marked and "comment" in words:
-                verdict = HIDDEN
             key = f"{name}.{'.'.join(sorted(names.split()))}"
+            if name not in ("body", "html", "article", "main"):
+                verdict = max([verdict, *map(_said, names.split())])
+            elif marked and any("comment" in _words(n) for n in names.split()):
+                verdict = HIDDEN
         role = said.get("role", "").lower()
         main = main or role == "main" or said.get("itemprop", "") == "articleBody"
         marked = marked or main or role == "article"
@@ -96,15 +123,15 @@ def _element(name: str, rest: str, inside_article: bool) -> _Element:
     return _Element(name, key, verdict, marked, main)
 
 
-def _settled(found: list[tuple[tuple[_Element, ...], str, int]]) -> list[bool]:
-    """Whether each block (elements, text, characters in links) is dead, once the verdicts of mere wrappers are void.
+def _settled(found: list[tuple[tuple[_Element, ...], str, int]]) -> list[float]:
+    """The factor of each block (elements, text, characters in links), once the verdicts of mere wrappers are void.
 
     Void are all verdicts around a main part, those by class words (and of forms) of an element that holds most of the page's text, and
     those around the article that holds more than all that is left otherwise. Words of readers' comments count less only where nothing
     is left; an element that is hidden stays so.
     """
     if not any(e.verdict for own, _, _ in found for e in own):
-        return [False] * len(found)
+        return [1.0] * len(found)
     masses = [_mass(text, linked) for _, text, linked in found]
     total = 0
     for (own, _, _), mass in zip(found, masses, strict=True):
@@ -123,12 +150,13 @@ def _settled(found: list[tuple[tuple[_Element, ...], str, int]]) -> list[bool]:
                 if e.verdict == verdict and 2 * e.mass > total:
                     e.verdict = LIVE
 
+    void(WEAK)
     void(NAMED)
-    left = sum(mass for (own, _, _), mass in zip(found, masses, strict=True) if not any(e.verdict for e in own))
+    left = sum(mass for (own, _, _), mass in zip(found, masses, strict=True) if not any(e.verdict > WEAK for e in own))
     articles: dict[int, list] = {}
     for (own, _, _), mass in zip(found, masses, strict=True):
         i = next((i for i, e in enumerate(own) if e.marked), None)
-        if i is not None and not any(e.verdict for e in own[i:]) and {e.verdict for e in own[:i]} - {LIVE} == {NAMED}:
+        if i is not None and not any(e.verdict > WEAK for e in own[i:]) and {e.verdict for e in own[:i]} - {LIVE, WEAK} == {NAMED}:
             articles.setdefault(id(own[i]), [0, own[:i]])[0] += mass
     mass, around = max(articles.values(), key=lambda a: a[0], default=(0, ()))
     if mass > left:
@@ -137,7 +165,7 @@ def _settled(found: list[tuple[tuple[_Element, ...], str, int]]) -> list[bool]:
         left += mass
     if not left:
         void(COMMENTS)
-    return [any(e.verdict for e in own) for own, _, _ in found]
+    return [math.prod(FACTORS[e.verdict] for e in own) for own, _, _ in found]
 
 
 def _mass(text: str, linked: int) -> int:
@@ -145,8 +173,8 @@ def _mass(text: str, linked: int) -> int:
     return len(text) - linked + 4 * len(_PUNCTUATION.findall(text))
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
-    """(path, through an element without content, through an article or main part, text, characters in links) of each block."""
+def blocks(page: str | None) -> list[tuple[tuple[str, ...], float, bool, str, int]]:
+    """(path, factor of its elements' verdicts, through an article or main part, text, characters in links) of each block."""
     out: list[tuple[tuple[_Element, ...], str, int]] = []
     stack: list[_Element] = []
     parts: list[str] = []
@@ -155,7 +183,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 out.append((tuple(stack), text, min(linked, len(text))))
@@ -178,6 +206,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int
         nonlocal linked
         if stack and stack[-1].name == "head" and text.strip():
             left_head()
+        text = entities.unescape(text)
         parts.append(text)
         if links:
             linked += len(text)
@@ -226,7 +255,9 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int
                     break
             continue
         if name in _VOID:
-            if name not in _INLINE:
+            if name == "br":
+                parts.append(" ")
+            elif name not in _INLINE:
                 flush()
             continue
         if name not in _INLINE:
@@ -252,34 +283,35 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, bool, str, int
         add(page[at:])
     flush()
     paths = [tuple(e.key for e in own if e.name not in _INLINE) for own, _, _ in out]
-    return [(path, dead, any(e.marked for e in own), text, n) for path, dead, (own, text, n) in zip(paths, _settled(out), out, strict=True)]
+    return [(path, factor, any(e.marked for e in own), text, n) for path, factor, (own, text, n) in zip(paths, _settled(out), out, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     """The text of the blocks on content paths, joined by line feeds."""
-    found = blocks(page)
+    found = [x for x in blocks(page) if x[1]]
+    if not found:
+        return ""
     sums: dict[tuple[str, ...], list[float]] = {}
     weight: dict[tuple[str, ...], float] = {}
+    factors: dict[tuple[str, ...], float] = {}
     around: dict[tuple[str, ...], list[float]] = {}
     own: dict[tuple[str, ...], float] = {}
-    any_marked = any(marked and not dead for _, dead, marked, _, _ in found)
-    for path, dead, marked, text, linked in found:
-        if dead:
-            continue
+    any_marked = any(marked and factor >= FACTORS[WEAK] for _, factor, marked, _, _ in found)
+    for path, factor, marked, text, linked in found:
         mass = _mass(text, linked)
         s = sums.setdefault(path, [0.0, 0])
         s[0] += mass
         s[1] += 1
+        factors[path] = max(factor, factors.get(path, 0.0))
         weight[path] = MARKED if marked else OUTSIDE if any_marked else 1.0
+        # What is said to be no content counts by its factor in what encloses it.
         parent = path[:-1]
-        own[parent] = own.get(parent, 0.0) + mass
+        own[parent] = own.get(parent, 0.0) + mass * factor
         for i in range(1, len(path)):
             if path[i - 1] not in ("html", "body"):
                 a = around.setdefault(path[:i], [0.0, 0])
-                a[0] += mass
-                a[1] += 1
-    if not sums:
-        return ""
+                a[0] += mass * factor
+                a[1] += factor
     if not any_marked:
         root = max(own, key=lambda p: (own[p], -len(p)))
         for path in weight:
@@ -287,9 +319,17 @@ def main_text(page: str | None) -> str:
     fused = {}
     for path, (mass, n) in sums.items():
         pooled = max((a[0] / a[1] for i in range(1, len(path)) if (a := around.get(path[:i]))), default=mass / n)
-        fused[path] = math.log1p(weight[path] * (mass / n + pooled) / 2)
-    least = LEAST * max(fused.values())
-    return "\n".join(text for path, dead, _, text, _ in found if not dead and fused[path] >= least)
+        fused[path] = factors[path] * weight[path] * (mass / n + pooled) / 2
+    # Neighbours in page order: the paths of the runs of blocks before and after.
+    runs = [path for path, _ in itertools.groupby(found, key=lambda x: x[0])]
+    beside: dict[tuple[str, ...], list[float]] = {}
+    for i, path in enumerate(runs):
+        logs = [math.log1p(fused[p]) for p in runs[max(0, i - 1) : i + 2]]
+        edges = (1 if i else 0) + (1 if i + 1 < len(runs) else 0)
+        beside.setdefault(path, []).append(BESIDE * (sum(logs) - math.log1p(fused[path]) + (2 - edges) * math.log1p(fused[path])))
+    smoothed = {path: OWN * math.log1p(x) + sum(beside[path]) / len(beside[path]) for path, x in fused.items()}
+    least = LEAST * max(smoothed.values())
+    return "\n".join(text for path, _, _, text, _ in found if fused[path] >= FLOOR and smoothed[path] >= least)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
