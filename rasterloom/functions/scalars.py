@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,3 +106,70 @@ def money(micros: Column) -> Column:
     text = F.format_number(micros / 1_000_000, 6)
     trimmed = F.regexp_replace(text, "(\\.\\d\\d\\d*?)0+$", "$1")
     return F.when(micros < 0, F.concat(F.lit("-$"), F.substring(trimmed, 2, 40))).otherwise(F.concat(F.lit("$"), trimmed))
+
+
+def hue_delta(a: Column, b: Column) -> Column:
+    """The shorter way from one hue to another, -180 (not itself) to 180."""
+    d = F.pmod(b - a, F.lit(360.0))
+    return F.when(d > 180, d - 360).otherwise(d)
+
+
+def wrapped_angle(degrees: Column) -> Column:
+    """The same angle, -180 to 180 (not itself)."""
+    return F.pmod(degrees + 180, F.lit(360.0)) - 180
+
+
+# OKLab to linear sRGB (public, B. Ottosson 2020).
+_FROM_LAB = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.0638541728), (1.0, -0.0894841775, -1.2914855480))
+_FROM_LMS = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
+
+
+def _linear_of(lightness: Column, chroma: Column, cos: Column, sin: Column) -> list[Column]:
+    lms = [lightness * k + chroma * cos * u + chroma * sin * v for k, u, v in _FROM_LAB]
+    cubes = [x * x * x for x in lms]
+    return [cubes[0] * a + cubes[1] * b + cubes[2] * c for a, b, c in _FROM_LMS]
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def oklch_rgb(lightness: Column, chroma: Column, hue: Column) -> Column:
+    """(r, g, b) of 8 bits of a colour. Outside sRGB, its chroma is halved in on the edge in 24 steps; lightness and hue stay."""
+    angle = F.radians(F.pmod(hue, F.lit(360.0)))
+
+    def inside(v: Column, at: Column) -> Column:
+        out = F.lit(True)
+        for x in _linear_of(v["l"], at, v["cos"], v["sin"]):
+            out = out & x.between(-1e-6, 1 + 1e-6)
+        return out
+
+    def halved(v: Column) -> Callable[[Column, Column], Column]:
+        def step(s: Column, _: Column) -> Column:
+            middle = (s["lo"] + s["hi"]) / 2
+            return let(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), middle.alias("mid"), inside(v, middle).alias("ok")), lambda t: F.struct(F.when(t["ok"], t["mid"]).otherwise(t["lo"]).alias("lo"), F.when(t["ok"], t["hi"]).otherwise(t["mid"]).alias("hi")))
+
+        return step
+
+    def kept(v: Column) -> Column:
+        edge = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(F.lit(0.0).alias("lo"), v["c"].alias("hi")), halved(v), lambda s: s["lo"])
+        return F.struct(v["l"].alias("l"), F.when(inside(v, v["c"]), v["c"]).otherwise(edge).alias("c"), v["cos"].alias("cos"), v["sin"].alias("sin"))
+
+    def stored(v: Column) -> Column:
+        curve = lambda x: F.when(x <= 0.0031308, x * 12.92).otherwise(F.pow(F.greatest(x, F.lit(0.0)), 1 / 2.4) * 1.055 - 0.055)
+        byte = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), round_half_up(curve(x) * 255))).cast("int")
+        lms = F.array(*[v["l"] * k + v["c"] * v["cos"] * u + v["c"] * v["sin"] * w for k, u, w in _FROM_LAB])
+        linear = lambda m: F.array(*[sum((F.get(m, i) * F.get(m, i) * F.get(m, i) * x for i, x in enumerate(row)), F.lit(0.0)) for row in _FROM_LMS])
+        return let(lms, lambda m: let(linear(m), lambda x: F.struct(*[byte(F.get(x, i)).alias(n) for i, n in enumerate("rgb")])))
+
+    start = F.struct(lightness.alias("l"), F.greatest(F.lit(0.0), chroma).alias("c"), F.cos(angle).alias("cos"), F.sin(angle).alias("sin"))
+    return let(start, lambda v: let(kept(v), stored))
+
+
+def rotated(r: Column, g: Column, b: Column, degrees: Column) -> Column:
+    """(r, g, b) of a colour with its hue turned; a whole turn changes nothing."""
+    lightness, chroma, hue = oklch(r, g, b)
+    coded = F.struct(lightness.alias("l"), chroma.alias("c"), F.coalesce(hue, F.lit(0.0)).alias("h"))
+    own = F.struct(r.cast("int").alias("r"), g.cast("int").alias("g"), b.cast("int").alias("b"))
+    return F.when(F.pmod(degrees, F.lit(360.0)) == 0, own).otherwise(let(coded, lambda v: oklch_rgb(v["l"], v["c"], v["h"] + degrees)))

@@ -5,8 +5,10 @@ A frame is a row (sheet, frame, x, y, w, h, ms, px, py); frames without a pivot
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.functions.scalars import round_half_up
 
@@ -33,13 +35,25 @@ def aseprite_json(frames: DataFrame) -> DataFrame:
     return ordered.select("sheet", F.to_json(F.struct("frames", meta.alias("meta"))).alias("document"))
 
 
-def phaser_json(frames: DataFrame) -> DataFrame:
-    """(sheet, document): frames by name; anchors are shares of the frame, to six places."""
-    anchor = F.when(F.col("px").isNotNull(), F.struct(F.round(F.col("px") / F.col("w"), 6).alias("x"), F.round(F.col("py") / F.col("h"), 6).alias("y")))
-    each = F.struct(F.col("frame").alias("i"), name_of(F.col("sheet"), F.col("frame")).alias("k"), F.struct(F.struct("x", "y", "w", "h").alias("frame"), F.struct("w", "h").alias("sourceSize"), anchor.alias("anchor")).alias("v"))
-    ordered = frames.groupBy("sheet").agg(F.sort_array(F.collect_list(each)).alias("e"))
+def phaser_json(frames: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """(sheet, document): frames by name with all that a reader asks for, animations (tags: name, from_f, to_f, direction) and facts of the
+    sheet. Frames are neither turned nor trimmed, which is said, as a missing flag is read as trimmed; anchors are shares of the frame."""
+    from rasterloom.operators.timeline import expanded_tag
+
+    anchor = F.when(F.col("px").isNotNull(), F.struct((F.col("px") / F.col("w")).alias("x"), (F.col("py") / F.col("h")).alias("y")))
+    whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), "w", "h")
+    value = F.struct(F.struct("x", "y", "w", "h").alias("frame"), F.lit(False).alias("rotated"), F.lit(False).alias("trimmed"), whole.alias("spriteSourceSize"), F.struct("w", "h").alias("sourceSize"), F.col("ms").alias("duration"), anchor.alias("anchor"))
+    each = F.struct(F.col("frame").alias("i"), name_of(F.col("sheet"), F.col("frame")).alias("k"), value.alias("v"))
+    ordered = frames.groupBy("sheet").agg(F.sort_array(F.collect_list(each)).alias("e"), F.max(F.col("x") + F.col("w")).alias("w"), F.max(F.col("y") + F.col("h")).alias("h"))
     entries = F.map_from_entries(F.transform("e", lambda e: F.struct(e["k"], e["v"])))
-    return ordered.select("sheet", F.to_json(F.struct(entries.alias("frames")), {"ignoreNullFields": "true"}).alias("document"))
+    meta = F.struct(F.lit("rasterloom").alias("app"), F.lit("1.0").alias("version"), F.concat(F.col("sheet").cast("string"), F.lit(".png")).alias("image"), F.lit("RGBA8888").alias("format"), F.struct("w", "h").alias("size"), F.lit("1").alias("scale"))
+    animations = F.lit(None).cast("map<string,array<string>>")
+    if tags is not None:
+        steps = tags.select("name", F.posexplode(expanded_tag(F.col("from_f"), F.col("to_f"), F.col("direction"))).alias("step", "frame"))
+        own = frames.join(steps, "frame").groupBy("sheet", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", name_of(F.col("sheet"), F.col("frame")).alias("k")))), lambda s: s["k"]).alias("names"))
+        by_sheet = own.groupBy("sheet").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "names")))).alias("m"))
+        ordered, animations = ordered.join(by_sheet, "sheet", "left"), F.col("m")
+    return ordered.select("sheet", F.to_json(F.struct(entries.alias("frames"), animations.alias("animations"), meta.alias("meta")), {"ignoreNullFields": "true"}).alias("document"))
 
 
 def unity_rects(frames: DataFrame, sheet_height: Column) -> DataFrame:
@@ -63,11 +77,22 @@ def unity_meta(rects: DataFrame) -> DataFrame:
 
 
 def resolved_names(rows: DataFrame, by: str, name: str, order: str) -> DataFrame:
-    """Names made unique within `by`: the second of a name gets _2, and so on."""
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy(by, name).orderBy(order))
-    return rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+    """Names made unique within `by`, in order: one that is taken gets _2, or the next number that is free. A group (a sheet) is a task."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        out = []
+        for own in part.sort_values(order)[name]:
+            base = own or "frame"
+            found, n = base, 2
+            while found in used:
+                found, n = f"{base}_{n}", n + 1
+            used.add(found)
+            out.append(found)
+        return part.sort_values(order).assign(unique_name=out)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("unique_name", T.StringType())])
+    return rows.groupBy(by).applyInPandas(run, schema)
 
 
 def stem(path: Column) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 
 def signatures(pixels: DataFrame, part: str, frame: str) -> DataFrame:
-    """(part, frame, sig): a digest of a frame's size and pixels; colours under no alpha count as black."""
+    """(part, frame, sig): two 64-bit hashes of a frame's pixels, summed in any order on the map side; colours under no alpha are black."""
     value = lambda c: F.when(F.col("a") == 0, 0).otherwise(F.col(c))
-    packed = F.struct("y", "x", value("r").alias("r"), value("g").alias("g"), value("b").alias("b"), "a")
-    return pixels.groupBy(part, frame).agg(F.sha2(F.to_json(F.struct(F.sort_array(F.collect_list(packed)).alias("p"))).cast("binary"), 256).alias("sig"))
+    own = [F.col("x"), F.col("y"), value("r"), value("g"), value("b"), F.col("a")]
+    sums = [F.bit_xor(F.xxhash64(*own)), F.bit_xor(F.xxhash64(F.lit("second"), *reversed(own))), F.count("*")]
+    return pixels.groupBy(part, frame).agg(F.struct(*[s.alias(n) for s, n in zip(sums, ("one", "two", "n"), strict=True)]).alias("sig"))
 
 
 def exact(signed: DataFrame, part: str, frame: str) -> DataFrame:
@@ -71,12 +72,14 @@ def greedy(frames: DataFrame, near: DataFrame, part: str, frame: str) -> DataFra
     return of.join(pairs, part, "left").select(part, "frames", "pairs").mapInPandas(walk, f"{part} long, {frame} long, rep long")
 
 
-def tag_partitions(frames: DataFrame, tags: DataFrame, frame: str, none: int) -> DataFrame:
-    """Adds owner: the order of the first tag that covers a frame, else `none`. Tags are exploded to equal keys."""
+def tag_partitions(frames: DataFrame, tags: DataFrame, frame: str, none: int, block: int = 4096) -> DataFrame:
+    """Adds owner: the order of the first tag that covers a frame, else `none`. Tags are exploded to the blocks of frames that they
+    touch, so that a tag of any length is an equi-join on blocks."""
     lo, hi = F.greatest(F.lit(0), F.least("from_f", "to_f")), F.greatest("from_f", "to_f")
-    each = tags.where(hi - lo < 100_000).where(hi >= lo).select(F.explode(F.sequence(lo, hi)).alias(frame), "ord")
-    first = each.groupBy(frame).agg(F.min("ord").alias("owner"))
-    return frames.join(first, frame, "left").withColumn("owner", F.coalesce("owner", F.lit(none)))
+    each = tags.where(hi >= lo).select(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "ord", F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block))).alias("__block"))
+    placed = frames.select(F.col(frame).alias("__frame"), F.floor(F.col(frame) / block).alias("__block")).distinct().join(each, "__block").where("__frame between lo and hi")
+    first = placed.groupBy("__frame").agg(F.min("ord").alias("owner"))
+    return frames.join(first, F.col(frame) == F.col("__frame"), "left").drop("__frame").withColumn("owner", F.coalesce("owner", F.lit(none)))
 
 
 def remapped_tags(tags: DataFrame, mapping: DataFrame, frames: int, *by: str) -> DataFrame:

@@ -185,3 +185,84 @@ def edge_counts(pixels: DataFrame, by: str) -> DataFrame:
 def boxes(pixels: DataFrame, by: str, least: int = 0) -> DataFrame:
     """(by, x0, y0, x1, y1, pixels): the box of pixels of more alpha."""
     return pixels.where(F.col("a") > least).groupBy(by).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("pixels"))
+
+
+def corner_means(pixels: DataFrame, by: str, width: int, height: int) -> DataFrame:
+    """(by, r, g, b, a, clear): the mean of the four corners of rasters of one size, and whether it is rather transparent."""
+    corners = pixels.where(F.col("x").isin(0, width - 1) & F.col("y").isin(0, height - 1))
+    return corners.groupBy(by).agg(*[F.avg(c).alias(c) for c in "rgba"], (F.avg("a") < 128).alias("clear"))
+
+
+def suppressed_spill(pixels: DataFrame, by: str, key: tuple[int, int, int], spill: float) -> DataFrame:
+    """Takes out of a matte's edge what the strong channels of a key colour have more than the others. An edge is a pixel that is not
+    opaque or has one within two pixels; grey keys and a spill of 0 change nothing."""
+    strong = [v >= max(key) - 16 for v in key]
+    if spill <= 0 or max(key) - min(key) < 32:
+        return pixels
+    near = choked(pixels, by, 2).select(by, "x", "y", F.col("a").alias("least"))
+    own = pixels.join(near, [by, "x", "y"])
+    others = [F.col(c) for c, s in zip("rgb", strong, strict=True) if not s]
+    neutral = F.greatest(F.lit(0), *others) if others else F.lit(0)
+    keyed = [F.col(c) for c, s in zip("rgb", strong, strict=True) if s]
+    excess = F.least(F.lit(255), *[c - neutral for c in keyed])
+    hit = (F.col("a") > 0) & (excess > 0) & (F.col("least") < 255)
+    share = min(1.0, spill / 20)
+    changed = {c: F.when(hit, stored_byte(F.col(c) - excess * share)).otherwise(F.col(c)) for c, s in zip("rgb", strong, strict=True) if s}
+    return own.select(by, "x", "y", *[changed.get(c, F.col(c)).cast("int").alias(c) for c in "rgba"])
+
+
+def inner_distances(pixels: DataFrame, by: str, width: int, height: int, most: int, eight: bool = True) -> DataFrame:
+    """(by, x, y, distance): steps from each solid pixel to the nearest clear one, or out of the raster; null beyond `most`. Steps go to
+    four or eight neighbours. A raster's clear places are one array, which is as large as the raster."""
+    clear = pixels.where("a = 0").groupBy(by).agg(F.collect_list(F.struct("x", "y")).alias("clear"))
+    out = F.least(F.col("x") + 1, F.col("y") + 1, F.lit(width) - F.col("x"), F.lit(height) - F.col("y"))
+    gap = lambda p: F.greatest(F.abs(p["x"] - F.col("x")), F.abs(p["y"] - F.col("y"))) if eight else F.abs(p["x"] - F.col("x")) + F.abs(p["y"] - F.col("y"))
+    solid = pixels.where("a > 0").join(clear, by, "left")
+    found = F.least(out, F.coalesce(F.array_min(F.transform("clear", gap)), out))
+    return solid.select(by, "x", "y", F.when(found <= most, found).cast("int").alias("distance"))
+
+
+def _chebyshev(colour: tuple[int, int, int]) -> Column:
+    return F.greatest(*[F.abs(F.col(c) - v) for c, v in zip("rgb", colour, strict=True)])
+
+
+def completion_backgrounds(pixels: DataFrame, by: str, colours: list[tuple[int, int, int]], near: int = 90) -> DataFrame:
+    """(by, background): the place of the colour that the fewest visible pixels are near to, of equals the first."""
+    counts = [F.count_if((F.col("a") > 0) & (_chebyshev(c) < near)).alias("n") for c in colours]
+    return pixels.groupBy(by).agg(F.array_min(F.array(*[F.struct(n, F.lit(i).alias("i")) for i, n in enumerate(counts)]))["i"].alias("background"))
+
+
+def without_background(pixels: DataFrame, colour: tuple[int, int, int], near: int = 80) -> DataFrame:
+    """Pixels near a colour become nothing."""
+    gone = _chebyshev(colour) < near
+    return pixels.withColumns({c: F.when(gone, 0).otherwise(F.col(c)).cast("int") for c in "rgba"})
+
+
+def comparison_samples(pixels: DataFrame, sheet: str, frame: str, most: int) -> DataFrame:
+    """(sheet, frame, x, y, r, g, b, a): rasters of a sheet cut to the box of all that is visible in any, and shrunk by means of areas to
+    at most `most` on the longer side. A sheet without a visible pixel gives one clear pixel a raster."""
+    seen = pixels.where("a > 0").groupBy(sheet).agg(F.min("x").alias("l"), F.min("y").alias("t"), (F.max("x") + 1).alias("r_"), (F.max("y") + 1).alias("b_"))
+    width, height = F.col("r_") - F.col("l"), F.col("b_") - F.col("t")
+    scale = F.least(F.lit(1.0), F.lit(float(most)) / width, F.lit(float(most)) / height)
+    boxes = seen.select(sheet, "l", "t", width.alias("cw"), height.alias("ch"), F.greatest(F.lit(1), round_half_up(width * scale)).cast("int").alias("ow"), F.greatest(F.lit(1), round_half_up(height * scale)).cast("int").alias("oh"))
+    # The part of a line: the last one that begins at or before it.
+    part = lambda at, n, out: F.ceil((at + 1) * out / n).cast("int") - 1
+    own = pixels.join(boxes, sheet, "left")
+    inside = own.where((F.col("x") >= F.col("l")) & (F.col("x") < F.col("l") + F.col("cw")) & (F.col("y") >= F.col("t")) & (F.col("y") < F.col("t") + F.col("ch")))
+    placed = inside.withColumns({"u": part(F.col("x") - F.col("l"), F.col("cw"), F.col("ow")), "v": part(F.col("y") - F.col("t"), F.col("ch"), F.col("oh"))})
+    mean = lambda c: round_half_up(F.avg(F.when(F.col("a") > 0, F.col(c)).otherwise(0))).cast("int").alias(c)
+    means = placed.groupBy(sheet, frame, F.col("u").alias("x"), F.col("v").alias("y")).agg(*[mean(c) for c in "rgba"])
+    empty = own.where("cw is null").select(sheet, frame, *[F.lit(0).alias(c) for c in ("x", "y", *"rgba")]).distinct()
+    return means.unionByName(empty)
+
+
+def pixelated(pixels: DataFrame, by: str, size: int, palette: list[tuple[int, int, int]], threshold: int = 0) -> DataFrame:
+    """Rasters shrunk by means of blocks, made opaque or clear by a threshold of alpha, and mapped to the nearest of a palette."""
+    small = downscaled(pixels, by, size)
+    if threshold:
+        small = small.withColumn("a", F.when(F.col("a") > threshold, 255).otherwise(0))
+    own = tuple(F.col(c) for c in "rgb")
+    costs = F.array(*[F.struct(distance_sq(own, tuple(F.lit(v) for v in p)).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(palette)])
+    best = F.array_min(costs)["i"]
+    channel = lambda k: F.get(F.array(*[F.lit(p[k]) for p in palette]), best)
+    return small.select(by, "x", "y", *[F.when(F.col("a") > 0, channel(k)).otherwise(F.col(c)).cast("int").alias(c) for k, c in enumerate("rgb")], F.col("a").cast("int").alias("a"))

@@ -35,13 +35,14 @@ def hex_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POP = f"{KEYED}, pop AS (SELECT frame, r * 65536 + g * 256 + b AS rgb, count(*) AS n, min(y * 4 + x) AS first FROM keyed WHERE a > 0 GROUP BY 1, 2)"
 
 
-@plan(f"WITH {_POP}, k AS (SELECT frame FROM pop GROUP BY 1 HAVING count(*) <= 8) SELECT frame, rgb, n, (row_number() OVER (PARTITION BY frame ORDER BY n DESC, first, rgb) - 1)::INT AS rank FROM pop JOIN k USING (frame)")
-def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colour.extracted(keyed(spark, sf_dir), "frame", 8)
+@plan(f"WITH {_POP} SELECT frame, rgb, n, (row_number() OVER (PARTITION BY frame ORDER BY n DESC, first, rgb) - 1)::INT AS rank FROM pop")
+def colour_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All colours of every frame, by population."""
+    return colour.extracted(keyed(spark, sf_dir), "frame", None)
 
 
 @plan()
-def palettes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame's palette; those of more than eight colours by median cut, which SQL cannot say."""
     return colour.palette(keyed(spark, sf_dir), "frame", 8)
 
@@ -104,20 +105,13 @@ def _over_sql() -> str:
         sa = f"({_mul('s.a', '200')})"
         ra = f"({sa} + b.a - ({_mul('b.a', sa)}))"
         cols = ", ".join(f"CASE WHEN b.a = 0 THEN {own[c]} WHEN s.a = 0 THEN b.{c} ELSE b.{c} + trunc((({own[c]}) - b.{c}) * {sa} / ({ra})::DOUBLE) END::INT AS {c}" for c in "rgb")
-        parts.append(f"SELECT '{m}' AS mode, b.frame, b.x, b.y, {cols}, CASE WHEN b.a = 0 THEN {sa} WHEN s.a = 0 THEN b.a ELSE {ra} END::INT AS a FROM pixels b JOIN pixels s ON s.frame = b.frame + 1 AND s.x = b.x AND s.y = b.y WHERE b.frame % 10 = 0")
+        parts.append(f"SELECT '{m}' AS mode, b.frame, b.x, b.y, {cols}, CASE WHEN b.a = 0 THEN {sa} WHEN s.a = 0 THEN b.a ELSE {ra} END::INT AS a FROM pixels b JOIN pixels s ON s.frame = b.frame + 1 AND s.x = b.x AND s.y = b.y")
     return f"WITH {PIXELS} " + " UNION ALL ".join(parts)
 
 
 @plan(_over_sql())
 def blend_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth frame is a sheet's backdrop and the one after it a layer on it, in fifteen modes at an opacity of 200."""
-    p = pixels(spark, sf_dir)
-    return _blended(p.where("frame % 10 = 0"), p)
-
-
-@plan(_over_sql().replace(" WHERE b.frame % 10 = 0", ""))
-def blend_modes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every frame is a backdrop and the one after it a layer on it, in the same modes and opacity."""
+    """Every frame is a backdrop and the one after it a layer on it, in fifteen modes at an opacity of 200."""
     p = pixels(spark, sf_dir)
     return _blended(p, p)
 
@@ -132,6 +126,67 @@ def _blended(backdrops: DataFrame, p: DataFrame) -> DataFrame:
     return each.select("mode", "frame", "x", "y", *[v.alias(k) for k, v in done.items()])
 
 
+_LUM = lambda c: f"(0.3::DOUBLE * {c[0]} + 0.59::DOUBLE * {c[1]} + 0.11::DOUBLE * {c[2]})"
+
+
+def _hsl_sql() -> str:
+    """One chain of common tables a mode: the chosen triple, its lightness set, clipped below and above."""
+    start = {
+        "hue": ("CASE WHEN ss > 0 THEN (s{c} - sl) * bs / ss ELSE 0 END", "bl"), "saturation": ("CASE WHEN bs > 0 THEN (b{c} - bl0) * ss / bs ELSE 0 END", "bl"),
+        "color": ("s{c}", "bl"), "luminosity": ("b{c}", "sll"),
+    }
+    parts = []
+    for mode, (term, light) in start.items():
+        one = ", ".join(f"({term.format(c=c)})::DOUBLE AS c{c}" for c in "rgb")
+        parts.append(f"""SELECT '{mode}' AS mode, frame, x, y, ba, sa, pr, pg, pb, {', '.join(f"(CASE WHEN isnan(q{c}) THEN 0 ELSE trunc(q{c} * 255)::INT & 255 END) AS q{c}" for c in 'rgb')} FROM (
+ SELECT *, {', '.join(f"CASE WHEN hi > 1 THEN l + (e{c} - l) * (1 - l) / (hi - l) ELSE e{c} END AS q{c}" for c in 'rgb')} FROM (
+ SELECT *, {', '.join(f"CASE WHEN lo < 0 THEN l + (d{c} - l) * l / (l - lo) ELSE d{c} END AS e{c}" for c in 'rgb')} FROM (
+ SELECT *, {_LUM(['dr', 'dg', 'db'])} AS l, least(dr, dg, db) AS lo, greatest(dr, dg, db) AS hi FROM (
+ SELECT *, {', '.join(f"c{c} + ({light} - {_LUM(['cr', 'cg', 'cb'])}) AS d{c}" for c in 'rgb')} FROM (SELECT *, {one} FROM t)))))""")
+    sa = f"({_mul('sa', '200')})"
+    ra = f"({sa} + ba - ({_mul('ba', sa)}))"
+    cols = ", ".join(f"CASE WHEN ba = 0 THEN q{c} WHEN sa = 0 THEN p{c} ELSE p{c} + trunc((q{c} - p{c}) * {sa} / ({ra})::DOUBLE) END::INT AS {c}" for c in "rgb")
+    return f"""WITH {PIXELS}, t AS (SELECT *, least(sr, sg, sb) AS sl, greatest(sr, sg, sb) - least(sr, sg, sb) AS ss, least(br, bg, bb) AS bl0, greatest(br, bg, bb) - least(br, bg, bb) AS bs, {_LUM(['br', 'bg', 'bb'])} AS bl, {_LUM(['sr', 'sg', 'sb'])} AS sll FROM (
+ SELECT b.frame, b.x, b.y, b.a AS ba, s.a AS sa, b.r AS pr, b.g AS pg, b.b AS pb, {', '.join(f'b.{c} / 255.0::DOUBLE AS b{c}, s.{c} / 255.0::DOUBLE AS s{c}' for c in 'rgb')} FROM pixels b JOIN pixels s ON s.frame = b.frame + 1 AND s.x = b.x AND s.y = b.y))
+ SELECT mode, frame, x, y, {cols}, CASE WHEN ba = 0 THEN {sa} WHEN sa = 0 THEN ba ELSE {ra} END::INT AS a FROM ({' UNION ALL '.join(parts)})"""
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pixels(spark, sf_dir)
+    top = p.select((F.col("frame") - 1).alias("frame"), "x", "y", *[F.col(c).alias(f"s{c}") for c in "rgba"])
+    return p.select("frame", "x", "y", *[F.col(c).alias(f"b{c}") for c in "rgba"]).join(top, ["frame", "x", "y"])
+
+
+@plan(_hsl_sql())
+def hsl_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame and the one after it on it in the four modes of whole triples, at an opacity of 200."""
+    both = _neighbours(spark, sf_dir)
+    b, s = ({c: F.col(f"{p}{c}") for c in "rgba"} for p in "bs")
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), colour.hsl_blended(m, b, s).alias("o")) for m in ("hue", "saturation", "color", "luminosity")])
+    each = both.select("*", F.inline(rows))
+    done = colour.over(F.lit(200), b, {**{c: F.col(f"o.{c}") for c in "rgb"}, "a": F.col("sa")})
+    return each.select("mode", "frame", "x", "y", *[v.alias(k) for k, v in done.items()])
+
+
+_SHIFT = lambda c: f"(b{c} + (((((s{c} - b{c}) * 90 + 128) >> 8) + (s{c} - b{c}) * 90 + 128) >> 8))"
+
+
+@plan(f"""WITH {PIXELS}, t AS (SELECT b.frame, b.x, b.y, {', '.join(f'b.{c} AS b{c}, s.{c} AS s{c}' for c in 'rgba')} FROM pixels b JOIN pixels s ON s.frame = b.frame + 1 AND s.x = b.x AND s.y = b.y), u AS (SELECT *, {_SHIFT('a')} AS ra FROM t)
+ SELECT frame, x, y, {', '.join(f"CASE WHEN ra = 0 THEN 0 WHEN ba = 0 THEN s{c} WHEN sa = 0 THEN b{c} ELSE {_SHIFT(c)} END::INT AS {c}" for c in 'rgb')}, ra::INT AS a FROM u""")
+def merged_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, s = ({c: F.col(f"{p}{c}") for c in "rgba"} for p in "bs")
+    return _neighbours(spark, sf_dir).select("frame", "x", "y", *[v.alias(k) for k, v in colour.merged(F.lit(90), b, s).items()])
+
+
+@plan()
+def composited_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four frames as the layers of one, in four modes and opacities, of which one is drawn later by its z."""
+    layer = (F.col("frame") % 4).cast("int")
+    mode = F.get(F.array(*map(F.lit, ["normal", "multiply", "screen", "overlay"])), layer)
+    cels = pixels(spark, sf_dir).select(F.floor(F.col("frame") / 4).alias("sprite"), "x", "y", layer.alias("layer"), F.when(layer == 1, 2).otherwise(0).alias("z"), mode.alias("mode"), (F.lit(255) - layer * 40).alias("opacity"), *"rgba")
+    return colour.composited(cels, "sprite")
+
+
 @plan(f"""WITH {KEYED}, n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y, x) - 1 AS i FROM keyed WHERE a > 0), s AS (SELECT * FROM n WHERE i % 3 = 0), {_PAL_SQL},
  d AS (SELECT frame, s.i, min((r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2) AS d FROM s, pal GROUP BY 1, 2) SELECT frame, round(avg(sqrt(d)), 6) AS error FROM d GROUP BY 1""")
 def palette_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,13 +200,35 @@ def median_cut_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colour.median_cut(keyed(spark, sf_dir), "frame", 4)
 
 
-@plan()
-def colour_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = colour.populations(keyed(spark, sf_dir), "frame").select("frame", "rgb")
     lightness, chroma, hue = scalars.oklch(*scalars.unpacked_rgb(F.col("rgb")))
     return colour.ramps(found.select("frame", "rgb", lightness.alias("l"), chroma.alias("c"), hue.alias("h")), "frame")
 
 
+@plan()
+def colour_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ramps(spark, sf_dir)
+
+
+@plan()
+def remapped_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's first ramp on a base of orange."""
+    found = _ramps(spark, sf_dir)
+    return colour.remapped_ramps(found, "frame", found.where("ramp = 0 and anchor").select("frame", "ramp", F.lit(0xE08030).alias("base")))
+
+
+@plan(f"WITH {_COLOURS}, t(deg) AS (VALUES (0.0), (90.0), (180.0), (270.0), (360.0)) SELECT 'hue' || lpad((deg % 360)::INT::VARCHAR, 3, '0') AS name, count(*) AS colours, count(*) FILTER (deg % 360 = 0) AS same FROM col, t WHERE deg < 360 GROUP BY 1")
+def hue_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four turns of all colours; the one of no degrees leaves every colour as it is, and the others each one's lightness."""
+    found = pixels(spark, sf_dir).select("r", "g", "b").distinct()
+    each = found.withColumn("deg", F.explode(F.array(*[F.lit(90.0 * i) for i in range(4)])))
+    turned = scalars.rotated(F.col("r"), F.col("g"), F.col("b"), F.col("deg"))
+    each = each.withColumn("kept", turned == F.struct("r", "g", "b"))
+    name = F.concat(F.lit("hue"), F.lpad(F.col("deg").cast("int").cast("string"), 3, "0"))
+    return each.groupBy(name.alias("name")).agg(F.count("*").alias("colours"), F.count_if((F.col("deg") == 0) & F.col("kept")).alias("same"))
+
+
 @plan()
 def dithered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colour.dithered(pixels(spark, sf_dir), "frame", _PALETTE)

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import duplicates as op
 from rasterloom.plans.registry import plan
-from rasterloom.plans.relations import PIXELS, SHEET, TAGS, pixels, tags
+from rasterloom.plans.relations import PIXELS, SHEET, TAG_ROWS, TAGS, pixels, tags
 
-_SIG = f"""{PIXELS}, sig AS (SELECT frame, frame // {SHEET * 10} AS sheet, (r // 128) * 8 + (g // 128) * 4 + (b // 128) * 2 + a // 128 AS s FROM pixels WHERE x = 0 AND y = 0),
+_SIG = f"""{PIXELS}, quarter AS (SELECT frame, y // 2 * 2 + x // 2 AS q, sum(r) AS r, sum(g) AS g FROM pixels GROUP BY 1, 2),
+ sig AS (SELECT frame, frame // {SHEET * 10} AS sheet, sum(((r >= 512)::INT + (g >= 512)::INT * 2) << (2 * q::INT)) AS s FROM quarter GROUP BY 1, 2),
  rep AS (SELECT sheet, frame, min(frame) OVER (PARTITION BY sheet, s) AS rep FROM sig),
  map AS (SELECT sheet, frame, rep, (dense_rank() OVER (PARTITION BY sheet ORDER BY rep) - 1)::INT AS new_index FROM rep)"""
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames by the top bits of their first pixel; sheets of 250 frames."""
-    first = pixels(spark, sf_dir).where("x = 0 and y = 0").withColumn("sheet", F.floor(F.col("frame") / (SHEET * 10)))
-    top = first.withColumns({c: (F.floor(F.col(c) / 128)).cast("int") for c in "rgb"}).withColumn("a", F.floor(F.col("a") / 128).cast("int") + 1)
-    signed = op.signatures(top, "sheet", "frame")
+    """Frames of 2 x 2 pixels, each the mean of four in one bit of red and of green, by all of their pixels; sheets of 250 frames."""
+    quarter = pixels(spark, sf_dir).groupBy("frame", F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y")).agg(*[(F.sum(c) >= 512).cast("int").alias(c) for c in "rg"])
+    coarse = quarter.withColumns({"b": F.lit(0), "a": F.lit(255), "sheet": F.floor(F.col("frame") / (SHEET * 10))})
+    signed = op.signatures(coarse, "sheet", "frame")
     return op.renumbered(op.exact(signed, "sheet", "frame"), "sheet", "frame")
 
 
-@plan(f"WITH {_SIG.replace('a // 128 AS s', 'a // 128 AS s')} SELECT sheet, frame, rep, new_index FROM map")
+@plan(f"WITH {_SIG} SELECT sheet, frame, rep, new_index FROM map")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).select("sheet", "frame", "rep", "new_index")
 
@@ -53,29 +54,18 @@ def tag_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.tag_partitions(frames, tags(spark), "frame", 6).select(F.col("frame").cast("long").alias("frame"), "owner")
 
 
-_REMAP = f"""{_SIG}, {TAGS}, old AS (SELECT ord, name, greatest(0, least(from_f, to_f)) AS lo, least(249, greatest(from_f, to_f)) AS hi FROM tags),
- w AS (SELECT o.ord, m.frame, m.new_index, lag(m.new_index) OVER (PARTITION BY o.ord ORDER BY m.frame) AS before FROM old o JOIN map m ON m.sheet = 0 AND m.frame BETWEEN lo AND hi),
- k AS (SELECT ord, list(new_index ORDER BY frame) AS frames FROM w WHERE before IS NULL OR before <> new_index GROUP BY 1)"""
-
-
-@plan(f"""WITH {_REMAP} SELECT o.ord, o.name, coalesce(k.frames, []::INT[]) AS frames, coalesce(list_min(k.frames), 0)::INT AS from_f, coalesce(list_max(k.frames), 0)::INT AS to_f,
- coalesce(k.frames = range(list_min(k.frames), list_max(k.frames) + 1)::INT[], false) AS contiguous FROM old o LEFT JOIN k USING (ord)""")
-def remapped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapping = _mapped(spark, sf_dir).where("sheet = 0").select(F.col("frame").cast("int").alias("frame"), "new_index")
-    return op.remapped_tags(tags(spark), mapping, 250)
-
-
-_REMAP_ALL = f"""{_SIG}, {TAGS}, old AS (SELECT sheet, ord, name, greatest(0, least(from_f, to_f)) AS lo, least(249, greatest(from_f, to_f)) AS hi FROM tags, (SELECT DISTINCT sheet FROM map)),
+_REMAP = f"""{_SIG}, {TAGS}, old AS (SELECT sheet, ord, name, greatest(0, least(from_f, to_f)) AS lo, least(249, greatest(from_f, to_f)) AS hi FROM tags, (SELECT DISTINCT sheet FROM map)),
  w AS (SELECT o.sheet, o.ord, m.frame, m.new_index, lag(m.new_index) OVER (PARTITION BY o.sheet, o.ord ORDER BY m.frame) AS before FROM old o JOIN map m ON m.sheet = o.sheet AND m.frame - m.sheet * 250 BETWEEN lo AND hi),
  k AS (SELECT sheet, ord, list(new_index ORDER BY frame) AS frames FROM w WHERE before IS NULL OR before <> new_index GROUP BY 1, 2)"""
 
 
-@plan(f"""WITH {_REMAP_ALL} SELECT o.sheet, o.ord, o.name, coalesce(k.frames, []::INT[]) AS frames, coalesce(list_min(k.frames), 0)::INT AS from_f, coalesce(list_max(k.frames), 0)::INT AS to_f,
+@plan(f"""WITH {_REMAP} SELECT o.sheet, o.ord, o.name, coalesce(k.frames, []::INT[]) AS frames, coalesce(list_min(k.frames), 0)::INT AS from_f, coalesce(list_max(k.frames), 0)::INT AS to_f,
  coalesce(k.frames = range(list_min(k.frames), list_max(k.frames) + 1)::INT[], false) AS contiguous FROM old o LEFT JOIN k USING (sheet, ord)""")
-def remapped_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def remapped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tags of every sheet, over its own frames from 0."""
     mapping = _mapped(spark, sf_dir).select("sheet", (F.col("frame") - F.col("sheet") * SHEET * 10).cast("int").alias("frame"), "new_index")
-    per_sheet = mapping.select("sheet").distinct().crossJoin(F.broadcast(tags(spark)))
+    each = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("ord", "name", "from_f", "to_f"), row, strict=False)]) for row in TAG_ROWS])
+    per_sheet = mapping.select("sheet").distinct().select("sheet", F.inline(each))
     return op.remapped_tags(per_sheet, mapping, SHEET * 10, "sheet")
 
 

@@ -47,15 +47,8 @@ def activity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@plan(f"WITH {CANVAS}, b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM canvas WHERE frame % 7 = 0) SELECT frame, x - x0 + 1 AS x, y - y0 + 1 AS y, n FROM canvas, b WHERE frame % 7 = 0")
-def auto_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of one sheet (those of a residue) cut to their common box."""
-    p = canvas(spark, sf_dir).where("frame % 7 = 0").withColumn("a", F.lit(255))
-    return grid.cropped(p, "frame", 1).select("frame", "x", "y", "n")
-
-
 @plan(f"WITH {CANVAS}, b AS (SELECT frame % 7 AS sheet, min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM canvas GROUP BY 1) SELECT sheet, frame, x - x0 + 1 AS x, y - y0 + 1 AS y, n FROM canvas JOIN b ON frame % 7 = sheet")
-def auto_crop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def auto_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame cut to the common box of its sheet; the residues of seven are the sheets."""
     p = canvas(spark, sf_dir).withColumns({"sheet": F.col("frame") % 7, "a": F.lit(255)})
     return grid.cropped(p, "frame", 1, "sheet").select("sheet", "frame", "x", "y", "n")
@@ -73,5 +66,13 @@ def detected_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = 24 + 8 - 1
     p = canvas(spark, sf_dir).withColumn("x", F.col("x") + F.floor(F.col("x") / 3))
     spots = p.groupBy(F.col("frame").alias("sheet")).agg(F.sort_array(F.collect_set((F.col("y") * width + F.col("x")).cast("int"))).alias("spots"))
-    grid_ = F.transform(F.sequence(F.lit(0), F.lit(width * 31 - 1)), lambda i: F.when(F.array_contains("spots", i), F.lit("FF")).otherwise("00"))
-    return grid.detected(spots.select("sheet", F.lit(width).alias("width"), F.lit(31).alias("height"), F.unhex(F.array_join(grid_, "")).alias("alpha")))
+    grid_ = F.transform(F.sequence(F.lit(0), F.lit(width * 31 - 1)), lambda i: F.when(F.array_contains("spots", i), F.lit("FF" * 4)).otherwise("00" * 4))
+    return grid.detected(spots.select("sheet", F.lit(width).alias("width"), F.lit(31).alias("height"), F.unhex(F.array_join(grid_, "")).alias("rgba")))
+
+
+@plan()
+def resolved_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detected grids where every second sheet states its columns and every third its left margin."""
+    found = detected_grids(spark, sf_dir).withColumns({"width": F.lit(31), "height": F.lit(31)})
+    k = F.col("sheet")
+    return grid.resolved(found, F.when(k % 2 == 0, F.lit(8)), F.lit(None).cast("int"), {"left": F.when(k % 3 == 0, F.lit(0))})

@@ -157,3 +157,56 @@ def alpha_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).groupBy("frame").agg(
         F.count_if(a > 127).alias("opaque"), F.round(F.avg((a > 127).cast("double")), 6).alias("coverage"), F.bool_or(a == 0).alias("any_clear"), F.bool_or((a > 0) & (a < 255)).alias("any_half"), F.bool_and(a.isin(0, 255)).alias("binary_alpha")
     )
+
+
+@plan(f"WITH {PIXELS} SELECT frame, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(a) AS a, avg(a) < 128 AS clear FROM pixels WHERE x IN (0, 3) AND y IN (0, 3) GROUP BY 1")
+def corner_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.corner_means(pixels(spark, sf_dir), "frame", 4, 4)
+
+
+@plan(f"""WITH {KEYED}, m AS (SELECT k.frame, k.x, k.y, any_value(k.r) AS r, any_value(k.g) AS g, any_value(k.b) AS b, any_value(k.a) AS a, min(n.a) AS least FROM keyed k JOIN keyed n ON n.frame = k.frame AND abs(n.x - k.x) <= 2 AND abs(n.y - k.y) <= 2 GROUP BY 1, 2, 3),
+ e AS (SELECT *, least(255, g - greatest(0, r, b)) AS excess FROM m) SELECT frame, x, y, r, CASE WHEN a > 0 AND excess > 0 AND least < 255 THEN round_even(g - excess * 0.4::DOUBLE, 0)::INT ELSE g END AS g, b, a FROM e""")
+def suppressed_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Green taken out of the edges of mattes, two fifths of what is too much."""
+    return op.suppressed_spill(keyed(spark, sf_dir), "frame", (0, 255, 0), 8)
+
+
+@plan(f"""WITH {KEYED}, c AS (SELECT k.frame, k.x, k.y, min(greatest(abs(n.x - k.x), abs(n.y - k.y))) AS d FROM keyed k LEFT JOIN keyed n ON n.frame = k.frame AND n.a = 0 WHERE k.a > 0 GROUP BY 1, 2, 3),
+ e AS (SELECT frame, x, y, least(coalesce(d, 99), x + 1, y + 1, 4 - x, 4 - y) AS d FROM c) SELECT frame, x, y, CASE WHEN d <= 1 THEN d END::INT AS distance FROM e""")
+def inner_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.inner_distances(keyed(spark, sf_dir), "frame", 4, 4, 1)
+
+
+_BACK = [(0, 255, 0), (255, 0, 255), (0, 255, 255), (255, 128, 0)]
+_NEAR = lambda c, n: f"greatest(abs(r - {c[0]}), abs(g - {c[1]}), abs(b - {c[2]})) < {n}"
+
+
+@plan(f"WITH {PIXELS}, n AS (SELECT frame, {', '.join(f'count(*) FILTER (a > 0 AND {_NEAR(c, 90)}) AS n{i}' for i, c in enumerate(_BACK))} FROM pixels GROUP BY 1) SELECT frame, CASE least(n0, n1, n2, n3) WHEN n0 THEN 0 WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END AS background FROM n")
+def completion_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.completion_backgrounds(pixels(spark, sf_dir), "frame", _BACK)
+
+
+@plan(f"WITH {PIXELS} SELECT frame, x, y, {', '.join(f'CASE WHEN {_NEAR((128, 128, 128), 80)} THEN 0 ELSE {c} END::INT AS {c}' for c in 'rgba')} FROM pixels")
+def removed_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.without_background(pixels(spark, sf_dir), (128, 128, 128))
+
+
+@plan(f"""WITH {KEYED}, s AS (SELECT frame // 25 AS sheet, frame, x, y, r, g, b, CASE WHEN x > 0 THEN a ELSE 0 END AS a FROM keyed), b AS (SELECT sheet, min(x) l, min(y) t, max(x) + 1 - min(x) AS cw, max(y) + 1 - min(y) AS ch FROM s WHERE a > 0 GROUP BY 1),
+ o AS (SELECT *, greatest(1, floor(cw * least(1.0::DOUBLE, 2.0::DOUBLE / cw, 2.0::DOUBLE / ch) + 0.5))::INT AS ow, greatest(1, floor(ch * least(1.0::DOUBLE, 2.0::DOUBLE / cw, 2.0::DOUBLE / ch) + 0.5))::INT AS oh FROM b),
+ g AS (SELECT sheet, u, v, l + u * cw // ow AS x0, l + (u + 1) * cw // ow AS x1, t + v * ch // oh AS y0, t + (v + 1) * ch // oh AS y1 FROM (SELECT *, unnest(range(0, ow)) AS u FROM o) p, (SELECT sheet AS sh, unnest(range(0, oh)) AS v FROM o) q WHERE sh = sheet)
+ SELECT s.sheet, s.frame, g.u::INT AS x, g.v::INT AS y, {', '.join(f'floor(avg(CASE WHEN a > 0 THEN {c} ELSE 0 END) + 0.5)::INT AS {c}' for c in 'rgba')} FROM s JOIN g ON s.sheet = g.sheet AND s.x >= x0 AND s.x < x1 AND s.y >= y0 AND s.y < y1 GROUP BY ALL""")
+def comparison_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of 25 frames whose first column is clear, cut to 3 x 4 pixels and shrunk to 2 x 2."""
+    p = keyed(spark, sf_dir).withColumns({"sheet": F.floor(F.col("frame") / 25), "a": F.when(F.col("x") > 0, F.col("a")).otherwise(0)})
+    return op.comparison_samples(p, "sheet", "frame", 2)
+
+
+_BOY = [(0x0F, 0x38, 0x0F), (0x30, 0x62, 0x30), (0x8B, 0xAC, 0x0F), (0x9B, 0xBC, 0x0F)]
+
+
+@plan(f"""WITH {PIXELS}, d AS (SELECT frame, (x // 2)::INT AS x, (y // 2)::INT AS y, {', '.join(f'CASE WHEN sum(a) > 0 THEN floor(sum({c} * a) / sum(a) + 0.5) ELSE 0 END::INT AS {c}' for c in 'rgb')}, CASE WHEN floor(avg(a) + 0.5) > 100 THEN 255 ELSE 0 END AS a FROM pixels GROUP BY 1, 2, 3),
+ n AS (SELECT d.*, i, pr, pg, pb, (r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2 AS e FROM d, (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(_BOY))}) pal(i, pr, pg, pb)),
+ m AS (SELECT frame, x, y, any_value(a) AS a, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b, arg_min(pr, e * 10 + i) AS nr, arg_min(pg, e * 10 + i) AS ng, arg_min(pb, e * 10 + i) AS nb FROM n GROUP BY 1, 2, 3)
+ SELECT frame, x, y, CASE WHEN a > 0 THEN nr ELSE r END AS r, CASE WHEN a > 0 THEN ng ELSE g END AS g, CASE WHEN a > 0 THEN nb ELSE b END AS b, a FROM m""")
+def pixelated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.pixelated(pixels(spark, sf_dir), "frame", 2, _BOY, 100)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _PLANS: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("usage", "timeline", "loops", "grid", "pixels", "colour", "duplicates", "lint", "geometry", "documents", "streams")
+MODULES = ("usage", "timeline", "loops", "grid", "pixels", "colour", "duplicates", "lint", "geometry", "documents", "layout", "motion", "streams")
 
 
 def plan(sql: str | None = None) -> Callable[[Query], Query]:

@@ -229,14 +229,14 @@ def _tables(spark, path, frames=4, users=9):
 
 
 def test_every_neighbouring_pair_is_blended_and_every_canvas_cropped(spark, tmp_path):
-    from rasterloom.plans.colour import blend_modes_all
-    from rasterloom.plans.grid import auto_crop_all
+    from rasterloom.plans.colour import blend_modes
+    from rasterloom.plans.grid import auto_crop
 
     _tables(spark, str(tmp_path))
-    blended = blend_modes_all(spark, str(tmp_path))
+    blended = blend_modes(spark, str(tmp_path))
     assert sorted((r.mode, r.frame) for r in blended.where("x = 0 and y = 0 and mode in ('darken', 'lighten')").collect()) == [(m, f) for m in ("darken", "lighten") for f in range(3)]
     assert blended.count() == 15 * 3 * 16
-    got = sorted((r.sheet, r.frame, r.x, r.y) for r in auto_crop_all(spark, str(tmp_path)).collect())
+    got = sorted((r.sheet, r.frame, r.x, r.y) for r in auto_crop(spark, str(tmp_path)).collect())
     assert got == [(0, 0, 1, 1), (0, 7, 8, 8), (1, 1, 1, 1), (1, 8, 8, 8)] + [(s, s, 1, 1) for s in range(2, 7)]
 
 
@@ -261,17 +261,17 @@ def test_every_part_may_have_a_pivot(spark, tmp_path):
     lines = [(k, k, 1, 1, 100.0, 3.0, "N") for k in range(1, 6)] + [(9, 5, 1, 1, 100.0, 4.0, "R")]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_suppkey long, l_extendedprice double, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = {1: 3, 2: 3, 3: 3, 4: 3, 5: None, 6: None}
-    assert {r.frame: r.px for r in documents.normalized_frames_all(spark, str(tmp_path)).collect()} == want
+    assert {r.frame: r.px for r in documents.normalized_frames(spark, str(tmp_path)).collect()} == want
     assert sum(r.document.count('"anchor"') for r in documents.phaser_documents(spark, str(tmp_path)).collect()) == 4
     assert sum(r.document.count("pivot: {x: 0.1875") for r in documents.unity_documents(spark, str(tmp_path)).collect()) == 4
 
 
 def test_tags_of_every_sheet_and_all_hours(spark, tmp_path):
-    from rasterloom.plans.duplicates import remapped_tags_all
+    from rasterloom.plans.duplicates import remapped_tags
     from rasterloom.plans.grid import detected_grids
 
     _tables(spark, str(tmp_path / "a"), frames=260)
-    got = {(r.sheet, r.name): list(r.frames) for r in remapped_tags_all(spark, str(tmp_path / "a")).collect()}
+    got = {(r.sheet, r.name): list(r.frames) for r in remapped_tags(spark, str(tmp_path / "a")).collect()}
     assert {s for s, _ in got} == {0, 1} and got[1, "idle"] == [0] and got[0, "far"] == got[1, "far"] == []
     # Every hour of thirty days: eight blocks of three hours, where dropping each fourth hour left six.
     events = spark.range(30 * 24).select(F.lit(1).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600).alias("ts"))
