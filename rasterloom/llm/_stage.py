@@ -36,6 +36,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch between the JVM and Python while a table is written.
+ROWS = 1000
+
 #: Tables that results still read; they go when the driver's Python ends.
 _LEFT: dict[str, SparkSession] = {}
 
@@ -54,7 +58,13 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    # Rows of whole texts go to Python and back in batches; small ones keep the memory beside the heap small.
+    had = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(had), ROWS) if int(had) > 0 else ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, had)
     _LEFT[path] = spark
     del df
     gc.collect()
