@@ -42,8 +42,11 @@ from rasterloom.llm.components import components
 
 #: Parts of a partition, and how many of them may differ.
 PARTS, DIFFERING = 2, 1
-#: A block of a large group: sets, and features of them all.
+#: A block of a large group: sets, and features of them all; when it is first compared, and when blocks are compared in pairs.
 BLOCK, BLOCK_FEATURES = 256, 500_000
+PAIR_BLOCK, PAIR_FEATURES = 1024, 1_000_000
+#: Sets of like sizes that are compared at once.
+STRIP = 256
 #: Ways to deal the domain before signatures of no features are made after all.
 MOST_DEALS = 200
 #: A signature of more than one in HOT of all rows of shared signatures, of which there are fewer than HOT, is dealt over SALTS tasks.
@@ -194,30 +197,43 @@ def part_enum(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, doc_id long")
 
 
-def _forest(ids: list[int], texts: list[str | None], k: int, percent: int) -> list[tuple[int, int]]:
-    """Edges from each document to the smallest one that links reach among these; compares all sets exactly."""
+def _forest(ids: list[int], texts: list[str | None], sides: list[int | None], k: int, percent: int) -> list[tuple[int, int]]:
+    """Edges from each document to the smallest one that links reach among these. All sets are compared exactly, but for those of one
+    side where sides are given, and those whose sizes are too far apart."""
     raw, at = _text.column_bytes(pa.array(texts, pa.large_string()))
     values, to = _sets(raw, at, k)
-    n = np.diff(to)
-    row = np.repeat(np.arange(len(n)), n)
+    # In order of side, then of size.
+    n, side = np.diff(to), np.array([-1 if x is None else x for x in sides])
+    order = np.lexsort((n, side))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    row = place[np.repeat(np.arange(len(n)), n)]
+    n, side, ids_ = n[order], side[order], np.array(ids)[order]
     _, code, often = np.unique(values, return_inverse=True, return_counts=True)
     both = np.zeros((len(n), len(n)), np.float32)
     shared = np.flatnonzero(often > 1)
     column = np.full(len(often), -1)
     column[shared] = np.arange(len(shared))
     column = column[code]
-    order = np.argsort(column, kind="stable")
-    order = order[np.searchsorted(column[order], 0) :]
+    by_column = np.argsort(column, kind="stable")
+    by_column = by_column[np.searchsorted(column[by_column], 0) :]
+    strips = [(a, min(a + STRIP, z)) for y, z in itertools.pairwise([0, *(np.flatnonzero(np.diff(side)) + 1).tolist(), len(n)]) for a in range(y, z, STRIP)]
+    low, top = [n[a] for a, _ in strips], [n[b - 1] for _, b in strips]
+    of = [side[a] for a, _ in strips]
+    apart = lambda i, j: of[i] == of[j] >= 0 or 100 * top[i] < percent * low[j] or 100 * top[j] < percent * low[i]
+    tasks = [(strips[i], strips[j]) for i in range(len(strips)) for j in range(i, len(strips)) if not apart(i, j)]
     step = 4096
-    edges = np.searchsorted(column[order], np.arange(0, len(shared) + step, step))
+    edges = np.searchsorted(column[by_column], np.arange(0, len(shared) + step, step))
     for c, (a, b) in enumerate(itertools.pairwise(edges.tolist())):
-        own = order[a:b]
+        own = by_column[a:b]
         table = np.zeros((len(n), step), np.float32)
         table[row[own], column[own] - c * step] = 1
-        both += table @ table.T
+        for u, v in tasks:
+            both[u[0] : u[1], v[0] : v[1]] += table[u[0] : u[1]] @ table[v[0] : v[1]].T
+    for u, v in tasks:
+        both[v[0] : v[1], u[0] : u[1]] = both[u[0] : u[1], v[0] : v[1]].T
     union = n[:, None] + n[None, :] - both
     linked = (100.0 * both >= percent * union) & (both > 0)
-    ids_ = np.array(ids)
     rank = np.argsort(np.argsort(ids_, kind="stable"), kind="stable")
     root = rank.copy()
     while True:
@@ -227,29 +243,30 @@ def _forest(ids: list[int], texts: list[str | None], k: int, percent: int) -> li
             break
         root = after
     smallest = np.sort(ids_, kind="stable")[root]
-    return [(a, b) for a, b in zip(ids, smallest.tolist(), strict=True) if a != b]
+    return [(a, b) for a, b in zip(ids_.tolist(), smallest.tolist(), strict=True) if a != b]
 
 
 def links(candidates: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: for each key of the rows (key, doc_id, text), a forest of the links among its documents. Rows come ordered by key."""
+    """a, b: for each key of the rows (key, doc_id, side, text), a forest of the links among its documents. Rows come ordered by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, texts = None, [], []
+        key, ids, sides, texts = None, [], [], []
         found: list[tuple[int, int]] = []
         for part in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
-            for x, d, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for x, d, s, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if x != key:
                     if len(ids) > 1:
-                        found += _forest(ids, texts, k, percent)
-                    key, ids, texts = x, [], []
+                        found += _forest(ids, texts, sides, k, percent)
+                    key, ids, sides, texts = x, [], [], []
                 if not ids or ids[-1] != d or texts[-1] != t:
                     ids.append(d)
+                    sides.append(s)
                     texts.append(t)
             if found:
                 yield _edges(found)
                 found = []
         if len(ids) > 1:
-            yield _edges(_forest(ids, texts, k, percent))
+            yield _edges(_forest(ids, texts, sides, k, percent))
 
     def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
@@ -257,44 +274,46 @@ def links(candidates: DataFrame, k: int, percent: int) -> DataFrame:
     return candidates.mapInArrow(run, "a long, b long")
 
 
-def _parts_of(rows: Column, features: Column) -> Column:
-    return F.greatest(F.ceil(rows / BLOCK), F.ceil(features / BLOCK_FEATURES), F.lit(1)).cast("int")
+def _parts_of(rows: Column, features: Column, block: int, most: int) -> Column:
+    return F.greatest(F.ceil(rows / block), F.ceil(features / most), F.lit(1)).cast("int")
 
 
 def _sized(members: DataFrame) -> DataFrame:
     """members (component, node, n) with the number of blocks of each one's group."""
-    parts = members.groupBy("component").agg(_parts_of(F.count("*"), F.sum("n")).alias("parts"))
+    parts = members.groupBy("component").agg(_parts_of(F.count("*"), F.sum("n"), BLOCK, BLOCK_FEATURES).alias("parts"))
     return salted_join(members, parts, ["component"], F.col("node"))
 
 
 def _chunks(sized: DataFrame) -> DataFrame:
-    """doc_id, key: each group in blocks, and its hub in every one of them. A group of one block is compared whole."""
+    """doc_id, key, side (null): each group in blocks, and its hub in every one of them. A group of one block is compared whole."""
     one = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     places = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(one))
-    return sized.select("component", "node", F.explode(places).alias("part")).select(F.col("node").alias("doc_id"), F.xxhash64("component", "part").alias("key"))
+    return sized.select("component", "node", F.explode(places).alias("part")).select(F.col("node").alias("doc_id"), F.xxhash64("component", "part").alias("key"), F.lit(None).cast("int").alias("side"))
 
 
 def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, key: what is left to compare in large groups, given the components found so far (node, label).
+    """doc_id, key, side: what is left to compare in large groups, given the components found so far (node, label).
 
     Members that are already in the hub's component need no comparison with each other; the rest are compared with them and among
-    themselves, in pairs of blocks. Where almost all of a group is linked, its rows are about as many as its members.
+    themselves: each block of the rest by itself, and pairs of blocks, of which each is a side. Where almost all of a group is linked, its
+    rows are about as many as its members.
     """
     own = members.join(labels, "node", "left").select("component", "node", "n", F.coalesce("label", "node").alias("label"))
     found = own.groupBy("component", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.max(F.col("node") == F.col("component")).alias("main"))
-    sums = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0))
     main = F.col("main")
-    parts = found.groupBy("component").agg(
-        F.max(F.when(main, F.col("label"))).alias("main"), _parts_of(sums(main, "c"), sums(main, "s")).alias("mains"), _parts_of(sums(~main, "c"), sums(~main, "s")).alias("rests"), sums(~main, "c").alias("left")
-    )
+    sums = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0))
+    blocks = lambda c: _parts_of(sums(c, "c"), sums(c, "s"), PAIR_BLOCK, PAIR_FEATURES)
+    parts = found.groupBy("component").agg(F.max(F.when(main, F.col("label"))).alias("main"), blocks(main).alias("mains"), blocks(~main).alias("rests"), sums(~main, "c").alias("left"))
     split = salted_join(own, parts.where("left > 0"), ["component"], F.col("node")).withColumn("rest", F.col("label") != F.col("main"))
     placed = split.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
-    own_block = F.col("own")
-    among = F.transform(F.filter(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: (o != own_block) | (F.col("rests") == 1)), lambda o: F.struct(F.lit("r").alias("kind"), F.least(own_block, o).alias("i"), F.greatest(own_block, o).alias("j")))
-    across = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda o: F.struct(F.lit("m").alias("kind"), own_block.alias("i"), o.alias("j")))
-    back = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: F.struct(F.lit("m").alias("kind"), o.alias("i"), own_block.alias("j")))
+    at = F.col("own")
+    pair = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(upto("rests"), lambda o: pair("r", F.least(at, o), F.greatest(at, o), F.when(o > at, 0).when(o < at, 1)))
+    across = F.transform(upto("mains"), lambda o: pair("m", at, o, F.lit(0)))
+    back = F.transform(upto("rests"), lambda o: pair("m", o, at, F.lit(1)))
     each = placed.select("component", "node", F.explode(F.when(F.col("rest"), F.concat(among, across)).otherwise(back)).alias("k"))
-    return each.select(F.col("node").alias("doc_id"), F.xxhash64("component", "k.kind", "k.i", "k.j").alias("key"))
+    return each.select(F.col("node").alias("doc_id"), F.xxhash64("component", "k.kind", "k.i", "k.j").alias("key"), "k.side")
 
 
 def _with_hubs(signed: DataFrame) -> tuple[DataFrame, str]:
@@ -310,8 +329,8 @@ def _with_hubs(signed: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _with_texts(docs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """key, doc_id, text, ordered by key within partitions."""
-    texts = docs.join(keyed.hint("shuffle_hash"), "doc_id").select("key", "doc_id", "text")
+    """key, doc_id, side, text, ordered by key within partitions."""
+    texts = docs.join(keyed.hint("shuffle_hash"), "doc_id").select("key", "doc_id", "side", "text")
     return texts.repartition("key").sortWithinPartitions("key", "doc_id")
 
 

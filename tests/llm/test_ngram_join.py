@@ -64,6 +64,8 @@ def test_components_equal_brute_force(spark, k, percent):
 
 def test_large_components_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "PAIR_BLOCK", 9)
+    monkeypatch.setattr(ngram_join, "STRIP", 2)
     docs = corpus(9, 150)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df, 3, 90).collect()}
@@ -125,6 +127,8 @@ def test_shared_signatures_that_many_rows_have(spark, monkeypatch, blocked):
     monkeypatch.setattr(ngram_join, "MOST_SEEN", 3)
     if blocked:
         monkeypatch.setattr(ngram_join, "BLOCK", 5)
+        monkeypatch.setattr(ngram_join, "PAIR_BLOCK", 7)
+        monkeypatch.setattr(ngram_join, "STRIP", 3)
     rnd = random.Random(4)
     base = [f"b{i}" for i in range(60)]
     docs = {}
