@@ -43,7 +43,7 @@ from rasterloom.llm.components import components
 #: Parts of a partition, and how many of them may differ.
 PARTS, DIFFERING = 2, 1
 #: A block of a large group: sets, and features of them all; when it is first compared, and when blocks are compared in pairs.
-BLOCK, BLOCK_FEATURES = 256, 500_000
+BLOCK, BLOCK_FEATURES = 512, 500_000
 PAIR_BLOCK, PAIR_FEATURES = 1024, 1_000_000
 #: Sets of like sizes that are compared at once.
 STRIP = 256
