@@ -91,20 +91,21 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 
 
 def write(documents: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, segment: int = SEGMENT) -> tuple[DataFrame, str]:
-    """A table (part, number, n_ids, data) of segments in the shared folder, and its path; ranges of doc_id are its parts."""
+    """A table (part, number, before, n_ids, data) of segments in the shared folder, and its path; ranges of doc_id are its parts, and
+    before is how many ids of the part come before the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         names, kept, lengths, held = [], [], [], 0
 
         def made(most: int) -> pa.RecordBatch:
             """The first documents, up to `most` ids but one document at least, as a segment."""
-            nonlocal names, kept, lengths, held, number
+            nonlocal names, kept, lengths, held, number, before
             n = max(1, int(np.searchsorted(np.cumsum(lengths), most, "right")))
             ids = sum(lengths[:n])
             data = encode_segment(names[:n], np.concatenate(kept[:n]), lengths[:n], block)
-            batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ids], pa.int64()), pa.array([data], pa.large_binary()).cast(pa.binary())], names=["part", "number", "n_ids", "data"])
-            names, kept, lengths, held, number = names[n:], kept[n:], lengths[n:], held - ids, number + 1
+            batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.int64()), pa.array([data], pa.large_binary()).cast(pa.binary())], names=["part", "number", "before", "n_ids", "data"])
+            names, kept, lengths, held, number, before = names[n:], kept[n:], lengths[n:], held - ids, number + 1, before + ids
             return batch
 
         end = np.array([end_id], np.int32)
@@ -124,41 +125,40 @@ def write(documents: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: s
     # The hash of the text parts rows that repeat a doc_id over tasks.
     order = ["doc_id", F.xxhash64("text")]
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(ordered.mapInArrow(run, "part int, number int, n_ids long, data binary"), "tokens")
+    return written(ordered.mapInArrow(run, "part int, number int, before long, n_ids long, data binary"), "tokens")
 
 
 _READ = "part int, number int, place int, doc_id long, before long, ids binary"
 
 
 def read(segments: DataFrame) -> DataFrame:
-    """part, number, place (in the segment), doc_id, before (ids of the segment before it), ids (little-endian, 32 bits each)."""
+    """part, number, place (in the segment), doc_id, before (ids of the part before it), ids (little-endian, 32 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, number, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs, ids, lengths = decode_segment(data)
                 to = np.concatenate(([0], np.cumsum(lengths))).tolist()
+                first = [x + before for x in to]
                 for i in range(0, len(docs), 4096):
                     j = min(len(docs), i + 4096)
                     n = j - i
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.arange(i, j, dtype=np.int32)), pa.array(docs[i:j], pa.int64()), pa.array(to[i:j], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(to[i:j], to[i + 1 : j + 1], strict=True)], pa.binary())],
+                        [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.arange(i, j, dtype=np.int32)), pa.array(docs[i:j], pa.int64()), pa.array(first[i:j], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(to[i:j], to[i + 1 : j + 1], strict=True)], pa.binary())],
                         names=["part", "number", "place", "doc_id", "before", "ids"],
                     )
 
-    return segments.select("part", "number", "data").mapInArrow(run, _READ)
+    return segments.select("part", "number", "before", "data").mapInArrow(run, _READ)
 
 
 def starts(segments: DataFrame) -> DataFrame:
-    """part, number, start: the ids of all segments before each, by sums over parts first; a row for each part is summed in one task."""
+    """part, start: the ids of all parts before each. There are as many rows as the range exchange made parts, which its setting bounds."""
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
-    own = segments.select("part", "number", (F.sum("n_ids").over(W.partitionBy("part").orderBy("number")) - F.col("n_ids")).alias("own"))
-    return own.join(before, "part").select("part", "number", (F.col("base") + F.col("own")).alias("start"))
+    return parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("start"))
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, number of ids and checksum, from the decoded files."""
     segments, _ = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
-    found = read(segments).select("part", "number", "doc_id", "before", F.octet_length("ids").alias("bytes"), F.crc32("ids").alias("ids_crc32"))
-    return found.join(starts(segments), ["part", "number"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), (F.col("bytes") / 4).cast("long").alias("n_tokens"), "ids_crc32")
+    found = read(segments).select("part", "doc_id", "before", F.octet_length("ids").alias("bytes"), F.crc32("ids").alias("ids_crc32"))
+    return found.join(F.broadcast(starts(segments)), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), (F.col("bytes") / 4).cast("long").alias("n_tokens"), "ids_crc32")
