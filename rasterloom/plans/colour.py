@@ -220,7 +220,7 @@ def remapped_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"WITH {_COLOURS}, t(deg) AS (VALUES (0.0), (90.0), (180.0), (270.0), (360.0)) SELECT 'hue' || lpad((deg % 360)::INT::VARCHAR, 3, '0') AS name, count(*) AS colours, count(*) FILTER (deg % 360 = 0) AS same FROM col, t WHERE deg < 360 GROUP BY 1")
 def hue_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four turns of all colours; the one of no degrees leaves every colour as it is, and the others each one's lightness."""
+    """Four turns of all colours; the one of no degrees leaves every colour as it is."""
     found = pixels(spark, sf_dir).select("r", "g", "b").distinct()
     each = found.withColumn("deg", F.explode(F.array(*[F.lit(90.0 * i) for i in range(4)])))
     turned = scalars.rotated(F.col("r"), F.col("g"), F.col("b"), F.col("deg"))
