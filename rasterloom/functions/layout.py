@@ -21,7 +21,7 @@ BACKGROUNDS = ["#00ff00", "#ff00ff", "#00ffff", "#ff8000"]
 def cell_of(index: Column, cols: Column) -> Column:
     """(row, col) of a frame by its number."""
     c = F.greatest(F.lit(1), cols)
-    return F.struct(F.floor(index / c).cast("int").alias("row"), (index % c).cast("int").alias("col"))
+    return F.struct(F.floor(index / c).cast("long").alias("row"), (index % c).cast("int").alias("col"))
 
 
 def index_of(row: Column, col: Column, cols: Column) -> Column:
@@ -30,12 +30,12 @@ def index_of(row: Column, col: Column, cols: Column) -> Column:
 
 def origin_of(row: Column, col: Column, width: Column, height: Column, left: Column, top: Column, space_x: Column, space_y: Column) -> Column:
     """(x, y) of a cell's first pixel on its sheet."""
-    return F.struct((left + col * (width + space_x)).cast("int").alias("x"), (top + row * (height + space_y)).cast("int").alias("y"))
+    return F.struct((left + col * (width + space_x)).cast("long").alias("x"), (top + row * (height + space_y)).cast("long").alias("y"))
 
 
 def pixel_offset(x: Column, y: Column, width: Column) -> Column:
     """The place of a pixel's first byte in rows of four bytes a pixel."""
-    return (y * width + x) * 4
+    return (y.cast("long") * width + x) * 4
 
 
 def is_zero(*sides: Column) -> Column:

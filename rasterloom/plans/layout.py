@@ -16,11 +16,19 @@ def _k() -> Column:
 @plan("""WITH c AS (SELECT p_partkey, (p_partkey // 7)::INT AS row, (p_partkey % 7)::INT AS col FROM part)
  SELECT p_partkey, row, col, (row * 7 + col)::BIGINT AS back, (2 + col * 17)::INT AS x, (3 + row * 34)::INT AS y, (((3 + row * 34 + 5) * 131 + 2 + col * 17 + 4) * 4)::INT AS byte, (2 + col * 17 + 4)::INT AS px, (3 + row * 34 + 5)::INT AS py FROM c""")
 def cell_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells, origins and bytes of frames on sheets of seven columns with margins and gutters."""
+    """Cells, origins and bytes of frames on sheets of seven columns with margins and gutters.
+
+    All is reckoned in 64 bits. A column has SQL's 32 bits as long as the table's values fit; where SQL would overflow, it has 64.
+    """
     p = table(spark, sf_dir, "part").select("p_partkey", fn.cell_of(_k(), F.lit(7)).alias("c"))
     p = p.withColumn("o", fn.origin_of(F.col("c.row"), F.col("c.col"), F.lit(16), F.lit(32), F.lit(2), F.lit(3), F.lit(1), F.lit(2)))
     x, y = F.col("o.x") + 4, F.col("o.y") + 5
-    return p.select("p_partkey", "c.row", "c.col", fn.index_of(F.col("c.row"), F.col("c.col"), F.lit(7)).cast("long").alias("back"), "o.x", "o.y", fn.pixel_offset(x, y, F.lit(131)).cast("int").alias("byte"), x.alias("px"), y.alias("py"))
+    row, byte = F.col("c.row"), fn.pixel_offset(x, y, F.lit(131))
+    # Lower rows have the larger values, of which the byte's is the largest, then py.
+    ends = p.agg(*[f(c) for c in (byte, y) for f in (F.min, F.max)]).first()
+    of_byte, of_y = ("int" if all(v is None or abs(v) < 1 << 31 for v in own) else "long" for own in (ends[:2], ends[2:]))
+    back = fn.index_of(row, F.col("c.col"), F.lit(7))
+    return p.select("p_partkey", row.cast(of_y).alias("row"), F.col("c.col"), back.cast("long").alias("back"), F.col("o.x").cast("int").alias("x"), F.col("o.y").cast(of_y).alias("y"), byte.cast(of_byte).alias("byte"), x.cast("int").alias("px"), y.cast(of_y).alias("py"))
 
 
 _PAIR = lambda a, b, room: f"""CASE WHEN {a} + {b} <= {room} THEN [{a}, {b}] WHEN {room} <= 0 THEN [0, 0] WHEN {a} + {b} - ({room}) <= abs({a} - {b})

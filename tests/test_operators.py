@@ -278,3 +278,20 @@ def test_tags_of_every_sheet_and_all_hours(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/b/events.parquet")
     r = detected_grids(spark, str(tmp_path / "b")).first()
     assert (r.cols, r.rows, r.method) == (8, 1, "gaps")
+
+
+def test_bytes_of_a_high_sheet_need_more_than_32_bits(spark, tmp_path):
+    from rasterloom.plans.layout import cell_geometry
+
+    def rows(name, keys):
+        spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/{name}/part.parquet")
+        df = cell_geometry(spark, str(tmp_path / name))
+        return dict(df.dtypes), {r.p_partkey: r for r in df.collect()}
+
+    for name, keys, byte, y in (("a", [0, 9], "int", "int"), ("b", [13, 1_199_999], "bigint", "int"), ("c", [500_000_006], "bigint", "bigint"), ("d", [], "int", "int")):
+        kinds, got = rows(name, keys)
+        assert (kinds["byte"], kinds["row"], kinds["y"], kinds["py"], kinds["back"], kinds["x"]) == (byte, y, y, y, "bigint", "int")
+        for k in keys:
+            row, col = divmod(k, 7)
+            px, py = 2 + col * 17 + 4, 3 + row * 34 + 5
+            assert tuple(got[k]) == (k, row, col, k, px - 4, py - 5, (py * 131 + px) * 4, px, py)
