@@ -1,184 +1,161 @@
-"""Adaptive context-mixing range coder for token ids, in lockstep over many blocks.
-
-Ids are coded as paths in a tree with 16 branches a node (Huffman's, of the counts of a segment's ids), branch by branch, so that no bit of
-an id is left unmodelled. Three models each give the distribution of the next branch: order 0 by the node, order 1 by the node and the last
-id, order 2 by the node and the last two ids. Orders 1 and 2 are hashed tables with tags; a context that is met for the first time begins
-with the distribution of the order below. The three are mixed with adaptive weights, which are kept for each pair of confidences (how often
-both contexts have been met), and every id is learned by all of them. A carry-less range coder (after Subbotin) with a window of 48 bits
-and words of 16 bits codes the branch.
-
-Every block is coded on its own from the same fresh state: order 0 as the tree's counts have it, nothing in orders 1 and 2, equal weights.
-`encode` and `decode` take all blocks at once, one lane of the arrays each; a step of the loop codes one branch of every block. Floating
-point is only used element by element in single precision (sums, products, quotients), which gives the same bits on every machine.
+"""Context-mixing range coder for token ids, in lockstep over many blocks.
+
+Three models say what the next id is, and every bit of an id is coded by one of them:
+
+- order 2, adaptive in each block: the id that followed the last two ids when they were last met there, by a hashed table with tags;
+- order 1, of the whole segment: how often each id follows the last one, in a table that goes with the segment, and how often others do;
+- order 0, of the whole segment: how often each id is one of those others.
+
+The distribution of a step mixes them: order 2's id has an adaptive weight, which each block keeps for each confidence (how often in a row
+the context's id was right) and learns from every id that has a candidate; the rest of the range has order 1's distribution, in which one place
+leads on to order 0's, coded in a second step. A carry-less range coder (after Subbotin) with a window of 48 bits and words of 16 bits codes
+the steps.
+
+Every block is coded on its own from the same fresh state: the segment's tables, nothing in order 2, first weights. `encode` and `decode` take
+all blocks at once, one lane of the arrays each; a turn of the loop codes one id of every block. All is reckoned in whole numbers.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 
-BRANCHES = 16
-#: Slots of the tables of orders 1 and 2 for each block, as a power of two.
+#: Slots of order 2's table for each block, as a power of two.
 SLOT_BITS = 10
+#: A pair of ids that occurs less often has no place in order 1.
+LEAST = 2
+#: Places of a step, of an order-1 context at most, and of order 0 at least, as powers of two.
+_BITS, _BITS1, _BITS0 = 20, 12, 18
 _TOP, _BOT, _MASK = 1 << 32, 1 << 24, (1 << 48) - 1
-_ONE = 32767
-_TOTAL = _ONE + BRANCHES
 _U = np.uint32
-_F = np.float32
-_RATE0 = _F(0.03)
-_RATE = np.repeat(np.array([[0.6], [0.4], [0.3], [0.2]], np.float32), BRANCHES, axis=1)
-_LEARN = _F(0.03)
-_GUARD = np.arange(1, BRANCHES + 1, dtype=np.int32)
-#: The cumulative distribution that is sure of a branch.
-_SURE = np.where(np.arange(BRANCHES)[None, :] >= np.arange(BRANCHES)[:, None], _F(_ONE), _F(0))
+#: Weights of order 2 by confidence: at first, and what they move towards after a miss and after a hit. No candidate has confidence 0.
+_FIRST = (np.array([0, 0.25, 0.6, 0.8, 0.9, 0.93, 0.95, 0.97]) * (1 << _BITS)).astype(np.int64)
+_AFTER = np.array([0] + [1 << 12] * 7 + [0] + [(1 << _BITS) - (1 << 14)] * 7)
+_RATE = 4
+_NEXT = np.minimum(np.arange(8) + 1, 7)
 
 
 class Tree:
-    """The paths of ids, from how often each occurs."""
+    """The tables of orders 0 and 1. counts: how often order 0 gives each id; pairs: see `pairs_of`."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray):
-        self.ids = ids
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None):
         n = len(ids)
-        order = np.argsort(counts, kind="stable")
-        pad = -(n - 1) % (BRANCHES - 1) if n > 1 else 0
-        # Two queues: leaves and merged nodes, both ascending. Leaves are 0..n-1, padding is -1, node m is n + m.
-        leaves = [(0, -1)] * pad + list(zip(counts[order].tolist(), order.tolist(), strict=True))
-        merged: list[tuple[int, int]] = []
-        children: list[list[tuple[int, int]]] = []
-        a = b = 0
-        while not children or len(leaves) - a + len(merged) - b > 1:
-            own = []
-            while len(own) < BRANCHES and (a < len(leaves) or b < len(merged)):
-                if b >= len(merged) or (a < len(leaves) and leaves[a][0] <= merged[b][0]):
-                    own.append(leaves[a])
-                    a += 1
-                else:
-                    own.append(merged[b])
-                    b += 1
-            own.reverse()
-            merged.append((sum(x[0] for x in own), n + len(children)))
-            children.append(own)
-        # The root comes first.
-        m = len(children)
-        self.nodes = m
-        #: What a branch leads to: n + a node, or a leaf's place in ids.
-        self.child = np.full((m, BRANCHES), -1, np.int32)
-        weight = np.zeros((m, BRANCHES))
-        for i, own in enumerate(reversed(children)):
-            for j, (w, c) in enumerate(own):
-                self.child[i, j] = n + m - 1 - (c - n) if c >= n else c
-                weight[i, j] = w
-        share = np.cumsum(weight, axis=1) / np.maximum(weight.sum(1, keepdims=True), 1)
-        self.first = np.floor(share * _ONE).astype(np.int16)
-        self.first[:, -1] = _ONE
-        # Paths by descent: (node, branch) before each node.
-        self.depth = np.zeros(n, np.int64)
-        path: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-        steps: list[list[tuple[int, int]]] = [[]] * n
-        for i in range(m):
-            for j, c in enumerate(self.child[i].tolist()):
-                if c >= n:
-                    path[c - n] = [*path[i], (i, j)]
-                elif c >= 0:
-                    steps[c] = [*path[i], (i, j)]
-            path[i] = []
-        self.depth = np.array([len(s) for s in steps], np.int64)
-        flat = list(itertools.chain.from_iterable(steps))
-        self.at = np.concatenate(([0], np.cumsum(self.depth)))
-        self.path_node = np.array([x[0] for x in flat], np.int32)
-        self.path_branch = np.array([x[1] for x in flat], np.int8)
-
-
-def _context(node: np.ndarray, last: np.ndarray, before: np.ndarray | int) -> np.ndarray:
-    """A hash of the node and the ids before (0: none)."""
-    h = last * _U(0x9E3779B1) + before * _U(0x85EBCA6B) + node * _U(0xC2B2AE35)
+        self.ids = ids
+        self.bits0 = max(_BITS0, int(n).bit_length() + 1)
+        share = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        # Every id has one place, and the others go by the counts.
+        self.first0 = np.arange(n + 1) + share * ((1 << self.bits0) - n) // max(1, int(share[-1]))
+        self.first0[-1] = 1 << self.bits0
+        self.of0 = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first0))
+        # Entries of all contexts in order; each one's first is the place that leads to order 0. The last context is that of a block's first id.
+        self.listed, symbol, often, others = pairs if pairs else (np.zeros(n, np.int64), *[np.empty(0, np.int64)] * 2, np.ones(n, np.int64))
+        size = np.append(self.listed + 1, 1)
+        self.entry = np.cumsum(size) - size
+        self.symbol, weight = np.full(int(size.sum()), n, np.int32), np.zeros(int(size.sum()), np.int64)
+        own = np.ones(len(weight), bool)
+        own[self.entry] = False
+        self.symbol[own], weight[own] = symbol, often
+        weight[self.entry] = np.append(others, 1)
+        upto = np.cumsum(weight)
+        before = upto - weight
+        total = np.add.reduceat(weight, self.entry)
+        self.bits = _bits(total)
+        of = np.repeat(np.arange(n + 1), size)
+        places, begun = np.int64(1) << self.bits[of], before[self.entry][of]
+        first, end = (before - begun) * places // total[of], (upto - begun) * places // total[of]
+        #: Of each entry its first place, the place after its last, and its id, in one number.
+        self.span = (self.symbol.astype(np.int64) << 32) | (end << 16) | first
+        self.place = np.cumsum(np.int64(1) << self.bits) - (np.int64(1) << self.bits)
+        self.of = np.repeat(np.arange(len(weight), dtype=np.int32), end - first)
+
+
+def _bits(total: np.ndarray) -> np.ndarray:
+    """The places of contexts that occur so often, as powers of two."""
+    return np.minimum(np.ceil(np.log2(np.maximum(total, 1))).astype(np.int64), _BITS1)
+
+
+def pairs_of(table: np.ndarray, n: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """What order 1 lists, of rows of places in n ids, and how often order 0 then gives each id.
+
+    The lists: for each id how many follow it in the table; these and how often each does; how often others do."""
+    last, own = table[:, :-1].ravel().astype(np.int64), table[:, 1:].ravel()
+    codes = np.sort(last * n + own)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    codes, often = codes[first], np.diff(np.append(first, len(codes)))
+    context, symbol = codes // n, codes % n
+    total = np.bincount(context, often, n).astype(np.int64)
+    # An entry has a whole place at least.
+    keep = often >= np.maximum(LEAST, -(-2 * total // (1 << _BITS1)))[context]
+    others = np.bincount(context[~keep], often[~keep], n).astype(np.int64)
+    counts = np.bincount(symbol[~keep], often[~keep], n).astype(np.int64) + np.bincount(table[:, 0], minlength=n)
+    others = np.where(others > 0, np.maximum(others, -(-2 * total // (1 << _BITS1))), 0)
+    # A context without any list leads to order 0 at once.
+    listed = np.bincount(context[keep], minlength=n)
+    return (listed, symbol[keep], often[keep], np.where(listed > 0, others, 1)), counts
+
+
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in ascending order; the items in the order of their numbers; how many have each."""
+    bits = len(codes).bit_length()
+    if int(codes.max()).bit_length() + bits < 63:
+        # Sorting numbers with their places takes a fraction of the time of sorting places.
+        held = np.sort((codes << bits) | np.arange(len(codes)))
+        order, codes = held & ((1 << bits) - 1), held >> bits
+    else:
+        order = np.argsort(codes)
+        codes = codes[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], order, np.diff(np.append(first, len(codes)))
+
+
+def _context(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A hash of the numbers (from 1; 0: none) of the last two ids."""
+    h = last * _U(0x9E3779B1)
+    h += before * _U(0x85EBCA6B)
     h ^= h >> _U(15)
     h *= _U(0x2C1B3C6D)
-    h ^= h >> _U(12)
+    h ^= h >> _U(13)
     return h
 
 
-#: A distribution as one item, so that many are taken and put at once.
-_ROW = f"V{2 * BRANCHES}"
-
-
-class _Table:
-    """The contexts of an order above 0, for all lanes: a distribution, a tag and a confidence of 0 to 3 in each slot."""
+class _Order2:
+    """The contexts of two ids, for all lanes: tag, candidate (its number, from 1) and confidence in each slot."""
 
     def __init__(self, lanes: int):
-        self.rows = np.zeros(lanes << SLOT_BITS, _ROW)
-        self.tags = np.zeros(lanes << SLOT_BITS, np.int32)
+        self.slots = np.zeros(lanes << SLOT_BITS, np.int64)
         self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
-
-    def predict(self, h: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distributions, confidences)."""
-        self.at = self.base[: len(h)] + (h >> _U(32 - SLOT_BITS))
-        self.tag = ((h & _U(0x1FFFF)) + _U(1)).astype(np.int32) << 2
-        held = self.tags.take(self.at) ^ self.tag
-        self.sure = np.where(held < 4, held, 0)
-        self.own = self.rows.take(self.at).view(np.int16).reshape(-1, BRANCHES).astype(np.float32)
-        np.copyto(self.own, below, where=(self.sure == 0)[:, None])
-        return self.own, self.sure
-
-    def update(self, target: np.ndarray) -> None:
-        np.put(self.rows, self.at, _learned(self.own, target, _RATE.take(self.sure, axis=0)))
-        self.tags[self.at] = self.tag | np.minimum(self.sure + 1, 3)
-
-
-def _learned(own: np.ndarray, target: np.ndarray, rate: np.ndarray | np.float32) -> np.ndarray:
-    delta = target - own
-    delta *= rate
-    delta += own
-    return delta.astype(np.int16).view(_ROW).ravel()
-
-
-class _Model:
-    """The state of all lanes."""
-
-    def __init__(self, tree: Tree, lanes: int):
-        self.order0 = np.tile(np.ascontiguousarray(tree.first).view(_ROW).ravel(), lanes)
-        self.base = np.arange(lanes, dtype=np.int64) * tree.nodes
-        self.order1, self.order2 = _Table(lanes), _Table(lanes)
-        self.weights = [np.full(lanes * 16, 1 / 3, np.float32) for _ in range(3)]
-        self.base16 = np.arange(lanes, dtype=np.int64) * 16
-
-    def predict(self, node: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The upper ends of all branches, of _TOTAL."""
-        n = len(node)
-        self.at = self.base[:n] + node
-        self.r0 = self.order0.take(self.at).view(np.int16).reshape(-1, BRANCHES).astype(np.float32)
-        r1, sure1 = self.order1.predict(h1, self.r0)
-        r2, sure2 = self.order2.predict(h2, r1)
-        self.of = self.base16[:n] + ((sure2 << 2) | sure1)
-        self.w = [w.take(self.of) for w in self.weights]
-        mixed = self.r0 * self.w[0][:, None]
-        mixed += r1 * self.w[1][:, None]
-        mixed += r2 * self.w[2][:, None]
-        np.minimum(mixed, _F(_ONE), out=mixed)
-        cum = mixed.astype(np.int32)
-        cum += _GUARD
-        cum[:, -1] = _TOTAL
-        return cum
-
-    def update(self, branch: np.ndarray) -> None:
-        to = self.base16[: len(branch)] + branch
-        down, some = np.maximum(to - 1, 0), branch > 0
-        p = []
-        for r, w in zip((self.r0, self.order1.own, self.order2.own), self.w, strict=True):
-            flat = r.ravel()
-            x = flat.take(to)
-            x -= flat.take(down) * some
-            x += _F(2)
-            x *= w
-            p.append(x)
-        scale = _LEARN / (p[0] + p[1] + p[2])
-        for x, w, held in zip(p, self.w, self.weights, strict=True):
-            held[self.of] = x * scale + w * (_F(1) - _LEARN)
-        target = _SURE.take(branch, axis=0)
-        self.order1.update(target)
-        self.order2.update(target)
-        np.put(self.order0, self.at, _learned(self.r0, target, _RATE0))
+        self.weights = np.tile(_FIRST, lanes)
+        self.of = np.arange(lanes, dtype=np.int64) * 8
+
+    def predict(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, weights) of the contexts; both are 0 where there is no candidate."""
+        self.at = self.base + (h >> _U(32 - SLOT_BITS))
+        self.tag = (h & _U((1 << 21) - 1)).astype(np.int64)
+        self.tag += 1
+        self.tag <<= 35
+        held = self.slots.take(self.at)
+        held ^= self.tag
+        held *= held < 1 << 35
+        self.sure = held & 7
+        self.which = self.of + self.sure
+        self.weight = self.weights.take(self.which)
+        return held >> 3, self.weight
+
+    def update(self, own: np.ndarray, hit: np.ndarray) -> None:
+        """own: numbers of the ids, from 1."""
+        moved = _AFTER.take(self.sure + (hit << 3))
+        moved -= self.weight
+        moved >>= _RATE
+        moved += self.weight
+        self.weights[self.which] = moved
+        self.sure *= hit
+        held = own << 3
+        held |= self.tag
+        held |= _NEXT.take(self.sure)
+        self.slots[self.at] = held
+
+
+def _due(low: np.ndarray, range_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(((low ^ (low + range_)) < _TOP) | (range_ < _BOT))
 
 
 def _shifted(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,125 +166,137 @@ def _shifted(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def encode(tree: Tree, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each row of places in tree.ids: the coder's words, and the number of branches."""
+    """For each row of places in tree.ids: the coder's words, and the number of its steps."""
     lanes, steps = table.shape
-    depth = tree.depth[table]
-    branches = depth.sum(1)
-    order = np.argsort(-branches, kind="stable")
-    table, depth = table[order], depth[order]
-    # Branches of all lanes, lane by lane, then as (step, lane).
-    flat, n = table.ravel(), depth.ravel()
-    place = np.arange(n.sum(), dtype=np.int32) + np.repeat((tree.at[flat] - np.cumsum(n) + n).astype(np.int32), n)
-    last = np.zeros((lanes, steps), np.uint32)
-    last[:, 1:] = table[:, :-1] + 1
-    before = np.zeros((lanes, steps), np.uint32)
-    before[:, 2:] = table[:, :-2] + 1
-    most = int(branches.max())
-    own = branches[order]
-    # Where each lies in an array (step, lane).
-    laid_at = np.arange(len(place), dtype=np.int32)
-    laid_at -= np.repeat((np.cumsum(own) - own).astype(np.int32), own)
-    laid_at *= np.int32(lanes)
-    laid_at += np.repeat(np.arange(lanes, dtype=np.int32), own)
-
-    def laid(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(most * lanes, values.dtype)
-        out[laid_at] = values
-        return out.reshape(most, lanes)
-
-    node_ = tree.path_node[place].astype(np.uint32)
-    last_ = np.repeat(last.ravel(), n)
-    h1s = laid(_context(node_, last_, _U(0)))
-    h2s = laid(_context(node_, last_, np.repeat(before.ravel(), n)))
-    nodes, taken = laid(node_.astype(np.int32)), laid(tree.path_branch[place])
-    del place, node_, last_, laid_at, last, before, flat, n, depth
-    active = np.searchsorted(-own, -np.arange(most), "left").tolist()
-    model = _Model(tree, lanes)
+    n = len(tree.ids)
+    # One turn's ids lie side by side.
+    ids = np.ascontiguousarray(table.T.astype(np.int32))
+    last = np.full((steps, lanes), n, np.int32)
+    last[1:] = ids[:-1]
+    # Where each id is in its context's list; those that are in none have the place that leads on.
+    entry = tree.entry.take(last).astype(np.int32)
+    if len(tree.symbol) > n + 1:
+        context = np.repeat(np.arange(n + 1), np.append(tree.listed + 1, 1))
+        codes = context * (n + 1) + tree.symbol
+        # Lists ascend, but for the first of each, which comes last here.
+        order = np.argsort(codes)
+        codes = codes[order]
+        own, item, often = _numbered(last.ravel() * np.int64(n + 1) + ids.ravel())
+        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+        found = np.where(codes[at] == own, order[at], tree.entry[own // (n + 1)]).astype(np.int32)
+        entry.ravel()[item] = np.repeat(found, often)
+        del found, item, own
+    onward = tree.symbol.take(entry) == n
+    numbers = np.zeros((steps + 2, lanes), np.uint32)
+    np.add(ids, 1, out=numbers[2:], casting="unsafe")
+    contexts = _context(numbers[1:-1], numbers[:-2])
+    bits_ = tree.bits.astype(np.uint8).take(last)
+    del last, numbers
+    model = _Order2(lanes)
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    width = most * 2 + 8
-    out = np.zeros(lanes * width, np.uint16)
-    first = np.arange(lanes) * width
-    to = first.copy()
-    base = np.arange(lanes, dtype=np.int64) * BRANCHES
-    for t in range(most):
-        k = active[t]
-        branch = taken[t, :k].astype(np.int64)
-        cum = model.predict(nodes[t, :k], h1s[t, :k], h2s[t, :k]).ravel()
-        i = base[:k] + branch
-        start = cum.take(np.maximum(i - 1, 0)) * (branch > 0)
-        r = range_[:k] // _TOTAL
-        low[:k] += r * start
-        range_[:k] = r * (cum.take(i) - start)
-        a, b = low[:k], range_[:k]
-        go = np.flatnonzero(((a ^ (a + b)) < _TOP) | (b < _BOT))
+    out, to = np.zeros((2 * steps + 8) * lanes, np.uint16), np.arange(lanes, dtype=np.int64)
+    # Words of all lanes lie by their number, then by lane; a step gives two at most, and few give any.
+    count = np.zeros(lanes, np.int64)
+
+    def put(go: np.ndarray) -> None:
+        nonlocal out
         while len(go):
+            if to.max() + lanes > len(out):
+                out = np.concatenate((out, np.zeros_like(out)))
             a, b = low[go], range_[go]
             out[to[go]] = a >> 32
-            to[go] += 1
+            to[go] += lanes
             low[go], range_[go], again = _shifted(a, b)
             go = go[again]
-        model.update(branch)
+
+    for t in range(steps):
+        own = ids[t].astype(np.int64) + 1
+        candidate, weight = model.predict(contexts[t])
+        hit = candidate == own
+        rest, bits = (1 << _BITS) - weight, bits_[t]
+        span = tree.span.take(entry[t])
+        start = weight + (((span & 0xFFFF) * rest) >> bits)
+        end = weight + ((((span >> 16) & 0xFFFF) * rest) >> bits)
+        start[hit] = 0
+        np.copyto(end, weight, where=hit)
+        r = range_ >> _BITS
+        low += r * start
+        range_ = r * (end - start)
+        on = np.flatnonzero(onward[t] & ~hit)
+        if len(on):
+            a, b = low[on], range_[on]
+            put(on[_due(a, b)])
+            x = own[on]
+            r, start = range_[on] >> tree.bits0, tree.first0.take(x - 1)
+            low[on] += r * start
+            range_[on] = r * (tree.first0.take(x) - start)
+            count[on] += 1
+        put(_due(low, range_))
+        model.update(own, hit)
     for shift in (32, 16, 0):
+        if to.max() + lanes > len(out):
+            out = np.concatenate((out, np.zeros_like(out)))
         out[to] = (low >> shift) & 0xFFFF
-        to += 1
-    words: list[np.ndarray] = [np.empty(0, np.uint16)] * lanes
-    for lane, a, b in zip(order.tolist(), first.tolist(), to.tolist(), strict=True):
-        words[lane] = out[a:b].copy()
-    return words, branches
+        to += lanes
+    words = out.reshape(-1, lanes).T
+    return [words[i, : to[i] // lanes].copy() for i in range(lanes)], count + steps
 
 
 def decode(tree: Tree, words: list[np.ndarray], branches: np.ndarray, steps: int) -> np.ndarray:
-    """The rows that `encode` took."""
-    lanes = len(words)
-    order = np.argsort(-branches, kind="stable")
-    words = [words[i] for i in order.tolist()]
-    own = branches[order]
-    most = int(own.max()) if lanes else 0
-    active = np.searchsorted(-own, -np.arange(most), "left").tolist()
-    model = _Model(tree, lanes)
+    """The rows that `encode` took; ValueError if their steps are not as many."""
+    lanes, n = len(words), len(tree.ids)
+    model = _Order2(lanes)
     stream = np.concatenate([*words, np.zeros(4, np.uint16)])
     at = np.concatenate(([0], np.cumsum([len(w) for w in words])))[:-1]
     code = (stream[at].astype(np.int64) << 32) | (stream[at + 1].astype(np.int64) << 16) | stream[at + 2]
     at = at + 3
-    end = len(stream) - 1
+    end_ = len(stream) - 1
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    out = np.zeros(lanes * (steps + 1), np.int32)
-    to = np.arange(lanes) * (steps + 1)
-    limit = to + steps
-    node, last, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    base = np.arange(lanes, dtype=np.int64) * BRANCHES
-    child, leaves = tree.child.ravel(), len(tree.ids)
-    for t in range(most):
-        k = active[t]
-        own_node, own_last = node[:k], last[:k]
-        cum = model.predict(own_node.astype(np.int32), _context(own_node, own_last, _U(0)), _context(own_node, own_last, before[:k]))
-        r = range_[:k] // _TOTAL
-        v = np.minimum((code[:k] - low[:k]) // r, _TOTAL - 1).astype(np.int32)
-        # The number of ends up to v: bytes of 0 and 1, added up in two words.
-        under = (cum <= v[:, None]).view(np.uint64)
-        branch = (((under[:, 0] + under[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
-        cum = cum.ravel()
-        i = base[:k] + branch
-        start = cum.take(np.maximum(i - 1, 0)) * (branch > 0)
-        low[:k] += r * start
-        range_[:k] = r * (cum.take(i) - start)
-        a, b = low[:k], range_[:k]
-        go = np.flatnonzero(((a ^ (a + b)) < _TOP) | (b < _BOT))
+
+    def taken(go: np.ndarray) -> None:
         while len(go):
-            code[go] = ((code[go] << 16) & _MASK) | stream[np.minimum(at[go], end)]
+            code[go] = ((code[go] << 16) & _MASK) | stream[np.minimum(at[go], end_)]
             at[go] += 1
             low[go], range_[go], again = _shifted(low[go], range_[go])
             go = go[again]
-        model.update(branch)
-        next_ = child.take(own_node.astype(np.int64) * BRANCHES + branch)
-        leaf = np.flatnonzero(next_ < leaves)
-        node[:k] = next_ - leaves
-        found = next_[leaf]
-        out[to[leaf]] = found
-        to[leaf] = np.minimum(to[leaf] + 1, limit[leaf])
-        before[leaf] = last[leaf]
-        last[leaf] = found + 1
-        node[leaf] = 0
-    rows = np.empty((lanes, steps), np.int32)
-    rows[order] = out.reshape(lanes, steps + 1)[:, :steps]
-    return rows
+
+    out, count = np.empty((steps, lanes), np.int32), np.zeros(lanes, np.int64)
+    last = np.full(lanes, n, np.int64)
+    one = before = np.zeros(lanes, np.uint32)
+    for t in range(steps):
+        candidate, weight = model.predict(_context(one, before))
+        r = range_ >> _BITS
+        # Quotients of such numbers are never rounded up to a whole one.
+        v = np.minimum(((code - low) / r).astype(np.int64), (1 << _BITS) - 1)
+        hit = v < weight
+        rest = (1 << _BITS) - weight
+        bits = tree.bits.take(last)
+        # The last place that begins at v or before it.
+        place = ((((np.maximum(v - weight, 0) + 1) << bits) - 1) / rest).astype(np.int64)
+        e = tree.of.take(tree.place.take(last) + place)
+        span = tree.span.take(e)
+        start = weight + (((span & 0xFFFF) * rest) >> bits)
+        end = weight + ((((span >> 16) & 0xFFFF) * rest) >> bits)
+        start[hit] = 0
+        np.copyto(end, weight, where=hit)
+        low += r * start
+        range_ = r * (end - start)
+        own = np.where(hit, candidate - 1, span >> 32)
+        on = np.flatnonzero(own == n)
+        if len(on):
+            taken(on[_due(low[on], range_[on])])
+            r = range_[on] >> tree.bits0
+            x = tree.of0.take(np.minimum((code[on] - low[on]) // r, (1 << tree.bits0) - 1))
+            start = tree.first0.take(x)
+            low[on] += r * start
+            range_[on] = r * (tree.first0.take(x + 1) - start)
+            own[on] = x
+            count[on] += 1
+        taken(_due(low, range_))
+        out[t] = last = own
+        own = own + 1
+        model.update(own, hit)
+        before, one = one, own.astype(np.uint32)
+    if (count + steps != branches).any():
+        raise ValueError("steps of the blocks")
+    return np.ascontiguousarray(out.T)

@@ -1,13 +1,15 @@
-"""Token-id files: segments of whole documents, coded by an adaptive context-mixing range coder.
+"""Token-id files: segments of whole documents, coded by a context-mixing range coder.
 
 A segment is one binary value that stands on its own:
 
-    RLT2 | documents, ids, ids a block, blocks, bytes of the counts (32 bits each) | doc_ids, ids of each (64 bits each)
-    | whether each has a doc_id (8 bits each) | the segment's distinct ids and how often each occurs (32 bits each, deflated)
-    | for each block: words of the coder, branches, CRC-32 of its ids (32 bits each) | the blocks' words (16 bits each)
+    RLT3 | documents, ids, ids a block, blocks, bytes of the tables (32 bits each) | doc_ids, ids of each (64 bits each)
+    | whether each has a doc_id (8 bits each) | the tables of orders 0 and 1 (32 bits each, all first bytes, then all second ones, and so
+    on, deflated): how many distinct ids and listed pairs; the ids' gaps, how often order 0 gives each, how many ids are listed after it, how
+    often others follow; the listed ids, as gaps within a list, and how often each follows
+    | for each block: words of the coder, its steps, CRC-32 of its ids (32 bits each) | the blocks' words (16 bits each)
     | CRC-32 of all that precedes
 
-Numbers are little-endian. Every block is coded from the same fresh state, which the counts give (see _rangecoder), so it can be read
+Numbers are little-endian. Every block is coded from the same fresh state, which the tables give (see _rangecoder), so it can be read
 without the others; the last one is filled up. Documents lie in ascending doc_id over the segments of a table in the order (part,
 segment), where a part is a range of doc_ids. `write` makes the table in the shared folder; `read` decodes it, where damage raises
 TokenFileError.
@@ -34,8 +36,8 @@ from rasterloom.llm import _rangecoder, _tokens
 from rasterloom.llm._stage import written
 from rasterloom.llm.packing import tokenizer_path
 
-MAGIC = b"RLT2"
-BLOCK, SEGMENT = 1024, 1 << 20
+MAGIC = b"RLT3"
+BLOCK, SEGMENT = 1024, 3 << 20
 END_ID = 0
 
 
@@ -43,17 +45,47 @@ class TokenFileError(ValueError):
     """A segment is damaged or of another kind."""
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and the place of each id among them."""
+    if not len(ids) or ids.min() < 0 or ids.max() >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    held = np.bincount(ids) > 0
+    return np.flatnonzero(held), (np.cumsum(held) - 1).astype(np.int32)[ids]
+
+
+def _packed(distinct: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, ...]) -> bytes:
+    listed, symbol, often, others = pairs
+    first = np.zeros(len(symbol), bool)
+    first[(np.cumsum(listed) - listed)[listed > 0]] = True
+    gaps = np.where(first, symbol, np.diff(symbol, prepend=0))
+    held = np.concatenate(([len(distinct), len(symbol)], np.diff(distinct, prepend=0), counts, listed, others, gaps, often)).astype("<u4")
+    return zlib.compress(held.view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    held = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    n, k = held[:2].tolist()
+    gaps, counts, listed, others, symbol, often = np.split(held[2:], np.cumsum([n, n, n, n, k]))
+    to = np.cumsum(symbol)
+    begin = (np.cumsum(listed) - listed)[listed > 0]
+    return np.cumsum(gaps), counts, (listed, to - np.repeat(np.append(0, to)[begin], listed[listed > 0]), often, others)
+
+
 def encode_segment(doc_ids: list[int | None], ids: np.ndarray, lengths: list[int], block: int = BLOCK) -> bytes:
     """One segment of the documents whose ids follow each other."""
     size = max(1, min(block, len(ids)))
     blocks = -(-len(ids) // size)
-    distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    table = np.zeros(blocks * size, np.int64)
+    distinct, place = _distinct(ids)
+    table = np.zeros(blocks * size, np.int32)
     table[: len(ids)] = place
     table = table.reshape(blocks, size)
-    words, branches = _rangecoder.encode(_rangecoder.Tree(distinct, counts), table) if blocks else ([], np.empty(0, np.int64))
-    directory = np.array([(len(w), n, zlib.crc32(distinct[r].astype("<u4").tobytes())) for w, n, r in zip(words, branches.tolist(), table, strict=True)], "<u4")
-    held = zlib.compress(np.concatenate((np.diff(distinct, prepend=0), counts)).astype("<u4").tobytes(), 6)
+    words: list[np.ndarray] = []
+    steps, held = np.empty(0, np.int64), b""
+    if blocks:
+        pairs, counts = _rangecoder.pairs_of(table, len(distinct))
+        held = _packed(distinct, counts, pairs)
+        words, steps = _rangecoder.encode(_rangecoder.Tree(distinct, counts, pairs), table)
+    directory = np.array([(len(w), n, zlib.crc32(r.tobytes())) for w, n, r in zip(words, steps.tolist(), distinct.astype("<u4")[table], strict=True)], "<u4")
     body = b"".join((
         MAGIC, struct.pack("<IIIII", len(doc_ids), len(ids), size, blocks, len(held)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(),
         bytes([d is not None for d in doc_ids]), held, directory.tobytes(), *(w.astype("<u2").tobytes() for w in words),
@@ -72,15 +104,16 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     doc_ids = [d if k else None for d, k in zip(np.frombuffer(data, "<i8", docs, 24).tolist(), known, strict=True)]
     lengths = np.frombuffer(data, "<i8", docs, 24 + 8 * docs)
     at = 24 + 17 * docs
-    gaps, counts = np.split(np.frombuffer(zlib.decompress(data[at : at + held]), "<u4").astype(np.int64), 2)
-    distinct = np.cumsum(gaps)
+    tables = data[at : at + held]
     at += held
     directory = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
     at += 12 * blocks
     stream = np.frombuffer(data, "<u2", int(directory[:, 0].sum()), at)
     parts = np.split(stream, np.cumsum(directory[:, 0]))[:-1]
-    table = _rangecoder.decode(_rangecoder.Tree(distinct, counts), parts, directory[:, 1], size) if blocks else np.empty((0, size), np.int64)
-    raw = distinct.astype("<u4")[table]
+    raw = np.empty((0, size), "<u4")
+    if blocks:
+        distinct, counts, pairs = _unpacked(tables)
+        raw = distinct.astype("<u4")[_rangecoder.decode(_rangecoder.Tree(distinct, counts, pairs), parts, directory[:, 1], size)]
     for i, row in enumerate(raw):
         if zlib.crc32(row.tobytes()) != directory[i, 2]:
             raise TokenFileError(f"checksum of block {i}")

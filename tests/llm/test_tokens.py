@@ -91,6 +91,26 @@ def test_files_are_below_the_order_0_entropy():
     assert len(data) * 8 / len(ids) < 0.95 * entropy
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_order_1_of_the_segment_is_in_its_files():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).append_column("doc_id", pa.array(range(1000)))
+    ids = np.concatenate([x[1] for x in _tokens.encoded(table.to_batches(), packing.tokenizer_path(FILES[0]))])
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    data = token_file.encode_segment([1], ids, [len(ids)])
+    assert len(data) * 8 / len(ids) < 0.78 * -(share * np.log2(share)).sum()
+    assert (token_file.decode_segment(data)[1] == ids).all()
+
+
+def test_contexts_with_rare_followers_and_without_lists():
+    rng = np.random.default_rng(3)
+    common = np.where(rng.random(60_000) < 0.9, 7, rng.integers(0, 50_000, 60_000))
+    chain = (np.arange(9_000) * np.arange(9_000)) % 4_999
+    for ids in (common, chain, np.tile(common[:300], 40), np.full(5_000, 3), np.array([1 << 30, 5, 1 << 30]), np.array([4])):
+        for block in (1, 64, 1024):
+            n = min(len(ids), 40 * block)
+            assert (token_file.decode_segment(token_file.encode_segment([1], ids[:n], [n], block))[1] == ids[:n]).all()
+
+
 def test_segments_and_damage():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50257, 5000)
