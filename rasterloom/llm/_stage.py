@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +83,39 @@ def removed(spark: SparkSession, path: str) -> None:
     _LEFT.pop(path, None)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _released(encoders: bool) -> None:
+    """Gives memory that nothing holds back to the system; it would stay with an idle worker."""
+    if not encoders and (tokens := sys.modules.get("rasterloom.llm._tokens")):
+        tokens.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def lean(run: Callable[[Batches], Batches], encoders: bool = False) -> Callable[[Batches], Batches]:
+    """The same function for a worker that keeps little after a task; encoders: whether those of vocabularies stay for the next one."""
+
+    def held(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            _released(encoders)
+
+    return held
+
+
+def heaps_emptied(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that a step does not begin with the heap that the one before has filled. A small task
+    for each core; an executor that gets none keeps its heap, which does no harm to results."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """many joined with one, which has a row for each key at most: the rows of a key are dealt over `salts` parts by `spread`."""
     left = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

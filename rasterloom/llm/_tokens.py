@@ -40,6 +40,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Drops this worker's encoders."""
+    _ENCODERS.clear()
+
+
 def _wide_space(raw: np.ndarray) -> np.ndarray:
     """Where a white-space character above ASCII may begin."""
     lead = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
-from rasterloom.llm._stage import column
+from rasterloom.llm._stage import column, lean
 
 WINDOW = 10
 #: Text of test items in one broadcast block, and blocks that one pass searches.
@@ -250,7 +250,7 @@ def _passed(docs: DataFrame, blocks: list) -> DataFrame:
                     _add(shard, block.value, spans, items, longest)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shard.n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(longest, _LONGEST)], names=["doc_id", "text", "n_words", "spans", "items", "longest"])
 
-    return docs.mapInArrow(run, f"doc_id long, text string, n_words long, {_FOUND}")
+    return docs.mapInArrow(lean(run), f"doc_id long, text string, n_words long, {_FOUND}")
 
 
 def _add(shard: Shard, block: TestBlock, spans: list, items: list, longest: list) -> None:
@@ -313,7 +313,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "d
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        return docs.mapInArrow(run, "item_id string, start long, length long, n_places long, doc_id long, at long")
+        return docs.mapInArrow(lean(run), "item_id string, start long, length long, n_places long, doc_id long, at long")
 
     names = ["item_id", "start", "length", "n_places", "doc_id", "at"]
     kinds = [pa.string(), *[pa.int64()] * 5]
@@ -347,7 +347,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 
     blocks = test_blocks(benchmark, window=window, block_bytes=block_bytes)
     for i in range(0, len(blocks), BLOCKS):
-        kept = kept.mapInArrow(without(blocks[i : i + BLOCKS]), schema)
+        kept = kept.mapInArrow(lean(without(blocks[i : i + BLOCKS])), schema)
     return kept.toDF(*documents.columns)
 
 

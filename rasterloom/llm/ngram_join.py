@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
-from rasterloom.llm._stage import column, fresh, removed, salted_join, written
+from rasterloom.llm._stage import column, fresh, lean, removed, salted_join, written
 from rasterloom.llm.components import components
 
 #: Parts of a partition, and how many of them may differ.
@@ -170,7 +170,7 @@ def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
                 k1, k2 = _class_keys(values, to)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(to)), pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, k1 long, k2 long")
 
 
 def part_enum(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def part_enum(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 row, sig = signatures(values, to, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[i:j][new][row])], names=["sig", "doc_id"])
 
-    return docs.mapInArrow(run, "sig long, doc_id long")
+    return docs.mapInArrow(lean(run), "sig long, doc_id long")
 
 
 def _forest(ids: list[int], texts: list[str | None], sides: list[int | None], k: int, percent: int) -> list[tuple[int, int]]:
@@ -271,7 +271,7 @@ def links(candidates: DataFrame, k: int, percent: int) -> DataFrame:
     def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    return candidates.mapInArrow(run, "a long, b long")
+    return candidates.mapInArrow(lean(run), "a long, b long")
 
 
 def _parts_of(rows: Column, features: Column, block: int, most: int) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _tokens
+from rasterloom.llm._stage import lean
 
 CAPACITY = 2048
 GROUP, SLACK, PIECE = 64, 24, 512
@@ -142,7 +143,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: st
             yield packer.taken()
 
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(lean(run, encoders=True), _SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
-from rasterloom.llm._stage import column, removed, written
+from rasterloom.llm._stage import column, lean, removed, written
 
 MOST_POSITIVE, MOST_NEGATIVE, MOST_FEATURES = 4_000, 8_000, 2_048
 FOLDS = 3
@@ -188,7 +188,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
                 held = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)[held // FOLDS]), pa.array((held % FOLDS).astype(np.int32)), pa.array(positive[held]), pa.array(total[held])], names=["feature", "fold", "positive", "total"])
 
-    counts = sample.select("id", "mark", "fold", "text").mapInArrow(run, "feature long, fold int, positive long, total long")
+    counts = sample.select("id", "mark", "fold", "text").mapInArrow(lean(run), "feature long, fold int, positive long, total long")
     return counts.groupBy("feature").agg(*[F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS + 1) for c in ("positive", "total")])
 
 
@@ -204,7 +204,7 @@ def _values(sample: DataFrame, known: np.ndarray) -> DataFrame:
                     [*(c.slice(i, j - i) for c in batch.columns[:3]), pa.ListArray.from_arrays(to, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(to, pa.array(value))], names=["id", "mark", "fold", "features", "values"]
                 )
 
-    return sample.select("id", "mark", "fold", "text").mapInArrow(run, "id long, mark int, fold int, features array<int>, values array<double>")
+    return sample.select("id", "mark", "fold", "text").mapInArrow(lean(run), "id long, mark int, fold int, features array<int>, values array<double>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, category: str = "toxic", doc_id: str = "doc_id", text: str = "text", positive: int = MOST_POSITIVE, negative: int = MOST_NEGATIVE, most_features: int = MOST_FEATURES) -> Chain:
@@ -259,7 +259,7 @@ def scored(documents: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str
                 )
 
     docs = documents.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
-    return docs.mapInArrow(run, ", ".join(["doc_id long", *[f"p_{c} double" for c in names], f"{names[-1]} boolean"]))
+    return docs.mapInArrow(lean(run), ", ".join(["doc_id long", *[f"p_{c} double" for c in names], f"{names[-1]} boolean"]))
 
 
 def without_toxic(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
@@ -276,7 +276,7 @@ def without_toxic(documents: DataFrame, chain: Chain, text: str = "text") -> Dat
 
     # By number, since the pass cannot take every name.
     plain = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*documents.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import inspect
+
 import corpus_pipeline
+from rasterloom.llm import _stage, _tokens
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,3 +49,20 @@ def test_clashing_columns_pass_through(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 1, 2), (2, "d", 3, 4)]
     assert corpus_pipeline.one_of_near_copies(spark, df, "").columns == df.columns
+
+
+def test_stages_begin_with_empty_heaps(spark):
+    def collections():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans)
+
+    before = collections()
+    _stage.heaps_emptied(spark)
+    assert collections() > before
+    assert all("heaps_emptied(spark)" in inspect.getsource(f) for _, f in corpus_pipeline.STAGES)
+
+
+def test_workers_keep_little_after_a_task():
+    _tokens._ENCODERS["x", "y"] = None
+    assert list(_stage.lean(iter, encoders=True)(iter([1, 2]))) == [1, 2] and ("x", "y") in _tokens._ENCODERS
+    assert list(_stage.lean(iter)(iter([3]))) == [3] and not _tokens._ENCODERS
